@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import config_int, strict_bool
+from ..operators import config as C
 from ..operators import planning as B
 from ..sources import fixtures as fx
 
@@ -121,3 +123,91 @@ def q_b16(spark, d):
 @register("b17_container_services")
 def q_b17(spark, d):
     return B.container_service_rows(B.container_services(fx.contest_env(spark, d)))
+
+
+# -- configuration ------------------------------------------------------------------
+
+def _config_inputs(spark, d):
+    req = fx.deployment_requests(spark, d)
+    acc = B.accepted_requests(req)
+    ids = acc.select("deployment_id")
+    user = C.overrides_json(fx.config_overrides(spark, d))
+    return req, acc, ids, user
+
+
+def _filled(spark, d):
+    req, acc, ids, user = _config_inputs(spark, d)
+    return C.fill_defaults(C.apply_forced(user, acc), ids)
+
+
+@register("c1_missing_required_raw")
+def q_c1_raw(spark, d):
+    _, _, ids, user = _config_inputs(spark, d)
+    return C.missing_required(user, ids)
+
+
+@register("c1_missing_required")
+def q_c1(spark, d):
+    _, acc, ids, user = _config_inputs(spark, d)
+    return C.missing_required(C.apply_forced(user, acc), ids)
+
+
+@register("c2_fill_defaults")
+def q_c2(spark, d):
+    return _filled(spark, d)
+
+
+@register("c3_strict_bool")
+def q_c3(spark, d):
+    f = _filled(spark, d).where(F.col("kind") == "bool")
+    return f.select("deployment_id", "key", strict_bool(F.col("value")).alias("value"))
+
+
+@register("c4_config_int")
+def q_c4(spark, d):
+    f = _filled(spark, d).where(F.col("kind") == "int")
+    v = config_int(F.col("value"))
+    return f.select("deployment_id", "key", v.alias("value"), v.isNull().alias("error"))
+
+
+@register("c5_apply_forced")
+def q_c5(spark, d):
+    _, acc, _, user = _config_inputs(spark, d)
+    return C.apply_forced(user, acc)
+
+
+@register("c6_passthrough_keys")
+def q_c6(spark, d):
+    _, acc, ids, user = _config_inputs(spark, d)
+    return C.passthrough_keys(C.apply_forced(user, acc), ids)
+
+
+@register("c7_database_url")
+def q_c7(spark, d):
+    return C.database_url(C.config_parts(_filled(spark, d)))
+
+
+@register("c8_ranking_document")
+def q_c8(spark, d):
+    return C.ranking_document(C.config_parts(_filled(spark, d)))
+
+
+@register("c8_ranking_config_document")
+def q_c8_doc(spark, d):
+    return C.ranking_config_document(C.config_parts(_filled(spark, d)))
+
+
+@register("c9_config_entries")
+def q_c9_entries(spark, d):
+    return C.config_entries(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
+
+
+@register("c9_config_document")
+def q_c9(spark, d):
+    return C.config_document(C.config_entries(fx.deployment_requests(spark, d), fx.config_overrides(spark, d)))
+
+
+@register("c10_generated_secrets")
+def q_c10(spark, d):
+    _, acc, ids, user = _config_inputs(spark, d)
+    return C.generated_secrets(C.apply_forced(user, acc), ids)

@@ -157,6 +157,148 @@ union all select deployment_id, 'core', 'PrintingService', 0, '10.0.1.5', 25123
 union all select deployment_id, 'other', 'TestFileCacher', 0, '10.0.1.5', 27501 from acc""",
 }
 
+
+
+def _pystr(v: str) -> str:
+    """Python's str() of a decoded JSON scalar, as an inline SQL expression."""
+    return (f"(case when {v} = 'null' then 'None' when {v} = 'true' then 'True' "
+            f"when {v} = 'false' then 'False' else json_extract_string({v}, '$') end)")
+
+
+# Configuration helper views (SQL side: joins where the Spark side unions
+# and aggregates).
+HELPER_CTES.update({
+    "ov": "select deployment_id, key, coalesce(to_json(value)::varchar, 'null') as value from config_overrides",
+    "svc": """
+select * from (values ('LogService', 0, 'core'), ('ResourceService', 1, 'core'), ('ScoringService', 2, 'core'),
+  ('Checker', 3, 'core'), ('EvaluationService', 4, 'core'), ('Worker', 5, 'core'),
+  ('ContestWebServer', 6, 'core'), ('AdminWebServer', 7, 'core'), ('ProxyService', 8, 'core'),
+  ('PrintingService', 9, 'core'), ('TestFileCacher', 10, 'other')) t(service, ord, section)""",
+    "svc_lists": """
+select deployment_id, service,
+       '[' || string_agg('["' || ip || '",' || port || ']', ',' order by pos) || ']' as lst
+from endpoints group by deployment_id, service""",
+    "svc_docs": """
+select a.deployment_id, s.section,
+       '{' || string_agg('"' || s.service || '":' || coalesce(l.lst, '[]'), ',' order by s.ord) || '}' as doc
+from acc a cross join svc s
+left join svc_lists l on l.deployment_id = a.deployment_id and l.service = s.service
+group by a.deployment_id, s.section""",
+    "listen_json": """
+select deployment_id, '[' || string_agg('"' || private_ip || '"', ',' order by seqno) || ']' as addr_json,
+       '[' || string_agg(cast(9000 + seqno as varchar), ',' order by seqno) || ']' as port_json
+from cws_shards group by deployment_id""",
+    "forced": """
+select deployment_id, section || '_services' as key, doc as value from svc_docs
+union all
+select a.deployment_id, 'contest_listen_address', coalesce(l.addr_json, '[]')
+from acc a left join listen_json l using (deployment_id)
+union all
+select a.deployment_id, 'contest_listen_port', coalesce(l.port_json, '[]')
+from acc a left join listen_json l using (deployment_id)
+union all select deployment_id, 'num_proxies_used', '1' from acc
+union all select deployment_id, 'admin_listen_port', '13800' from acc""",
+    "merged": """
+select * from ov where key not in ('core_services', 'other_services', 'contest_listen_address',
+  'contest_listen_port', 'num_proxies_used', 'admin_listen_port')
+union all select * from forced""",
+    "cat": """
+select * from (values
+  ('temp_dir', '"/tmp"', 'raw'),
+  ('backdoor', 'false', 'bool'),
+  ('core_services', null, 'required'),
+  ('other_services', null, 'required'),
+  ('db_user', '"cmsuser"', 'local'),
+  ('db_passwd', null, 'required'),
+  ('db_host', '"localhost"', 'local'),
+  ('db_port', '5432', 'local'),
+  ('db_name', '"cmsdb"', 'local'),
+  ('database', null, 'computed'),
+  ('database_debug', 'false', 'bool'),
+  ('twophase_commit', 'false', 'bool'),
+  ('keep_sandbox', 'false', 'bool'),
+  ('max_file_size', '10240', 'int'),
+  ('secret_key', null, 'secret'),
+  ('tornado_debug', 'false', 'bool'),
+  ('contest_listen_address', '[""]', 'raw'),
+  ('contest_listen_port', '[8888]', 'raw'),
+  ('cookie_duration', '10800', 'int'),
+  ('submit_local_copy', 'false', 'bool'),
+  ('submit_local_copy_path', '"%s/submissions/"', 'raw'),
+  ('num_proxies_used', '0', 'int'),
+  ('max_submission_length', '100000', 'int'),
+  ('max_input_length', '5000000', 'int'),
+  ('stl_path', '"/usr/share/doc/stl-manual/html/"', 'raw'),
+  ('admin_listen_address', '""', 'raw'),
+  ('admin_listen_port', '8889', 'int'),
+  ('admin_cookie_duration', '36000', 'int'),
+  ('rankings_user', '"cmsrankingsuser"', 'local'),
+  ('rankings_passwd', null, 'secret'),
+  ('rankings_host', '"localhost"', 'local'),
+  ('rankings_port', '8890', 'local'),
+  ('rankings', '[]', 'computed'),
+  ('https_certfile', 'null', 'raw'),
+  ('max_print_length', '10000000', 'int'),
+  ('printer', 'null', 'raw'),
+  ('paper_size', '"A4"', 'raw'),
+  ('max_pages_per_job', '10', 'int'),
+  ('max_jobs_per_user', '10', 'int'),
+  ('pdf_printing_allowed', 'false', 'bool')) t(key, dflt, kind)""",
+    "filled": """
+select a.deployment_id, c.key, c.kind, case when m.key is not null then m.value else c.dflt end as value,
+       m.key is not null as present
+from acc a cross join cat c left join merged m on m.deployment_id = a.deployment_id and m.key = c.key""",
+    "ints": """
+select deployment_id, key, value,
+       case when value = 'true' then 1::bigint when value = 'false' then 0::bigint
+            when starts_with(value, '"') then
+              case when regexp_full_match(json_extract_string(value, '$'), '\\s*[+-]?[0-9]+(_[0-9]+)*\\s*')
+                   then try_cast(replace(trim(json_extract_string(value, '$')), '_', '') as bigint) end
+            when regexp_full_match(value, '-?[0-9]+') then try_cast(value as bigint) end as n
+from filled where kind = 'int'""",
+    "typed": """
+select f.deployment_id, f.key, f.kind, f.present,
+       case f.kind when 'bool' then case when f.value = '"True"' then 'true' else 'false' end
+                   when 'int' then cast(i.n as varchar)
+                   else f.value end as v
+from filled f left join ints i on i.deployment_id = f.deployment_id and i.key = f.key""",
+    "known": """
+select deployment_id, key,
+       case when key in ('db_passwd', 'rankings_passwd', 'secret_key') and v is not null
+            then '"********"' else v end as value,
+       case when kind = 'required' and not present then 'missing required key'
+            when kind = 'int' and v is null then 'invalid integer' end as error
+from typed
+where kind in ('raw', 'bool', 'int', 'required') or (kind in ('local', 'secret') and present)
+   or key = 'rankings'""",
+    "parts": """
+select deployment_id,
+       max(case when key = 'db_user' then value end) as db_user,
+       max(case when key = 'db_passwd' then value end) as db_passwd,
+       max(case when key = 'db_host' then value end) as db_host,
+       max(case when key = 'db_port' then value end) as db_port,
+       max(case when key = 'db_name' then value end) as db_name,
+       max(case when key = 'rankings_port' then value end) as rankings_port,
+       max(case when key = 'rankings_user' then value end) as rankings_user,
+       max(case when key = 'rankings_passwd' then value end) as rankings_passwd
+from filled group by deployment_id""",
+    "urls": """
+select deployment_id,
+       'postgresql+psycopg2://' || {pystr_db_user} || ':' || case when db_passwd is not null then '********' end
+       || '@' || {pystr_db_host} || ':' || {pystr_db_port} || '/' || {pystr_db_name} as database
+from parts""".format(**{f"pystr_{c}": _pystr(c) for c in ("db_user", "db_host", "db_port", "db_name")}),
+    "passthrough": """
+select * from merged
+where key not in (select key from cat) and deployment_id in (select deployment_id from acc)""",
+    "entries": """
+select deployment_id, key, value, error from known
+union all
+select deployment_id, 'database', to_json(database)::varchar, null from urls where database is not null
+union all
+select deployment_id, key, value, null from passthrough""",
+})
+
+
 ORACLES: dict[str, str] = {}
 
 
@@ -303,3 +445,67 @@ def oracle_sql() -> dict[str, str]:
 def _mentions(sql: str, name: str) -> bool:
     import re
     return re.search(rf"\b{name}\b", sql) is not None
+
+_add("c1_missing_required_raw", """
+select deployment_id, first_missing from (
+  select a.deployment_id,
+         case when not exists (select 1 from ov o where o.deployment_id = a.deployment_id and o.key = 'core_services')
+                then 'core_services'
+              when not exists (select 1 from ov o where o.deployment_id = a.deployment_id and o.key = 'other_services')
+                then 'other_services'
+              when not exists (select 1 from ov o where o.deployment_id = a.deployment_id and o.key = 'db_passwd')
+                then 'db_passwd' end as first_missing
+  from acc a) x
+where first_missing is not null""")
+
+_add("c1_missing_required", """
+select deployment_id, first_missing from (
+  select a.deployment_id,
+         case when not exists (select 1 from merged o where o.deployment_id = a.deployment_id and o.key = 'core_services')
+                then 'core_services'
+              when not exists (select 1 from merged o where o.deployment_id = a.deployment_id and o.key = 'other_services')
+                then 'other_services'
+              when not exists (select 1 from merged o where o.deployment_id = a.deployment_id and o.key = 'db_passwd')
+                then 'db_passwd' end as first_missing
+  from acc a) x
+where first_missing is not null""")
+
+_add("c2_fill_defaults", "select deployment_id, key, kind, value, present from filled")
+
+_add("c3_strict_bool", """
+select deployment_id, key, coalesce(value = '"True"', false) as value from filled where kind = 'bool'""")
+
+_add("c4_config_int", "select deployment_id, key, n as value, n is null as error from ints")
+
+_add("c5_apply_forced", "select deployment_id, key, value from merged")
+
+_add("c6_passthrough_keys", "select deployment_id, key, value from passthrough")
+
+_add("c7_database_url", "select deployment_id, database from urls")
+
+_add("c8_ranking_document", """
+select deployment_id, 'bind_address' as key, '""' as value from parts
+union all select deployment_id, 'http_port', rankings_port from parts
+union all select deployment_id, 'username', rankings_user from parts
+union all select deployment_id, 'password', case when rankings_passwd is not null then '"********"' end from parts""")
+
+_add("c8_ranking_config_document", """
+select deployment_id,
+       '{"bind_address":"","http_port":' || coalesce(rankings_port, 'null') || ',"username":'
+       || coalesce(rankings_user, 'null') || ',"password":'
+       || coalesce(case when rankings_passwd is not null then '"********"' end, 'null') || '}' as document
+from parts""")
+
+_add("c9_config_entries", "select deployment_id, key, value, error from entries")
+
+_add("c9_config_document", """
+select deployment_id,
+       case when min(error) is null
+            then '{' || string_agg(to_json(key)::varchar || ':' || value, ',' order by key) || '}' end as document,
+       min(error) as error
+from entries group by deployment_id""")
+
+_add("c10_generated_secrets", """
+select a.deployment_id, k.key
+from acc a cross join (values ('secret_key'), ('rankings_passwd')) k(key)
+where not exists (select 1 from merged m where m.deployment_id = a.deployment_id and m.key = k.key)""")
