@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import config_int, strict_bool
 from ..operators import config as C
 from ..operators import planning as B
+from ..operators import state as D
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,3 +212,59 @@ def q_c9(spark, d):
 def q_c10(spark, d):
     _, acc, ids, user = _config_inputs(spark, d)
     return C.generated_secrets(C.apply_forced(user, acc), ids)
+
+
+# -- state and teardown ---------------------------------------------------------------
+
+@register("d1_missing_prerequisites")
+def q_d1(spark, d):
+    ids = _acc(spark, d).where(~F.col("config_phase")).select("deployment_id")
+    return D.missing_prerequisites(fx.state_entries(spark, d), ids)
+
+
+@register("d2_instances_to_terminate")
+def q_d2(spark, d):
+    return D.instances_to_terminate(fx.state_entries(spark, d))
+
+
+@register("d3_teardown_plan")
+def q_d3(spark, d):
+    return D.teardown_plan(fx.state_entries(spark, d))
+
+
+@register("d4_residual_state")
+def q_d4(spark, d):
+    return D.residual_state(fx.state_entries(spark, d), fx.teardown_outcomes(spark, d))
+
+
+@register("d5_leaks")
+def q_d5(spark, d):
+    return D.leaks(fx.state_entries(spark, d), fx.teardown_outcomes(spark, d)).drop("leaked_keys")
+
+
+@register("d5_leaks_top")
+def q_d5_top(spark, d):
+    return D.top_leaks(D.leaks(fx.state_entries(spark, d), fx.teardown_outcomes(spark, d)).drop("leaked_keys"))
+
+
+@register("d5_leak_counts_from_residual")
+def q_d5_res(spark, d):
+    return D.leak_counts(D.residual_state(fx.state_entries(spark, d), fx.teardown_outcomes(spark, d)))
+
+
+@register("d6_effective_state")
+def q_d6(spark, d):
+    memory = D.planned_state(_acc(spark, d).where(F.col("config_phase")))
+    return D.effective_state(memory, fx.state_entries(spark, d))
+
+
+@register("d7_select_instances")
+def q_d7(spark, d):
+    inst = D.instances_to_terminate(fx.state_entries(spark, d))
+    done = fx.teardown_outcomes(spark, d).where(F.col("ok") & (F.col("step") <= 4))
+    return D.select_instances(inst, done, on=("deployment_id", "step"))
+
+
+@register("a5_interfaces_in_group")
+def q_a5(spark, d):
+    return D.interfaces_in_group(fx.interface_groups(spark, d), fx.state_entries(spark, d))

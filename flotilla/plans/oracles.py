@@ -299,6 +299,96 @@ select deployment_id, key, value, null from passthrough""",
 })
 
 
+# State helper views: key by key, the way the teardown reads its record.
+HELPER_CTES.update({
+    "steps": """
+select * from (values
+  (1, 'worker_instances_ids', null, 'terminate worker instances'),
+  (2, 'cws1_instances_ids', null, 'terminate CWS #1 instances'),
+  (3, 'cws2_instances_ids', null, 'terminate CWS #2 instances'),
+  (4, 'main_instance_id', null, 'terminate main instance'),
+  (5, null, null, 'wait for instances to terminate'),
+  (6, 'listener_arn', null, 'delete load balancer listener'),
+  (7, 'load_balancer_arn', null, 'delete load balancer'),
+  (8, 'target_group_arn', null, 'delete LB target group'),
+  (9, 'lb_security_group_id', null, 'delete LB security group'),
+  (10, 'security_group_id', null, 'delete security group'),
+  (11, 'main_subnet_id', null, 'delete main subnet'),
+  (12, 'cws1_subnet_id', null, 'delete CWS #1 subnet'),
+  (13, 'cws2_subnet_id', null, 'delete CWS #2 subnet'),
+  (14, 'main_route_table_id', null, 'delete main subnet route table'),
+  (15, 'cws1_route_table_id', null, 'delete CWS #1 subnet route table'),
+  (16, 'cws2_route_table_id', null, 'delete CWS #2 subnet route table'),
+  (17, 'gateway_id', 'vpc_id', 'delete internet gateway'),
+  (18, 'vpc_id', null, 'delete VPC'),
+  (19, 'keypair_name', null, 'delete keypair')) t(step, guard1, guard2, action)""",
+    "removes": """
+select * from (values
+  (1, 0, 'worker_instances_ids'), (2, 0, 'cws1_instances_ids'), (3, 0, 'cws2_instances_ids'),
+  (4, 0, 'main_instance_id'),
+  (5, 0, 'main_instance_ip'), (5, 1, 'workers_instance_ips'), (5, 2, 'cws1_instance_ips'),
+  (5, 3, 'cws2_instance_ips'), (5, 4, 'instances_ips'),
+  (6, 0, 'listener_arn'), (7, 0, 'load_balancer_arn'), (7, 1, 'load_balancer_dnsname'),
+  (8, 0, 'target_group_arn'), (9, 0, 'lb_security_group_id'), (10, 0, 'security_group_id'),
+  (11, 0, 'main_subnet_id'), (11, 1, 'main_route_table_association_id'),
+  (12, 0, 'cws1_subnet_id'), (12, 1, 'cws1_route_table_association_id'),
+  (13, 0, 'cws2_subnet_id'), (13, 1, 'cws2_route_table_association_id'),
+  (14, 0, 'main_route_table_id'), (15, 0, 'cws1_route_table_id'), (16, 0, 'cws2_route_table_id'),
+  (17, 0, 'gateway_id'), (18, 0, 'vpc_id'), (19, 0, 'keypair_name')) t(step, rpos, key)""",
+    "term_ids": """
+select deployment_id, step, cast(pos as int) as pos, instance_id from (
+  select deployment_id,
+         case state_key when 'worker_instances_ids' then 1 when 'cws1_instances_ids' then 2
+           else 3 end as step,
+         unnest(from_json(state_value, '["VARCHAR"]')) as instance_id,
+         generate_subscripts(from_json(state_value, '["VARCHAR"]'), 1) - 1 as pos
+  from state_entries
+  where state_key in ('worker_instances_ids', 'cws1_instances_ids', 'cws2_instances_ids'))
+union all
+select deployment_id, 4, 0, state_value from state_entries where state_key = 'main_instance_id'""",
+    "plan": """
+select s.deployment_id, st.step, st.action
+from (select distinct deployment_id from state_entries) s cross join steps st
+where (st.step = 5 and exists (select 1 from term_ids t where t.deployment_id = s.deployment_id))
+   or (st.step <> 5
+       and exists (select 1 from state_entries e where e.deployment_id = s.deployment_id
+                   and e.state_key = st.guard1)
+       and (st.guard2 is null
+            or exists (select 1 from state_entries e where e.deployment_id = s.deployment_id
+                       and e.state_key = st.guard2)))""",
+    "ran_ok": """
+select p.deployment_id, p.step from plan p
+join teardown_outcomes o on o.deployment_id = p.deployment_id and o.step = p.step where o.ok""",
+    "gaps": """
+select r.deployment_id, r.step, min(m.rpos) as first_gap
+from ran_ok r join removes m on m.step = r.step
+where not exists (select 1 from state_entries e where e.deployment_id = r.deployment_id and e.state_key = m.key)
+group by r.deployment_id, r.step""",
+    "removed": """
+select r.deployment_id, m.key
+from ran_ok r join removes m on m.step = r.step
+left join gaps g on g.deployment_id = r.deployment_id and g.step = r.step
+where g.first_gap is null or m.rpos < g.first_gap""",
+    "residual": """
+select e.* from state_entries e
+where not exists (select 1 from removed r where r.deployment_id = e.deployment_id and r.key = e.state_key)""",
+    "leaked": """
+select deployment_id, cast(count(*) as int) as leaked from residual
+where state_key not in ('main_instance_ip', 'workers_instance_ips', 'cws1_instance_ips', 'cws2_instance_ips',
+                        'instances_ips', 'load_balancer_dnsname')
+group by deployment_id""",
+    "memory": """
+select deployment_id, 'main_instance_ip' as state_key, '10.0.1.5' as state_value
+from acc where config_phase
+union all
+select a.deployment_id, t.state_key,
+       coalesce((select '[' || string_agg('"' || i.private_ip || '"', ',' order by i.idx) || ']'
+                 from inst i where i.deployment_id = a.deployment_id and i.tier = t.tier), '[]')
+from acc a cross join (values ('workers_instance_ips', 'workers'), ('cws1_instance_ips', 'cws1'),
+                              ('cws2_instance_ips', 'cws2')) t(state_key, tier)
+where a.config_phase""",
+})
+
 ORACLES: dict[str, str] = {}
 
 
@@ -509,3 +599,48 @@ _add("c10_generated_secrets", """
 select a.deployment_id, k.key
 from acc a cross join (values ('secret_key'), ('rankings_passwd')) k(key)
 where not exists (select 1 from merged m where m.deployment_id = a.deployment_id and m.key = k.key)""")
+
+_add("d1_missing_prerequisites", """
+select deployment_id, first_missing from (
+  select a.deployment_id,
+         case when not exists (select 1 from state_entries e where e.deployment_id = a.deployment_id
+                               and e.state_key = 'vpc_id') then 'vpc_id'
+              when not exists (select 1 from state_entries e where e.deployment_id = a.deployment_id
+                               and e.state_key = 'cws1_subnet_id') then 'cws1_subnet_id'
+              when not exists (select 1 from state_entries e where e.deployment_id = a.deployment_id
+                               and e.state_key = 'cws2_subnet_id') then 'cws2_subnet_id'
+              when not exists (select 1 from state_entries e where e.deployment_id = a.deployment_id
+                               and e.state_key = 'cws1_instances_ids') then 'cws1_instances_ids'
+              when not exists (select 1 from state_entries e where e.deployment_id = a.deployment_id
+                               and e.state_key = 'cws2_instances_ids') then 'cws2_instances_ids' end
+           as first_missing
+  from acc a where not a.config_phase) x
+where first_missing is not null""")
+
+_add("d2_instances_to_terminate", "select deployment_id, step, pos, instance_id from term_ids")
+
+_add("d3_teardown_plan", "select deployment_id, step, action from plan")
+
+_add("d4_residual_state", "select deployment_id, state_key, state_value from residual")
+
+_add("d5_leaks", "select deployment_id, leaked from leaked")
+
+_add("d5_leaks_top", "select deployment_id, leaked from leaked order by leaked desc, deployment_id limit 20")
+
+_add("d5_leak_counts_from_residual", "select deployment_id, leaked from leaked")
+
+_add("d6_effective_state", """
+select deployment_id, state_key, state_value from memory
+union all
+select deployment_id, state_key, state_value from state_entries
+where deployment_id not in (select deployment_id from memory)""")
+
+_add("d7_select_instances", """
+select t.deployment_id, t.step, t.pos, t.instance_id from term_ids t
+where exists (select 1 from teardown_outcomes o where o.deployment_id = t.deployment_id and o.step = t.step
+              and o.ok)""")
+
+_add("a5_interfaces_in_group", """
+select distinct e.deployment_id, g.ni_id
+from state_entries e join interface_groups g on g.group_id = e.state_value
+where e.state_key = 'lb_security_group_id'""")
