@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import config_int, strict_bool
 from ..operators import config as C
 from ..operators import planning as B
+from ..operators import logs as E
 from ..operators import state as D
+from ..streaming import logs as S
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,3 +270,50 @@ def q_d7(spark, d):
 @register("a5_interfaces_in_group")
 def q_a5(spark, d):
     return D.interfaces_in_group(fx.interface_groups(spark, d), fx.state_entries(spark, d))
+
+
+# -- logs -----------------------------------------------------------------------------------
+
+@register("e1_format_log")
+def q_e1(spark, d):
+    return E.format_log(fx.log_records(spark, d))
+
+
+@register("e2_style_log")
+def q_e2(spark, d):
+    return E.style_log(fx.log_records(spark, d))
+
+
+@register("e3_assemble_records")
+def q_e3(spark, d):
+    return E.assemble_records(fx.log_lines(spark, d))
+
+
+@register("e4_parse_log")
+def q_e4(spark, d):
+    p = E.parse_log(E.format_log(fx.log_records(spark, d)))
+    return p.withColumn("ts", E.ts_text(F.col("ts")))
+
+
+@register("e4_parse_assembled")
+def q_e4_asm(spark, d):
+    recs = E.assemble_records(fx.log_lines(spark, d))
+    p = E.parse_log(recs, "text", keep=("deployment_id", "rec", "first_seq"))
+    return p.withColumn("ts", E.ts_text(F.col("ts")))
+
+
+@register("e5_status_counts")
+def q_e5(spark, d):
+    return E.status_counts(fx.log_records(spark, d))
+
+
+@register("e1_format_log_stream")
+def q_e1_stream(spark, d):
+    out = S.run_to_parquet(S.formatted_log_stream(spark, d), spark, "e1-stream")
+    return spark.read.parquet(out)
+
+
+@register("e4_parse_log_stream")
+def q_e4_stream(spark, d):
+    out = S.run_to_parquet(S.parsed_log_stream(spark, d), spark, "e4-stream")
+    return spark.read.parquet(out).withColumn("ts", E.ts_text(F.col("ts")))

@@ -389,6 +389,23 @@ from acc a cross join (values ('workers_instance_ips', 'workers'), ('cws1_instan
 where a.config_phase""",
 })
 
+# Log helper views.
+HELPER_CTES.update({
+    "fmt": """
+select deployment_id, seq,
+       '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+       || case when strftime(ts, '%f') = '000000' then '' else '.' || strftime(ts, '%f') end
+       || '] ' || status || ': ' || message as line
+from log_records""",
+    "numbered": """
+select *, sum(case when regexp_matches(line,
+                 '^(.*?)\\[(\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(?:\\.\\d{6})?)\\] (\\w+): (.*)$')
+               then 1 else 0 end)
+          over (partition by deployment_id order by seq, sub_no rows between unbounded preceding and current row)
+          as rec
+from log_lines""",
+})
+
 ORACLES: dict[str, str] = {}
 
 
@@ -644,3 +661,48 @@ _add("a5_interfaces_in_group", """
 select distinct e.deployment_id, g.ni_id
 from state_entries e join interface_groups g on g.group_id = e.state_value
 where e.state_key = 'lb_security_group_id'""")
+
+_add("e1_format_log", "select deployment_id, seq, line from fmt")
+
+_add("e1_format_log_stream", "select deployment_id, seq, line from fmt")
+
+_add("e2_style_log", """
+select deployment_id, seq, 'yellow' as time_color,
+       case status when 'info' then 'Info' when 'success' then 'Success' when 'warning' then 'Warning'
+         when 'danger' then 'Danger' when 'critical' then 'Critical' end as label,
+       case status when 'info' then 'blue' when 'success' then 'green' when 'warning' then 'red'
+         when 'danger' then 'white' when 'critical' then 'red' end as fg,
+       case status when 'danger' then 'on_red' end as bg,
+       case when status = 'critical' then true
+            when status in ('info', 'success', 'warning', 'danger') then false end as bold
+from log_records""")
+
+_add("e3_assemble_records", """
+select deployment_id, cast(rec as bigint) as rec, min(seq) as first_seq,
+       string_agg(line, chr(10) order by seq, sub_no) as text
+from numbered group by deployment_id, rec""")
+
+_add("e4_parse_log", """
+select deployment_id, seq, '' as prompt, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, status, message
+from log_records""")
+
+_add("e4_parse_log_stream", """
+select deployment_id, seq, '' as prompt, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, status, message
+from log_records""")
+
+_add("e4_parse_assembled", """
+select deployment_id,
+       cast(row_number() over (partition by deployment_id order by seq) as bigint) as rec,
+       seq as first_seq,
+       case when seq % 25 = 1 then 'Is your IP authorized? [Y/n]' else '' end as prompt,
+       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, status, message
+from log_records""")
+
+_add("e5_status_counts", """
+select deployment_id,
+       count(*) filter (where status = 'info') as info,
+       count(*) filter (where status = 'success') as success,
+       count(*) filter (where status = 'warning') as warning,
+       count(*) filter (where status = 'danger') as danger,
+       count(*) filter (where status = 'critical') as critical
+from log_records group by deployment_id""")

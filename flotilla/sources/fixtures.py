@@ -128,6 +128,11 @@ def interface_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    return log_records_from_events(ev)
+
+
+def log_records_from_events(ev: DataFrame) -> DataFrame:
+    """The log record fixture from an events DataFrame, batch or stream."""
     et, eid = F.col("event_type"), F.col("event_id")
     status = (F.when(et == "click", "info").when(et == "view", "success").when(et == "purchase", "warning")
               .when(et == "error", "danger").otherwise("critical"))
