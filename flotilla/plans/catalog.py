@@ -18,7 +18,9 @@ from ..operators import planning as B
 from ..operators import logs as E
 from ..operators import state as D
 from ..streaming import logs as S
+from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..sources import state_io as A
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,3 +319,34 @@ def q_e1_stream(spark, d):
 def q_e4_stream(spark, d):
     out = S.run_to_parquet(S.parsed_log_stream(spark, d), spark, "e4-stream")
     return spark.read.parquet(out).withColumn("ts", E.ts_text(F.col("ts")))
+
+
+# -- sources and sinks -------------------------------------------------------------------
+
+@register("a1_read_state")
+def q_a1(spark, d):
+    path = A.write_state(fx.state_entries(spark, d), scratch_path(spark, "state"))
+    return A.read_state(spark, path)
+
+
+@register("a2_state_to_json")
+def q_a2(spark, d):
+    return A.state_to_json(fx.state_entries(spark, d))
+
+
+@register("a3_write_config")
+def q_a3(spark, d):
+    req, over = fx.deployment_requests(spark, d), fx.config_overrides(spark, d)
+    docs = C.config_document(C.config_entries(req, over))
+    _, acc, ids, user = _config_inputs(spark, d)
+    parts = C.config_parts(C.fill_defaults(C.apply_forced(user, acc), ids))
+    paths = A.write_config(docs, C.ranking_config_document(parts), scratch_path(spark, "config"))
+    main = A.read_config(spark, paths["cms.conf"], "config").withColumn("doc", F.lit("cms.conf"))
+    rank = A.read_config(spark, paths["cms.ranking.conf"], "ranking").withColumn("doc", F.lit("cms.ranking.conf"))
+    return main.unionByName(rank)
+
+
+@register("a4_read_requests")
+def q_a4(spark, d):
+    path = A.write_requests(fx.deployment_requests(spark, d), scratch_path(spark, "requests"))
+    return A.read_requests(spark, path).withColumn("requested_at", E.ts_text(F.col("requested_at")))

@@ -706,3 +706,47 @@ select deployment_id,
        count(*) filter (where status = 'danger') as danger,
        count(*) filter (where status = 'critical') as critical
 from log_records group by deployment_id""")
+
+_add("a1_read_state", "select deployment_id, state_key, state_value from state_entries")
+
+_add("a2_state_to_json", """
+with k(key, ord, is_list) as (select * from (values
+  ('main_instance_ip', 0, false), ('workers_instance_ips', 1, true), ('cws1_instance_ips', 2, true),
+  ('cws2_instance_ips', 3, true), ('vpc_id', 4, false), ('gateway_id', 5, false), ('main_subnet_id', 6, false),
+  ('main_route_table_id', 7, false), ('main_route_table_association_id', 8, false),
+  ('cws1_subnet_id', 9, false), ('cws1_route_table_id', 10, false),
+  ('cws1_route_table_association_id', 11, false), ('cws2_subnet_id', 12, false),
+  ('cws2_route_table_id', 13, false), ('cws2_route_table_association_id', 14, false),
+  ('security_group_id', 15, false), ('keypair_name', 16, false), ('main_instance_id', 17, false),
+  ('worker_instances_ids', 18, true), ('cws1_instances_ids', 19, true), ('cws2_instances_ids', 20, true),
+  ('instances_ips', 21, true), ('lb_security_group_id', 22, false), ('load_balancer_arn', 23, false),
+  ('load_balancer_dnsname', 24, false), ('target_group_arn', 25, false), ('listener_arn', 26, false)))
+select e.deployment_id,
+       '{"deployment_id":' || e.deployment_id || ',"state":{'
+       || string_agg(to_json(e.state_key)::varchar || ':'
+                     || case when coalesce(k.is_list, false) and starts_with(e.state_value, '[')
+                             then e.state_value else coalesce(to_json(e.state_value)::varchar, 'null') end,
+                     ',' order by coalesce(k.ord, 27), e.state_key)
+       || '}}' as json
+from state_entries e left join k on k.key = e.state_key
+group by e.deployment_id""")
+
+_add("a3_write_config", """
+with ok as (select deployment_id from entries group by deployment_id having count(error) = 0),
+rk as (select deployment_id, 'bind_address' as key, '""' as value from parts
+       union all select deployment_id, 'http_port', rankings_port from parts
+       union all select deployment_id, 'username', rankings_user from parts
+       union all select deployment_id, 'password',
+                        case when rankings_passwd is not null then '"********"' end from parts),
+both_docs as (select deployment_id, 'cms.conf' as doc, key, value from entries
+              union all select deployment_id, 'cms.ranking.conf', key, value from rk)
+select deployment_id, doc, key,
+       case when value is null or value = 'null' then null
+            when starts_with(value, '"') then json_extract_string(value, '$') else value end as value
+from both_docs where deployment_id in (select deployment_id from ok)""")
+
+_add("a4_read_requests", """
+select deployment_id, id, title, nb_workers_instances, nb_workers_per_instance, nb_cws_instances,
+       nb_cws_per_instance, config_phase, main_instance_type, workers_instances_type, cws_instances_type,
+       cms_contest, strftime(requested_at, '%Y-%m-%d %H:%M:%S.%f') as requested_at
+from deployment_requests""")
