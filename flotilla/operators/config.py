@@ -114,27 +114,68 @@ def generated_secrets(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 # -- C2, C3, C4 -------------------------------------------------------------------
 
+KIND_OF = {k: kind for k, _, kind in CONFIG_KEYS}
+KEY_MASK = {k: 1 << i for i, (k, _, _) in enumerate(CONFIG_KEYS)}
+
+
+def _lookup(key: Column, table: dict, cast: str | None = None) -> Column:
+    expr = None
+    for k, v in table.items():
+        expr = F.when(key == k, F.lit(v)) if expr is None else expr.when(key == k, F.lit(v))
+    return expr.cast(cast) if cast else expr
+
+
 def _catalogue() -> Column:
     return F.array(*[F.struct(F.lit(k).alias("key"), F.lit(kind).alias("kind"),
-                              F.lit(default).cast("string").alias("value"))
+                              F.lit(default).cast("string").alias("value"),
+                              F.lit(KEY_MASK[k]).cast("bigint").alias("mask"))
                      for k, default, kind in CONFIG_KEYS])
 
 
+def in_scope(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """Entries of the deployments in ``ids`` (a semi join on the id)."""
+    return entries.join(ids.select("deployment_id"), "deployment_id", "left_semi")
+
+
+def config_facts(scoped: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row per deployment in ``ids``: ``present``, a bit per known key
+    the user (or the planner) gave, and the raw values of the keys the
+    database URL and ranking document read (null when absent).
+
+    ``scoped`` holds entries of deployments in ``ids`` only. One aggregate
+    on ``deployment_id`` over the known-key rows plus one row per id; the
+    partial aggregate runs map-side."""
+    known = scoped.where(F.col("key").isin(KNOWN_KEYS))
+    rows = known.select("deployment_id", _lookup(F.col("key"), KEY_MASK, "bigint").alias("bit"),
+                        *[F.when(F.col("key") == k, F.col("value")).alias(k) for k in PIVOT_KEYS])
+    base = ids.select("deployment_id", F.lit(0).cast("bigint").alias("bit"),
+                      *[F.lit(None).cast("string").alias(k) for k in PIVOT_KEYS])
+    return (base.unionByName(rows).groupBy("deployment_id")
+            .agg(F.bit_or("bit").alias("present"), *[F.max(k).alias(k) for k in PIVOT_KEYS]))
+
+
+def fill_defaults_scoped(scoped: DataFrame, facts: DataFrame) -> DataFrame:
+    """C2 given :func:`config_facts`: the user's known rows as they are, plus
+    one default row for each known key the deployment lacks (a generator
+    over the catalogue, filtered by the presence bits; no merge)."""
+    user = (scoped.where(F.col("key").isin(KNOWN_KEYS))
+            .select("deployment_id", "key", _lookup(F.col("key"), KIND_OF).alias("kind"), "value",
+                    F.lit(True).alias("present")))
+    present = F.col("present")
+    absent = F.filter(_catalogue(), lambda e: present.bitwiseAND(e["mask"]) == 0)
+    defaults = (facts.select("deployment_id", F.inline(absent))
+                .select("deployment_id", "key", "kind", "value", F.lit(False).alias("present")))
+    return user.unionByName(defaults)
+
+
 def fill_defaults(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Every known key of every deployment in ``ids``: the user's value
     when the key is present (an explicit null included), else the default.
 
     ``(deployment_id, key, kind, value, present)``; ``value`` is null only
     for a required or secret key that is absent."""
-    cat = ids.select("deployment_id", F.inline(_catalogue())).withColumn("prio", F.lit(0))
-    user = (entries.where(F.col("key").isin(KNOWN_KEYS))
-            .select("deployment_id", "key", F.lit(None).cast("string").alias("kind"), "value",
-                    F.lit(1).alias("prio")))
-    return (cat.unionByName(user).groupBy("deployment_id", "key")
-            .agg(F.max("kind").alias("kind"),
-                 F.max_by("value", F.struct("prio", "value")).alias("value"),
-                 (F.max("prio") == 1).alias("present"))
-            .where(F.col("kind").isNotNull()))
+    scoped = in_scope(entries, ids)
+    return fill_defaults_scoped(scoped, config_facts(scoped, ids))
 
 
 def typed_value(kind: Column, value: Column) -> Column:
@@ -170,11 +211,18 @@ def known_entries(filled: DataFrame, mask: bool = True) -> DataFrame:
 
 # -- C7, C8 ---------------------------------------------------------------------------
 
-def config_parts(filled: DataFrame) -> DataFrame:
+def config_parts(facts: DataFrame) -> DataFrame:
     """One row per deployment with the values the URL and ranking document
-    need; at most nine rows per deployment enter this aggregate."""
-    pick = [F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in PIVOT_KEYS]
-    return filled.where(F.col("key").isin(PIVOT_KEYS)).groupBy("deployment_id").agg(*pick)
+    need: the user's value, else the default (null for a required or secret
+    key that is absent)."""
+    defaults = {k: d for k, d, _ in CONFIG_KEYS}
+    return facts.select("deployment_id", *[
+        F.coalesce(F.col(k), F.lit(defaults[k]).cast("string")).alias(k) for k in PIVOT_KEYS])
+
+
+def parts_for(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """:func:`config_parts` straight from merged entries and ids."""
+    return config_parts(config_facts(in_scope(entries, ids), ids))
 
 
 def database_url(parts: DataFrame, mask: bool = True) -> DataFrame:
@@ -204,21 +252,30 @@ def ranking_document(parts: DataFrame, mask: bool = True) -> DataFrame:
 
 def passthrough_keys(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Keys the generator does not know are kept as given."""
-    unknown = entries.where(~F.col("key").isin(KNOWN_KEYS))
-    return unknown.join(ids.select("deployment_id"), "deployment_id", "left_semi")
+    return in_scope(entries.where(~F.col("key").isin(KNOWN_KEYS)), ids)
 
 
-def config_entries(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
-    """The main document of every accepted deployment in long form:
-    ``(deployment_id, key, value, error)``."""
+def resolve(requests: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shared first half of the configuration plan: ``(ids, scoped, facts)``
+    where ``scoped`` are the merged (forced + user) entries of accepted
+    deployments and ``facts`` the per-deployment row of :func:`config_facts`."""
     acc = B.accepted_requests(requests)
     ids = acc.select("deployment_id")
     merged = apply_forced(overrides_json(overrides), acc)
-    filled = fill_defaults(merged, ids)
-    db = (database_url(config_parts(filled), mask).where(F.col("database").isNotNull())
+    scoped = in_scope(merged, ids)
+    return ids, scoped, config_facts(scoped, ids)
+
+
+def config_entries(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
+    """The main document of every accepted deployment in long form:
+    ``(deployment_id, key, value, error)``."""
+    ids, scoped, facts = resolve(requests, overrides)
+    filled = fill_defaults_scoped(scoped, facts)
+    db = (database_url(config_parts(facts), mask).where(F.col("database").isNotNull())
           .select("deployment_id", F.lit("database").alias("key"), json_string(F.col("database")).alias("value"),
                   F.lit(None).cast("string").alias("error")))
-    passed = passthrough_keys(merged, ids).withColumn("error", F.lit(None).cast("string"))
+    passed = (scoped.where(~F.col("key").isin(KNOWN_KEYS))
+              .select("deployment_id", "key", "value", F.lit(None).cast("string").alias("error")))
     return known_entries(filled, mask).unionByName(db).unionByName(passed)
 
 

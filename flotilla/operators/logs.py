@@ -125,10 +125,12 @@ def assemble_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) ->
 # -- E5 -------------------------------------------------------------------------------------
 
 def status_counts(records: DataFrame) -> DataFrame:
-    """E5: records per deployment and status, one column per known status
-    (a pivot over the fixed list; partial counts map-side)."""
-    counts = records.groupBy("deployment_id").pivot("status", LOG_STATUSES).count()
-    return counts.na.fill(0, subset=LOG_STATUSES)
+    """E5: records per deployment and status, one column per known status.
+    A pivot over the fixed status list written as conditional counts: one
+    aggregate (one shuffle, partial counts map-side) instead of the two a
+    ``pivot`` plans, and valid as a single stateful operator on a stream."""
+    return records.groupBy("deployment_id").agg(
+        *[F.count_if(F.col("status") == s).alias(s) for s in LOG_STATUSES])
 
 
 def ts_text(ts: Column) -> Column:

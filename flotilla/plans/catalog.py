@@ -145,6 +145,11 @@ def _filled(spark, d):
     return C.fill_defaults(C.apply_forced(user, acc), ids)
 
 
+def _parts(spark, d):
+    _, _, facts = C.resolve(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
+    return C.config_parts(facts)
+
+
 @register("c1_missing_required_raw")
 def q_c1_raw(spark, d):
     _, _, ids, user = _config_inputs(spark, d)
@@ -189,17 +194,17 @@ def q_c6(spark, d):
 
 @register("c7_database_url")
 def q_c7(spark, d):
-    return C.database_url(C.config_parts(_filled(spark, d)))
+    return C.database_url(_parts(spark, d))
 
 
 @register("c8_ranking_document")
 def q_c8(spark, d):
-    return C.ranking_document(C.config_parts(_filled(spark, d)))
+    return C.ranking_document(_parts(spark, d))
 
 
 @register("c8_ranking_config_document")
 def q_c8_doc(spark, d):
-    return C.ranking_config_document(C.config_parts(_filled(spark, d)))
+    return C.ranking_config_document(_parts(spark, d))
 
 
 @register("c9_config_entries")
@@ -338,9 +343,7 @@ def q_a2(spark, d):
 def q_a3(spark, d):
     req, over = fx.deployment_requests(spark, d), fx.config_overrides(spark, d)
     docs = C.config_document(C.config_entries(req, over))
-    _, acc, ids, user = _config_inputs(spark, d)
-    parts = C.config_parts(C.fill_defaults(C.apply_forced(user, acc), ids))
-    paths = A.write_config(docs, C.ranking_config_document(parts), scratch_path(spark, "config"))
+    paths = A.write_config(docs, C.ranking_config_document(_parts(spark, d)), scratch_path(spark, "config"))
     main = A.read_config(spark, paths["cms.conf"], "config").withColumn("doc", F.lit("cms.conf"))
     rank = A.read_config(spark, paths["cms.ranking.conf"], "ranking").withColumn("doc", F.lit("cms.ranking.conf"))
     return main.unionByName(rank)
