@@ -9,14 +9,16 @@ Plan shape, per fleet:
 
 * forced keys come from the request row (a generator, no shuffle) and win by
   a filter on the fixed key list, not a join;
-* defaults are a generator of the catalogue per accepted deployment,
-  unioned with the user rows and merged by ONE ``groupBy(deployment_id,
-  key)`` whose partial aggregate runs map-side; a deployment with very many
-  keys still spreads over many reducers because ``key`` is in the grouping;
-* the database URL and ranking document need several keys of one
-  deployment: a conditional aggregate over at most nine pre-filtered rows
-  per deployment (a second, small shuffle);
-* unknown keys pass through after a semi join with the accepted ids.
+* the merged rows are kept to accepted deployments by a semi join on the
+  id (the only shuffle of the user rows);
+* ONE aggregate on ``deployment_id`` gives the per-deployment facts: a bit
+  per known key present (``bit_or``) and the nine values the database URL
+  and ranking document read (conditional ``max``); the partial aggregate
+  runs map-side, so a deployment with many rows reaches the reducer as one
+  row per map partition;
+* defaults are generated only for absent keys, from the fact row (a CASE
+  per key, no merge with the user rows), and the URL comes from the same
+  row; user rows pass through typed, unknown keys unchanged.
 """
 
 from __future__ import annotations
@@ -132,6 +134,18 @@ def _catalogue() -> Column:
                      for k, default, kind in CONFIG_KEYS])
 
 
+def _default_struct(k: str, default, kind: str) -> Column:
+    return F.struct(F.lit(k).alias("key"), F.lit(kind).alias("kind"), F.lit(default).cast("string").alias("value"))
+
+
+def _absent_defaults(present: Column) -> Column:
+    """Default rows of the known keys whose bit is not set in ``present``
+    (a CASE per key inside one array, all code-generated)."""
+    return F.array_compact(F.array(*[
+        F.when(present.bitwiseAND(F.lit(KEY_MASK[k])) == 0, _default_struct(k, d, kind))
+        for k, d, kind in CONFIG_KEYS]))
+
+
 def in_scope(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Entries of the deployments in ``ids`` (a semi join on the id)."""
     return entries.join(ids.select("deployment_id"), "deployment_id", "left_semi")
@@ -161,9 +175,7 @@ def fill_defaults_scoped(scoped: DataFrame, facts: DataFrame) -> DataFrame:
     user = (scoped.where(F.col("key").isin(KNOWN_KEYS))
             .select("deployment_id", "key", _lookup(F.col("key"), KIND_OF).alias("kind"), "value",
                     F.lit(True).alias("present")))
-    present = F.col("present")
-    absent = F.filter(_catalogue(), lambda e: present.bitwiseAND(e["mask"]) == 0)
-    defaults = (facts.select("deployment_id", F.inline(absent))
+    defaults = (facts.select("deployment_id", F.inline(_absent_defaults(F.col("present"))))
                 .select("deployment_id", "key", "kind", "value", F.lit(False).alias("present")))
     return user.unionByName(defaults)
 
@@ -193,14 +205,14 @@ def _mask(key: Column, value: Column, mask: bool) -> Column:
 
 
 def known_entries(filled: DataFrame, mask: bool = True) -> DataFrame:
-    """Known keys as written to the main document, with an ``error`` for a
+    """Keys as written to the main document, with an ``error`` for a
     missing required key or a malformed integer. Local keys (database and
     ranking parts) and secrets are written only when the user gave them;
     ``database`` comes from :func:`database_url`; ``rankings`` is always
-    the empty list."""
+    the empty list. Rows with no ``kind`` (unknown keys) pass as they are."""
     kind, key, present = F.col("kind"), F.col("key"), F.col("present")
     value = typed_value(kind, F.col("value"))
-    emit = (kind.isin("raw", "bool", "int", "required")
+    emit = (kind.isNull() | kind.isin("raw", "bool", "int", "required")
             | (kind.isin("local", "secret") & present)
             | (key == "rankings"))
     error = (F.when((kind == "required") & ~present, F.lit(MISSING_REQUIRED))
@@ -211,12 +223,12 @@ def known_entries(filled: DataFrame, mask: bool = True) -> DataFrame:
 
 # -- C7, C8 ---------------------------------------------------------------------------
 
-def config_parts(facts: DataFrame) -> DataFrame:
+def config_parts(facts: DataFrame, keep=()) -> DataFrame:
     """One row per deployment with the values the URL and ranking document
     need: the user's value, else the default (null for a required or secret
     key that is absent)."""
     defaults = {k: d for k, d, _ in CONFIG_KEYS}
-    return facts.select("deployment_id", *[
+    return facts.select("deployment_id", *keep, *[
         F.coalesce(F.col(k), F.lit(defaults[k]).cast("string")).alias(k) for k in PIVOT_KEYS])
 
 
@@ -225,15 +237,19 @@ def parts_for(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return config_parts(config_facts(in_scope(entries, ids), ids))
 
 
+def _database_url_expr(mask: bool) -> Column:
+    """The URL over the columns of :func:`config_parts`."""
+    pw = F.col("db_passwd")
+    pw_text = F.when(pw.isNotNull(), F.lit(MASK)) if mask else py_str(pw)
+    return F.concat(F.lit("postgresql+psycopg2://"), py_str(F.col("db_user")), F.lit(":"), pw_text, F.lit("@"),
+                    py_str(F.col("db_host")), F.lit(":"), py_str(F.col("db_port")), F.lit("/"),
+                    py_str(F.col("db_name")))
+
+
 def database_url(parts: DataFrame, mask: bool = True) -> DataFrame:
     """``postgresql+psycopg2://u:pw@h:p/n`` from the filled values;
     null when the password is missing (the generator fails there)."""
-    pw = F.col("db_passwd")
-    pw_text = F.when(pw.isNotNull(), F.lit(MASK)) if mask else py_str(pw)
-    url = F.concat(F.lit("postgresql+psycopg2://"), py_str(F.col("db_user")), F.lit(":"), pw_text, F.lit("@"),
-                   py_str(F.col("db_host")), F.lit(":"), py_str(F.col("db_port")), F.lit("/"),
-                   py_str(F.col("db_name")))
-    return parts.select("deployment_id", url.alias("database"))
+    return parts.select("deployment_id", _database_url_expr(mask).alias("database"))
 
 
 def ranking_document(parts: DataFrame, mask: bool = True) -> DataFrame:
@@ -268,15 +284,27 @@ def resolve(requests: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataF
 
 def config_entries(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
     """The main document of every accepted deployment in long form:
-    ``(deployment_id, key, value, error)``."""
-    ids, scoped, facts = resolve(requests, overrides)
-    filled = fill_defaults_scoped(scoped, facts)
-    db = (database_url(config_parts(facts), mask).where(F.col("database").isNotNull())
-          .select("deployment_id", F.lit("database").alias("key"), json_string(F.col("database")).alias("value"),
-                  F.lit(None).cast("string").alias("error")))
-    passed = (scoped.where(~F.col("key").isin(KNOWN_KEYS))
-              .select("deployment_id", "key", "value", F.lit(None).cast("string").alias("error")))
-    return known_entries(filled, mask).unionByName(db).unionByName(passed)
+    ``(deployment_id, key, value, error)``.
+
+    Two branches only: every merged row of an accepted deployment (known
+    keys typed, unknown keys passed through), and one generator per
+    deployment fact row that emits the defaults of its absent keys and its
+    database URL."""
+    _, scoped, facts = resolve(requests, overrides)
+    return _entries(scoped, facts, mask)
+
+
+def _entries(scoped: DataFrame, facts: DataFrame, mask: bool) -> DataFrame:
+    rows = scoped.select("deployment_id", "key", _lookup(F.col("key"), KIND_OF).alias("kind"), "value",
+                         F.lit(True).alias("present"))
+    url = _database_url_expr(mask)
+    db = F.when(url.isNotNull(), F.array(F.struct(
+        F.lit("database").alias("key"), F.lit("raw").alias("kind"), json_string(url).alias("value")))
+    ).otherwise(F.array().cast("array<struct<key:string,kind:string,value:string>>"))
+    gen = (config_parts(facts, keep=("present",))
+           .select("deployment_id", F.inline(F.concat(_absent_defaults(F.col("present")), db)))
+           .select("deployment_id", "key", "kind", "value", F.lit(False).alias("present")))
+    return known_entries(rows.unionByName(gen), mask)
 
 
 def config_document(entries: DataFrame) -> DataFrame:
@@ -301,3 +329,15 @@ def ranking_config_document(parts: DataFrame, mask: bool = True) -> DataFrame:
             v = _mask(F.lit(src), v, mask)
         frags.append(F.concat(F.lit(f'"{name}":'), F.coalesce(v, F.lit("null"))))
     return parts.select("deployment_id", F.concat(F.lit("{"), F.concat_ws(",", *frags), F.lit("}")).alias("document"))
+
+
+def config_files(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
+    """Both documents of every accepted deployment, one row each:
+    ``(deployment_id, config, ranking, error)``. The main document comes
+    from the per-deployment regrouping of the entries, the ranking document
+    from the fact row; both sides are partitioned by ``deployment_id``, so
+    their join adds no shuffle."""
+    _, scoped, facts = resolve(requests, overrides)
+    docs = config_document(_entries(scoped, facts, mask)).withColumnRenamed("document", "config")
+    rank = ranking_config_document(config_parts(facts), mask).withColumnRenamed("document", "ranking")
+    return docs.join(rank, "deployment_id")

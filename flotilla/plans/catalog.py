@@ -341,11 +341,10 @@ def q_a2(spark, d):
 
 @register("a3_write_config")
 def q_a3(spark, d):
-    req, over = fx.deployment_requests(spark, d), fx.config_overrides(spark, d)
-    docs = C.config_document(C.config_entries(req, over))
-    paths = A.write_config(docs, C.ranking_config_document(_parts(spark, d)), scratch_path(spark, "config"))
-    main = A.read_config(spark, paths["cms.conf"], "config").withColumn("doc", F.lit("cms.conf"))
-    rank = A.read_config(spark, paths["cms.ranking.conf"], "ranking").withColumn("doc", F.lit("cms.ranking.conf"))
+    files = C.config_files(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
+    path = A.write_config(files, scratch_path(spark, "config"))
+    main = A.read_config(spark, path, "config").withColumn("doc", F.lit("cms.conf"))
+    rank = A.read_config(spark, path, "ranking").withColumn("doc", F.lit("cms.ranking.conf"))
     return main.unionByName(rank)
 
 
