@@ -117,3 +117,37 @@ def config_int(value_json: Column) -> Column:
 
 def config_int_error(value_json: Column) -> Column:
     return config_int(value_json).isNull()
+
+
+# -- constant tables as one SQL expression -------------------------------------------
+#
+# Lookups over the fixed tables (40 configuration keys, 27 state keys, ...)
+# are written as SQL text and parsed once, instead of being assembled from
+# hundreds of small Column calls; the plan is the same CASE / array literal.
+
+def sql_literal(v) -> str:
+    """A Python constant as Spark SQL literal text."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L" if abs(v) >= 2 ** 31 else str(v)
+    s = str(v).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{s}'"
+
+
+def case_sql(col_name: str, mapping: dict, default=None) -> str:
+    whens = " ".join(f"WHEN {sql_literal(k)} THEN {sql_literal(v)}" for k, v in mapping.items())
+    return f"CASE `{col_name}` {whens} ELSE {sql_literal(default)} END"
+
+
+def case_lookup(col_name: str, mapping: dict, default=None, cast: str | None = None) -> Column:
+    """``CASE col WHEN k THEN v ... ELSE default END`` for a constant table."""
+    expr = case_sql(col_name, mapping, default)
+    return F.expr(f"CAST({expr} AS {cast})" if cast else expr)
+
+
+def struct_sql(fields: dict) -> str:
+    """``named_struct(..)`` text; values are SQL text already."""
+    return "named_struct(" + ", ".join(f"{sql_literal(k)}, {v}" for k, v in fields.items()) + ")"

@@ -30,7 +30,7 @@ from ..constants import (
     CONFIG_KEYS, DATABASE_URL_PARTS, FORCED_ADMIN_LISTEN_PORT, FORCED_CONFIG_KEYS, FORCED_NUM_PROXIES, MASK,
     MASKED_KEYS, RANKING_BIND_ADDRESS, RANKING_FIELDS, REQUIRED_CONFIG_KEYS, SECRET_KEYS,
 )
-from ..functions.columns import config_int, json_string, py_str, strict_bool
+from ..functions.columns import case_lookup, config_int, json_string, py_str, sql_literal, strict_bool, struct_sql
 from . import planning as B
 
 KNOWN_KEYS = [k for k, _, _ in CONFIG_KEYS]
@@ -120,11 +120,8 @@ KIND_OF = {k: kind for k, _, kind in CONFIG_KEYS}
 KEY_MASK = {k: 1 << i for i, (k, _, _) in enumerate(CONFIG_KEYS)}
 
 
-def _lookup(key: Column, table: dict, cast: str | None = None) -> Column:
-    expr = None
-    for k, v in table.items():
-        expr = F.when(key == k, F.lit(v)) if expr is None else expr.when(key == k, F.lit(v))
-    return expr.cast(cast) if cast else expr
+def _lookup(key: str, table: dict, cast: str | None = None) -> Column:
+    return case_lookup(key, table, cast=cast)
 
 
 def _catalogue() -> Column:
@@ -138,12 +135,22 @@ def _default_struct(k: str, default, kind: str) -> Column:
     return F.struct(F.lit(k).alias("key"), F.lit(kind).alias("kind"), F.lit(default).cast("string").alias("value"))
 
 
-def _absent_defaults(present: Column) -> Column:
-    """Default rows of the known keys whose bit is not set in ``present``
-    (a CASE per key inside one array, all code-generated)."""
-    return F.array_compact(F.array(*[
-        F.when(present.bitwiseAND(F.lit(KEY_MASK[k])) == 0, _default_struct(k, d, kind))
-        for k, d, kind in CONFIG_KEYS]))
+def _absent_defaults_sql(present: str) -> str:
+    items = []
+    for k, d, kind in CONFIG_KEYS:
+        row = struct_sql({"key": sql_literal(k), "kind": sql_literal(kind),
+                          "value": f"CAST({sql_literal(d)} AS STRING)"})
+        items.append(f"CASE WHEN (`{present}` & {sql_literal(KEY_MASK[k])}) = 0 THEN {row} END")
+    return "array_compact(array(" + ", ".join(items) + "))"
+
+
+_ABSENT_DEFAULTS = _absent_defaults_sql("present")
+
+
+def _absent_defaults(present: str = "present") -> Column:
+    """Default rows of the known keys whose bit is not set in column
+    ``present`` (a CASE per key inside one array, all code-generated)."""
+    return F.expr(_ABSENT_DEFAULTS if present == "present" else _absent_defaults_sql(present))
 
 
 def in_scope(entries: DataFrame, ids: DataFrame) -> DataFrame:
@@ -160,7 +167,7 @@ def config_facts(scoped: DataFrame, ids: DataFrame) -> DataFrame:
     on ``deployment_id`` over the known-key rows plus one row per id; the
     partial aggregate runs map-side."""
     known = scoped.where(F.col("key").isin(KNOWN_KEYS))
-    rows = known.select("deployment_id", _lookup(F.col("key"), KEY_MASK, "bigint").alias("bit"),
+    rows = known.select("deployment_id", _lookup("key", KEY_MASK, "bigint").alias("bit"),
                         *[F.when(F.col("key") == k, F.col("value")).alias(k) for k in PIVOT_KEYS])
     base = ids.select("deployment_id", F.lit(0).cast("bigint").alias("bit"),
                       *[F.lit(None).cast("string").alias(k) for k in PIVOT_KEYS])
@@ -173,9 +180,9 @@ def fill_defaults_scoped(scoped: DataFrame, facts: DataFrame) -> DataFrame:
     one default row for each known key the deployment lacks (a generator
     over the catalogue, filtered by the presence bits; no merge)."""
     user = (scoped.where(F.col("key").isin(KNOWN_KEYS))
-            .select("deployment_id", "key", _lookup(F.col("key"), KIND_OF).alias("kind"), "value",
+            .select("deployment_id", "key", _lookup("key", KIND_OF).alias("kind"), "value",
                     F.lit(True).alias("present")))
-    defaults = (facts.select("deployment_id", F.inline(_absent_defaults(F.col("present"))))
+    defaults = (facts.select("deployment_id", F.inline(_absent_defaults("present")))
                 .select("deployment_id", "key", "kind", "value", F.lit(False).alias("present")))
     return user.unionByName(defaults)
 
@@ -295,14 +302,14 @@ def config_entries(requests: DataFrame, overrides: DataFrame, mask: bool = True)
 
 
 def _entries(scoped: DataFrame, facts: DataFrame, mask: bool) -> DataFrame:
-    rows = scoped.select("deployment_id", "key", _lookup(F.col("key"), KIND_OF).alias("kind"), "value",
+    rows = scoped.select("deployment_id", "key", _lookup("key", KIND_OF).alias("kind"), "value",
                          F.lit(True).alias("present"))
     url = _database_url_expr(mask)
     db = F.when(url.isNotNull(), F.array(F.struct(
         F.lit("database").alias("key"), F.lit("raw").alias("kind"), json_string(url).alias("value")))
     ).otherwise(F.array().cast("array<struct<key:string,kind:string,value:string>>"))
     gen = (config_parts(facts, keep=("present",))
-           .select("deployment_id", F.inline(F.concat(_absent_defaults(F.col("present")), db)))
+           .select("deployment_id", F.inline(F.concat(_absent_defaults("present"), db)))
            .select("deployment_id", "key", "kind", "value", F.lit(False).alias("present")))
     return known_entries(rows.unionByName(gen), mask)
 

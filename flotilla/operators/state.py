@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..constants import (
     LB_PREREQUISITES, MAIN_IP, NON_RESOURCE_KEYS, STATE_KEY_NAMES, TEARDOWN_STEPS, TERMINATE_KEYS,
 )
+from ..functions.columns import case_lookup, sql_literal, struct_sql
 from .config import first_absent
 
 KEY_BIT = {k: i for i, k in enumerate(STATE_KEY_NAMES)}
@@ -36,11 +37,9 @@ def _mask_of(keys) -> int:
     return sum(1 << KEY_BIT[k] for k in keys)
 
 
-def _key_bit(key: Column) -> Column:
-    expr = None
-    for k, i in KEY_BIT.items():
-        expr = F.when(key == k, F.lit(1 << i)) if expr is None else expr.when(key == k, F.lit(1 << i))
-    return expr.cast("bigint")
+def _key_bit(key: str = "state_key") -> Column:
+    """The bit of a known state key (null for other keys)."""
+    return case_lookup(key, {k: 1 << i for k, i in KEY_BIT.items()}, cast="bigint")
 
 
 def known_state(state_entries: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def teardown_masks(state_entries: DataFrame, outcomes: DataFrame | None = None)
     bit i of ``present`` for the i-th known key, ``queued`` when some
     machine id is waited on, bit s of ``ok`` when step s succeeded."""
     st = known_state(state_entries).select(
-        "deployment_id", _key_bit(F.col("state_key")).alias("present"),
+        "deployment_id", _key_bit("state_key").alias("present"),
         _queued(F.col("state_key"), F.col("state_value")).alias("queued"),
         F.lit(0).cast("bigint").alias("ok"), F.lit(1).alias("has_state"))
     rows = st
@@ -100,29 +99,39 @@ def teardown_masks(state_entries: DataFrame, outcomes: DataFrame | None = None)
             .where(F.col("has_state") == 1).drop("has_state"))
 
 
-def _has_all(present: Column, mask: int) -> Column:
-    return present.bitwiseAND(F.lit(mask)) == F.lit(mask)
+def _has_all(mask: int) -> str:
+    return f"((`present` & {mask}L) = {mask}L)"
 
 
-def step_runs(step: int, guard, present: Column, queued: Column) -> Column:
-    return queued if guard is None else _has_all(present, _mask_of(guard))
+def _runs(guard) -> str:
+    """SQL condition under which a step runs, over ``present``/``queued``."""
+    return "`queued`" if guard is None else _has_all(_mask_of(guard))
 
 
-def _step_ok(ok: Column, step: int) -> Column:
-    return ok.bitwiseAND(F.lit(1 << step)) != 0
-
-
-def removed_mask(present: Column, queued: Column, ok: Column) -> Column:
-    """Keys deleted by successful steps. A step deletes its keys in order and
-    stops at the first absent one (the deletion raises there), so key j of
-    a step goes only when keys 1..j are all present."""
-    total = F.lit(0).cast("bigint")
+def _removed_sql() -> str:
+    terms = []
     for step, guard, removes, _ in TEARDOWN_STEPS:
-        runs = step_runs(step, guard, present, queued) & _step_ok(ok, step)
+        runs = f"({_runs(guard)} AND (`ok` & {1 << step}L) <> 0)"
         for j in range(len(removes)):
-            total = total.bitwiseOR(F.when(runs & _has_all(present, _mask_of(removes[: j + 1])),
-                                           F.lit(1 << KEY_BIT[removes[j]])).otherwise(F.lit(0)).cast("bigint"))
-    return total
+            bit = 1 << KEY_BIT[removes[j]]
+            terms.append(f"CASE WHEN {runs} AND {_has_all(_mask_of(removes[: j + 1]))} THEN {bit}L ELSE 0L END")
+    return " | ".join(terms)
+
+
+_REMOVED = _removed_sql()
+
+
+def removed_mask() -> Column:
+    """Keys deleted by successful steps, over the columns ``present``,
+    ``queued`` and ``ok``. A step deletes its keys in order and stops at
+    the first absent one (the deletion raises there), so key j of a step
+    goes only when keys 1..j are all present."""
+    return F.expr(_REMOVED)
+
+
+_PLAN_STEPS = "array_compact(array(" + ", ".join(
+    f"CASE WHEN {_runs(g)} THEN {struct_sql({'step': str(st), 'action': sql_literal(a)})} END"
+    for st, g, _, a in TEARDOWN_STEPS) + "))"
 
 
 # -- D3, D4, D5 -------------------------------------------------------------------------
@@ -132,18 +141,14 @@ def teardown_plan(state_entries: DataFrame) -> DataFrame:
     in execution order. Guards read the input state only: no step removes
     another step's guard key, so one pass suffices."""
     m = teardown_masks(state_entries)
-    p, q = F.col("present"), F.col("queued")
-    steps = F.array_compact(F.array(*[
-        F.when(step_runs(s, g, p, q), F.struct(F.lit(s).alias("step"), F.lit(a).alias("action")))
-        for s, g, _, a in TEARDOWN_STEPS]))
-    return m.select("deployment_id", F.inline(steps))
+    return m.select("deployment_id", F.inline(F.expr(_PLAN_STEPS)))
 
 
 def teardown_result(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Per deployment: masks plus ``removed`` and ``left`` (present and not
     removed)."""
     m = teardown_masks(state_entries, outcomes)
-    removed = removed_mask(F.col("present"), F.col("queued"), F.col("ok"))
+    removed = removed_mask()
     return (m.withColumn("removed", removed)
             .withColumn("left", F.col("present").bitwiseAND(F.bitwise_not(F.col("removed")))))
 
@@ -154,7 +159,7 @@ def residual_state(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
     res = teardown_result(state_entries, outcomes).select("deployment_id", "removed")
     known = known_state(state_entries)
     kept = (known.join(res, "deployment_id")
-            .where(F.col("removed").bitwiseAND(_key_bit(F.col("state_key"))) == 0)
+            .where(F.col("removed").bitwiseAND(_key_bit("state_key")) == 0)
             .select("deployment_id", "state_key", "state_value"))
     unknown = state_entries.where(~F.col("state_key").isin(STATE_KEY_NAMES))
     return kept.unionByName(unknown)
@@ -166,13 +171,16 @@ def leaks(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
     teardown, from the per-deployment masks (no join)."""
     r = teardown_result(state_entries, outcomes)
     left = F.col("left").bitwiseAND(F.lit(RESOURCE_MASK))
-    names = F.array_compact(F.array(*[
-        F.when(left.bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for k, i in KEY_BIT.items()
-        if (RESOURCE_MASK >> i) & 1]))
-    return (r.select("deployment_id", F.bit_count(left).cast("int").alias("leaked"), names.alias("leaked_keys"))
+    return (r.select("deployment_id", F.bit_count(left).cast("int").alias("leaked"),
+                     F.expr(_LEAKED_NAMES).alias("leaked_keys"))
             .where(F.col("leaked") > 0))
 
 
+_LEAKED_NAMES = "array_compact(array(" + ", ".join(
+    f"CASE WHEN (`left` & {1 << i}L) <> 0 THEN {sql_literal(k)} END"
+    for k, i in KEY_BIT.items() if (RESOURCE_MASK >> i) & 1) + "))"
+
+
 def leak_counts(residual: DataFrame) -> DataFrame:
     """D5 from residual rows: resource keys left per deployment."""
     return (residual.where(F.col("state_key").isin([k for k in STATE_KEY_NAMES if k not in NON_RESOURCE_KEYS]))

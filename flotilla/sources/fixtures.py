@@ -78,10 +78,7 @@ def config_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey")
     k = F.col("o_orderkey")
-    keys = F.array(*[F.struct(F.lit(name).alias("state_key"), F.lit(no).alias("key_no"))
-                     for no, name in enumerate(STATE_KEY_NAMES, start=1)])
-    kept = F.filter(keys, lambda s: (k + s["key_no"]) % 9 != 0)
-    g = o.select(k.alias("deployment_id"), F.inline(kept))
+    g = o.select(k.alias("deployment_id"), F.inline(F.expr(_STATE_KEY_ROWS)))
     key, no, ks = F.col("state_key"), F.col("key_no"), _s(F.col("deployment_id"))
     value = (F.when((key == "worker_instances_ids") & (F.col("deployment_id") % 5 == 0), "[]")
              .when(no.isin(19, 20, 21),
@@ -91,6 +88,11 @@ def state_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("deployment_id", "state_key", value.alias("state_value"))
 
 
+_STATE_KEY_ROWS = "filter(array(" + ", ".join(
+    f"named_struct('state_key', '{name}', 'key_no', {no})" for no, name in enumerate(STATE_KEY_NAMES, start=1)
+) + "), s -> (o_orderkey + s.key_no) % 9 <> 0)"
+
+
 def teardown_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     steps = F.transform(F.array_repeat(F.lit(0), 19), lambda _, i: i + 1)

@@ -23,6 +23,9 @@ SPREAD_KEYS = {
 }
 
 
+_NARROW: dict[tuple[str, int], bool] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one table; naming the columns keeps the parquet ReadSchema narrow.
 
@@ -38,7 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     if columns:
         df = df.select(*columns)
     target = spark.sparkContext.defaultParallelism
-    if target > 1 and df.rdd.getNumPartitions() < target:
-        key = SPREAD_KEYS.get(name)
-        df = df.repartition(target, key) if key and key in df.columns else df.repartition(target)
+    key = (path, target)
+    if key not in _NARROW:
+        _NARROW[key] = target > 1 and spark.read.parquet(path).rdd.getNumPartitions() < target
+    if _NARROW[key]:
+        spread = SPREAD_KEYS.get(name)
+        df = df.repartition(target, spread) if spread and spread in df.columns else df.repartition(target)
     return df
