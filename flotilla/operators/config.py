@@ -9,13 +9,15 @@ Plan shape, per fleet:
 
 * forced keys come from the request row (a generator, no shuffle) and win by
   a filter on the fixed key list, not a join;
-* the merged rows are kept to accepted deployments by a semi join on the
-  id (the only shuffle of the user rows);
+* user rows are kept to accepted deployments by a semi join on the id;
+  forced rows are generated for accepted deployments only;
 * ONE aggregate on ``deployment_id`` gives the per-deployment facts: a bit
-  per known key present (``bit_or``) and the nine values the database URL
-  and ranking document read (conditional ``max``); the partial aggregate
-  runs map-side, so a deployment with many rows reaches the reducer as one
-  row per map partition;
+  per known key present (``bit_or``; forced keys are present by
+  construction) and the nine values the database URL and ranking document
+  read (conditional ``max``). Accepted ids enter as marker rows, so this
+  branch needs no join; the partial aggregate runs map-side, so a
+  deployment with many rows reaches the reducer as one row per map
+  partition;
 * defaults are generated only for absent keys, from the fact row (a CASE
   per key, no merge with the user rows), and the URL comes from the same
   row; user rows pass through typed, unknown keys unchanged.
@@ -158,21 +160,26 @@ def in_scope(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("deployment_id"), "deployment_id", "left_semi")
 
 
-def config_facts(scoped: DataFrame, ids: DataFrame) -> DataFrame:
+def config_facts(entries: DataFrame, ids: DataFrame, base_mask: int = 0) -> DataFrame:
     """One row per deployment in ``ids``: ``present``, a bit per known key
-    the user (or the planner) gave, and the raw values of the keys the
-    database URL and ranking document read (null when absent).
-
-    ``scoped`` holds entries of deployments in ``ids`` only. One aggregate
-    on ``deployment_id`` over the known-key rows plus one row per id; the
-    partial aggregate runs map-side."""
-    known = scoped.where(F.col("key").isin(KNOWN_KEYS))
+    given, and the raw values of the keys the database URL and ranking
+    document read (null when absent). ``base_mask`` marks keys present by
+    construction (the forced keys when ``entries`` holds user rows only).
+
+    Rows of deployments outside ``ids`` may be in ``entries``: the ids join
+    the aggregate as marker rows and only marked groups are kept, so no join
+    is needed. One aggregate on ``deployment_id`` whose partial aggregate
+    runs map-side."""
+    known = entries.where(F.col("key").isin(KNOWN_KEYS))
     rows = known.select("deployment_id", _lookup("key", KEY_MASK, "bigint").alias("bit"),
-                        *[F.when(F.col("key") == k, F.col("value")).alias(k) for k in PIVOT_KEYS])
-    base = ids.select("deployment_id", F.lit(0).cast("bigint").alias("bit"),
-                      *[F.lit(None).cast("string").alias(k) for k in PIVOT_KEYS])
+                        *[F.when(F.col("key") == k, F.col("value")).alias(k) for k in PIVOT_KEYS],
+                        F.lit(0).alias("is_id"))
+    base = ids.select("deployment_id", F.lit(base_mask).cast("bigint").alias("bit"),
+                      *[F.lit(None).cast("string").alias(k) for k in PIVOT_KEYS], F.lit(1).alias("is_id"))
     return (base.unionByName(rows).groupBy("deployment_id")
-            .agg(F.bit_or("bit").alias("present"), *[F.max(k).alias(k) for k in PIVOT_KEYS]))
+            .agg(F.bit_or("bit").alias("present"), *[F.max(k).alias(k) for k in PIVOT_KEYS],
+                 F.max("is_id").alias("is_id"))
+            .where(F.col("is_id") == 1).drop("is_id"))
 
 
 def fill_defaults_scoped(scoped: DataFrame, facts: DataFrame) -> DataFrame:
@@ -193,8 +200,7 @@ def fill_defaults(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
     ``(deployment_id, key, kind, value, present)``; ``value`` is null only
     for a required or secret key that is absent."""
-    scoped = in_scope(entries, ids)
-    return fill_defaults_scoped(scoped, config_facts(scoped, ids))
+    return fill_defaults_scoped(in_scope(entries, ids), config_facts(entries, ids))
 
 
 def typed_value(kind: Column, value: Column) -> Column:
@@ -241,7 +247,7 @@ def config_parts(facts: DataFrame, keep=()) -> DataFrame:
 
 def parts_for(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """:func:`config_parts` straight from merged entries and ids."""
-    return config_parts(config_facts(in_scope(entries, ids), ids))
+    return config_parts(config_facts(entries, ids))
 
 
 def _database_url_expr(mask: bool) -> Column:
@@ -284,9 +290,10 @@ def resolve(requests: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataF
     deployments and ``facts`` the per-deployment row of :func:`config_facts`."""
     acc = B.accepted_requests(requests)
     ids = acc.select("deployment_id")
-    merged = apply_forced(overrides_json(overrides), acc)
-    scoped = in_scope(merged, ids)
-    return ids, scoped, config_facts(scoped, ids)
+    user = overrides_json(overrides).where(~F.col("key").isin(FORCED_CONFIG_KEYS))
+    scoped = in_scope(user, ids).unionByName(forced_config(acc))
+    forced_mask = sum(KEY_MASK[k] for k in FORCED_CONFIG_KEYS)
+    return ids, scoped, config_facts(user, ids, base_mask=forced_mask)
 
 
 def config_entries(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:

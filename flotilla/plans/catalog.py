@@ -141,8 +141,8 @@ def _config_inputs(spark, d):
 
 
 def _filled(spark, d):
-    req, acc, ids, user = _config_inputs(spark, d)
-    return C.fill_defaults(C.apply_forced(user, acc), ids)
+    _, scoped, facts = C.resolve(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
+    return C.fill_defaults_scoped(scoped, facts)
 
 
 def _parts(spark, d):
