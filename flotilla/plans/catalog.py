@@ -7,6 +7,7 @@ column is aliased, so each one compares with its SQL oracle row by row.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from ..operators import planning as B
 from ..operators import logs as E
 from ..operators import state as D
 from ..streaming import logs as S
-from ..session import scratch_path
+from ..session import apply_join_policy, scratch_path
 from ..sources import fixtures as fx
 from ..sources import state_io as A
 
@@ -27,9 +28,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query; the session it runs on gets the join policy
+    (broadcasts only from measured sizes) before the plan is built."""
     def wrap(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_join_policy(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
+        return run
     return wrap
 
 

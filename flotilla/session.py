@@ -32,7 +32,7 @@ def build_session(app: str = "flotilla", cpus: int | str = "*", shuffle_partitio
         .config("spark.driver.memory", "8g")
         .config("spark.sql.ansi.enabled", "true")
     )
-    for k, v in (extra or {}).items():
+    for k, v in {**JOIN_POLICY, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,6 +40,27 @@ def build_session(app: str = "flotilla", cpus: int | str = "*", shuffle_partitio
     return spark
 
 
+# Join policy. Static size estimates do not see the row fan-out of a
+# generator (one request row becomes tens of machine or key rows), so a
+# broadcast chosen from them is unchecked. Broadcasts are therefore left to
+# AQE, which converts a sort-merge join only after the smaller side's shuffle
+# stage has run and its measured size is under the threshold.
+JOIN_POLICY = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+}
+
+
+def apply_join_policy(spark: SparkSession) -> None:
+    """Set :data:`JOIN_POLICY` on the session (idempotent)."""
+    for k, v in JOIN_POLICY.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
