@@ -211,6 +211,19 @@ def typed_value(kind: Column, value: Column) -> Column:
             .otherwise(value))
 
 
+def _output_value(key: Column, kind: Column, value: Column) -> Column:
+    """The value written for a key: ``rankings`` is always the empty list,
+    other keys are typed by kind."""
+    return F.when(key == "rankings", F.lit("[]")).otherwise(typed_value(kind, value))
+
+
+def _error_rank(error: Column) -> Column:
+    """The generator stops at the first failing statement: a missing
+    required key is read before any integer is converted."""
+    return F.when(error.isNotNull(), F.struct(F.when(error == MISSING_REQUIRED, 0).otherwise(1).alias("r"),
+                                               error.alias("e")))
+
+
 def _mask(key: Column, value: Column, mask: bool) -> Column:
     if not mask:
         return value
@@ -224,7 +237,7 @@ def known_entries(filled: DataFrame, mask: bool = True) -> DataFrame:
     ``database`` comes from :func:`database_url`; ``rankings`` is always
     the empty list. Rows with no ``kind`` (unknown keys) pass as they are."""
     kind, key, present = F.col("kind"), F.col("key"), F.col("present")
-    value = typed_value(kind, F.col("value"))
+    value = _output_value(key, kind, F.col("value"))
     emit = (kind.isNull() | kind.isin("raw", "bool", "int", "required")
             | (kind.isin("local", "secret") & present)
             | (key == "rankings"))
@@ -328,30 +341,97 @@ def config_document(entries: DataFrame) -> DataFrame:
     frag = F.concat(json_string(F.col("key")), F.lit(":"), F.col("value"))
     agg = entries.groupBy("deployment_id").agg(
         F.array_sort(F.collect_list(F.struct("key", frag.alias("frag")))).alias("items"),
-        F.min("error").alias("error"))
-    doc = F.concat(F.lit("{"), F.array_join(F.transform("items", lambda x: x["frag"]), ","), F.lit("}"))
+        F.min(_error_rank(F.col("error")))["e"].alias("error"))
+    doc = F.concat(F.lit("{"), F.array_join(F.col("items")["frag"], ","), F.lit("}"))
     return agg.select("deployment_id", F.when(F.col("error").isNull(), doc).alias("document"), "error")
 
 
-def ranking_config_document(parts: DataFrame, mask: bool = True) -> DataFrame:
-    """C8 as one JSON object per deployment, fields in document order, built
-    on the pivot row of :func:`config_parts` (no regrouping)."""
+def _default_fragment(key: str, default, kind: str) -> str | None:
+    """The text a default contributes to the document, or None when the
+    key is not written while absent (local, secret, required, database)."""
+    if key == "rankings":
+        return '"rankings":[]'
+    if kind in ("raw", "int"):
+        return f'"{key}":{default}'
+    if kind == "bool":
+        strict = default == '"True"'
+        return f'"{key}":{"true" if strict else "false"}'
+    return None
+
+
+_DEFAULT_FRAGMENTS = "array_compact(array(" + ", ".join(
+    f"CASE WHEN (`present` & {KEY_MASK[k]}L) = 0 THEN "
+    f"{struct_sql({'key': sql_literal(k), 'frag': sql_literal(_default_fragment(k, d, kind))})} END"
+    for k, d, kind in CONFIG_KEYS if _default_fragment(k, d, kind) is not None) + "))"
+_REQUIRED_MASK = sum(KEY_MASK[k] for k in REQUIRED_CONFIG_KEYS)
+
+
+def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
+    """C9 in one aggregate: ``(deployment_id, document, error, <URL and
+    ranking parts>)`` for every accepted deployment.
+
+    Accepted ids (marker rows), the user's rows of any deployment and the
+    forced rows go into ONE ``groupBy(deployment_id)``: it yields the
+    presence bits, the values the URL reads and the document fragments of
+    the given keys. Defaults of absent keys and the URL are appended on the
+    result row, so there is no semi join, no union of long forms and no
+    second regrouping. The collected group is one deployment's document."""
+    acc = B.accepted_requests(requests)
+    ids = acc.select("deployment_id")
+    user = overrides_json(overrides).where(~F.col("key").isin(FORCED_CONFIG_KEYS))
+    rows = user.unionByName(forced_config(acc))
+    key, value = F.col("key"), F.col("value")
+    kind = _lookup("key", KIND_OF)
+    out = _output_value(key, kind, value)
+    emit = kind.isNull() | kind.isin("raw", "bool", "int", "required", "local", "secret") | (key == "rankings")
+    frag = F.when(emit, F.struct(key.alias("key"), F.concat(json_string(key), F.lit(":"), _mask(key, out, mask))
+                                 .alias("frag")))
+    error = F.when((kind == "int") & out.isNull(), F.lit(INVALID_INTEGER))
+    marked = rows.select("deployment_id", _lookup("key", KEY_MASK, "bigint").alias("bit"),
+                         *[F.when(key == k, value).alias(k) for k in PIVOT_KEYS],
+                         frag.alias("frag"), error.alias("error"), F.lit(0).alias("is_id"))
+    base = ids.select("deployment_id", F.lit(0).cast("bigint").alias("bit"),
+                      *[F.lit(None).cast("string").alias(k) for k in PIVOT_KEYS],
+                      F.lit(None).cast("struct<key:string,frag:string>").alias("frag"),
+                      F.lit(None).cast("string").alias("error"), F.lit(1).alias("is_id"))
+    agg = (base.unionByName(marked).groupBy("deployment_id")
+           .agg(F.bit_or("bit").alias("present"), *[F.max(k).alias(k) for k in PIVOT_KEYS],
+                F.collect_list("frag").alias("items"), F.min("error").alias("row_error"),
+                F.max("is_id").alias("is_id"))
+           .where(F.col("is_id") == 1))
+    parts = config_parts(agg, keep=("present", "items", "row_error"))
+    url = _database_url_expr(mask)
+    db = F.when(url.isNotNull(), F.array(F.struct(F.lit("database").alias("key"),
+                                                  F.concat(F.lit('"database":'), json_string(url)).alias("frag"))))
+    items = F.array_sort(F.concat(F.col("items"), F.expr(_DEFAULT_FRAGMENTS),
+                                  F.coalesce(db, F.array().cast("array<struct<key:string,frag:string>>"))))
+    missing = F.col("present").bitwiseAND(F.lit(_REQUIRED_MASK)) != F.lit(_REQUIRED_MASK)
+    err = F.when(missing, F.lit(MISSING_REQUIRED)).otherwise(F.col("row_error"))
+    doc = F.concat(F.lit("{"), F.array_join(items["frag"], ","), F.lit("}"))
+    return parts.select("deployment_id", F.when(err.isNull(), doc).alias("document"), err.alias("error"),
+                        *PIVOT_KEYS)
+
+
+def _ranking_doc_expr(mask: bool) -> Column:
     frags = []
     for name, src in RANKING_FIELDS:
         v = F.lit(RANKING_BIND_ADDRESS) if src is None else F.col(src)
         if src in MASKED_KEYS:
             v = _mask(F.lit(src), v, mask)
         frags.append(F.concat(F.lit(f'"{name}":'), F.coalesce(v, F.lit("null"))))
-    return parts.select("deployment_id", F.concat(F.lit("{"), F.concat_ws(",", *frags), F.lit("}")).alias("document"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *frags), F.lit("}"))
+
+
+def ranking_config_document(parts: DataFrame, mask: bool = True) -> DataFrame:
+    """C8 as one JSON object per deployment, fields in document order, built
+    on the pivot row of :func:`config_parts` (no regrouping)."""
+    return parts.select("deployment_id", _ranking_doc_expr(mask).alias("document"))
 
 
 def config_files(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
     """Both documents of every accepted deployment, one row each:
-    ``(deployment_id, config, ranking, error)``. The main document comes
-    from the per-deployment regrouping of the entries, the ranking document
-    from the fact row; both sides are partitioned by ``deployment_id``, so
-    their join adds no shuffle."""
-    _, scoped, facts = resolve(requests, overrides)
-    docs = config_document(_entries(scoped, facts, mask)).withColumnRenamed("document", "config")
-    rank = ranking_config_document(config_parts(facts), mask).withColumnRenamed("document", "ranking")
-    return docs.join(rank, "deployment_id")
+    ``(deployment_id, config, ranking, error)``, from the one aggregate of
+    :func:`config_documents` (the ranking document reads the same row)."""
+    docs = config_documents(requests, overrides, mask)
+    return docs.select("deployment_id", F.col("document").alias("config"), _ranking_doc_expr(mask).alias("ranking"),
+                       "error")

@@ -221,7 +221,8 @@ def q_c9_entries(spark, d):
 
 @register("c9_config_document")
 def q_c9(spark, d):
-    return C.config_document(C.config_entries(fx.deployment_requests(spark, d), fx.config_overrides(spark, d)))
+    docs = C.config_documents(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
+    return docs.select("deployment_id", "document", "error")
 
 
 @register("c10_generated_secrets")

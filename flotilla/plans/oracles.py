@@ -609,7 +609,8 @@ _add("c9_config_document", """
 select deployment_id,
        case when min(error) is null
             then '{' || string_agg(to_json(key)::varchar || ':' || value, ',' order by key) || '}' end as document,
-       min(error) as error
+       case when count(*) filter (where error = 'missing required key') > 0 then 'missing required key'
+            else min(error) end as error
 from entries group by deployment_id""")
 
 _add("c10_generated_secrets", """

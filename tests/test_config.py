@@ -112,3 +112,24 @@ def test_ranking_document(spark):
     parts = C.parts_for(ov, r.select("deployment_id"))
     (doc,), = rows(C.ranking_config_document(parts, mask=False), "document")
     assert json.loads(doc) == {"bind_address": "", "http_port": 8890, "username": "u", "password": None}
+
+
+def test_rankings_always_empty_and_missing_password_reported_first(spark):
+    conf = _conf(spark, [(1, "rankings", "x"), (1, "max_file_size", "1.5")])
+    assert conf["rankings"][0] == "[]"
+    r = requests_df(spark, request(spark))
+    ov = overrides_df(spark, [(1, "rankings", "x"), (1, "max_file_size", "1.5")])
+    (doc, err), = rows(C.config_documents(r, ov), "document", "error")
+    assert doc is None and err == "missing required key"
+    (doc2, err2), = rows(C.config_document(C.config_entries(r, ov)), "document", "error")
+    assert doc2 is None and err2 == "missing required key"
+
+
+def test_one_aggregate_document_equals_long_form_document(spark):
+    from conftest import SF_SMALL
+    from flotilla.sources import fixtures as fx
+    req, ov = fx.deployment_requests(spark, SF_SMALL), fx.config_overrides(spark, SF_SMALL)
+    for mask in (True, False):
+        a = C.config_documents(req, ov, mask).select("deployment_id", "document", "error")
+        b = C.config_document(C.config_entries(req, ov, mask))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
