@@ -43,7 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     target = spark.sparkContext.defaultParallelism
     key = (path, target)
     if key not in _NARROW:
-        _NARROW[key] = target > 1 and spark.read.parquet(path).rdd.getNumPartitions() < target
+        try:
+            _NARROW[key] = target > 1 and spark.read.parquet(path).rdd.getNumPartitions() < target
+        except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): read as stored
+            _NARROW[key] = False
     if _NARROW[key]:
         spread = SPREAD_KEYS.get(name)
         df = df.repartition(target, spread) if spread and spread in df.columns else df.repartition(target)
