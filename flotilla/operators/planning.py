@@ -262,22 +262,35 @@ def listen_rows(requests: DataFrame) -> DataFrame:
 
 # -- B11 -------------------------------------------------------------------------------------
 
+def _flat_grid(count: Column, shards: Column) -> Column:
+    """``[0, count*shards)`` (host-major index over a tier's hosts and their
+    shards), empty when either is not positive."""
+    n = F.when((count > 0) & (shards > 0), count * shards).otherwise(F.lit(0))
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _div(j: Column, k: Column) -> Column:
+    return ((j - F.pmod(j, k)) / k).cast("int")
+
+
 def target_registrations(requests: DataFrame) -> DataFrame:
     """Each CWS machine registered once per CWS it runs, cws1 first;
     one running port from 9000. Closed form of the running counter:
     ``9000 + (offset + idx) * k + shard`` with offset 0 for cws1 and n_cws1
-    for cws2, so no window (and no shuffle) is needed."""
-    ips = request_ips()
-    n1, _ = cws_split(F.col("nb_cws_instances"))
+    for cws2, i.e. ``9000 + offset * k + j`` over the host-major index j,
+    so no window (and no shuffle) is needed."""
+    n1, n2 = cws_split(F.col("nb_cws_instances"))
     k = F.col("nb_cws_per_instance")
 
-    def tier_targets(tier: str, offset: Column) -> Column:
-        return F.flatten(F.transform(ips[tier], lambda ip, i: F.transform(
-            F.array_repeat(F.lit(0), k), lambda _, s: F.struct(
-                F.lit(tier).alias("tier"), i.alias("idx"), s.alias("shard"), ip.alias("private_ip"),
-                (CWS_TARGET_BASE_PORT + (offset + i) * k + s).alias("port")))))
+    def row(tier: str, offset: Column):
+        _, prefix, first, *_ = _TIER[tier]
+        return lambda j: F.struct(
+            F.lit(tier).alias("tier"), _div(j, k).alias("idx"), F.pmod(j, k).alias("shard"),
+            F.concat(F.lit(prefix), (_div(j, k) + first).cast("string")).alias("private_ip"),
+            (CWS_TARGET_BASE_PORT + offset * k + j).alias("port"))
 
-    rows = F.concat(tier_targets("cws1", F.lit(0)), tier_targets("cws2", F.greatest(n1, F.lit(0))))
+    rows = F.concat(F.transform(_flat_grid(n1, k), row("cws1", F.lit(0))),
+                    F.transform(_flat_grid(n2, k), row("cws2", F.greatest(n1, F.lit(0)))))
     return requests.select("deployment_id", F.inline(rows))
 
 
@@ -297,9 +310,12 @@ def service_arrays() -> list[tuple[str, str, Column]]:
     wk, k = F.col("nb_workers_per_instance"), F.col("nb_cws_per_instance")
     everyone = F.concat(ips["main"], ips["workers"], ips["cws1"], ips["cws2"])
 
-    def sharded(hosts: Column, shards: Column, base: int) -> Column:
-        return F.flatten(F.transform(hosts, lambda ip: F.transform(
-            F.array_repeat(F.lit(0), shards), lambda _, s: _endpoint(ip, base + s))))
+    def sharded(tiers: list[tuple[str, Column]], shards: Column, base: int) -> Column:
+        def ep(tier: str):
+            _, prefix, first, *_ = _TIER[tier]
+            return lambda j: _endpoint(F.concat(F.lit(prefix), (_div(j, shards) + first).cast("string")),
+                                       base + F.pmod(j, shards))
+        return F.concat(*[F.transform(_flat_grid(count, shards), ep(tier)) for tier, count in tiers])
 
     out = []
     for name, section, hosts, port in SERVICES:
@@ -308,9 +324,10 @@ def service_arrays() -> list[tuple[str, str, Column]]:
         elif hosts == "all":
             arr = F.transform(everyone, _fixed_port(port))
         elif hosts == "workers_shards":
-            arr = sharded(ips["workers"], wk, port)
+            arr = sharded([("workers", F.col("nb_workers_instances"))], wk, port)
         elif hosts == "cws_shards":
-            arr = sharded(F.concat(ips["cws1"], ips["cws2"]), k, port)
+            n1, n2 = cws_split(F.col("nb_cws_instances"))
+            arr = sharded([("cws1", n1), ("cws2", n2)], k, port)
         else:
             raise ValueError(hosts)
         out.append((name, section, arr))
