@@ -119,7 +119,7 @@ def assemble_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) ->
     grouped = numbered.groupBy("deployment_id", "rec").agg(
         F.array_sort(F.collect_list(F.struct("seq", "sub_no", "line"))).alias("ls"))
     return grouped.select("deployment_id", "rec", F.col("ls")[0]["seq"].alias("first_seq"),
-                          F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
+                          F.array_join(F.col("ls")["line"], "\n").alias("text"))
 
 
 # -- E5 -------------------------------------------------------------------------------------
