@@ -328,6 +328,16 @@ def q_e1_stream(spark, d):
     return spark.read.parquet(out)
 
 
+@register("e2_style_log_stream")
+def q_e2_stream(spark, d):
+    return spark.read.parquet(S.run_to_parquet(S.styled_log_stream(spark, d), spark, "e2-stream"))
+
+
+@register("e5_status_counts_stream")
+def q_e5_stream(spark, d):
+    return spark.read.parquet(S.run_complete_to_parquet(S.status_count_stream(spark, d), spark, "e5-stream"))
+
+
 @register("e4_parse_log_stream")
 def q_e4_stream(spark, d):
     out = S.run_to_parquet(S.parsed_log_stream(spark, d), spark, "e4-stream")

@@ -51,6 +51,22 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, output_mod
     return out
 
 
+def run_complete_to_parquet(stream: DataFrame, spark: SparkSession, name: str) -> str:
+    """Run a streaming aggregate in complete mode; each micro-batch replaces
+    the result folder (an idempotent overwrite, so a retried batch writes
+    the same table). Returns the folder."""
+    base = scratch_path(spark, name)
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
+         .outputMode("complete").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
+
+
 def formatted_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 on a stream of log records."""
     return E.format_log(log_record_stream(spark, sf_dir))
