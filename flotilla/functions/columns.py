@@ -29,12 +29,6 @@ def py_floordiv(n: Column, d: int) -> Column:
     return ((n - py_mod(n, d)) / d).cast("int")
 
 
-def count_range(n: Column) -> Column:
-    """``[0, 1, ..., n-1]``, empty for n <= 0 (``range(n)``; ``sequence(0, n-1)``
-    would give ``[0, -1]`` for n = 0)."""
-    return F.transform(F.array_repeat(F.lit(0), n), lambda _, i: i)
-
-
 def host_ips(prefix: str, first_host: int, count: Column) -> Column:
     """``[prefix + str(first_host + i) for i in range(count)]``."""
     return F.transform(F.array_repeat(F.lit(0), count),

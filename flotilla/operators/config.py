@@ -126,17 +126,6 @@ def _lookup(key: str, table: dict, cast: str | None = None) -> Column:
     return case_lookup(key, table, cast=cast)
 
 
-def _catalogue() -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("key"), F.lit(kind).alias("kind"),
-                              F.lit(default).cast("string").alias("value"),
-                              F.lit(KEY_MASK[k]).cast("bigint").alias("mask"))
-                     for k, default, kind in CONFIG_KEYS])
-
-
-def _default_struct(k: str, default, kind: str) -> Column:
-    return F.struct(F.lit(k).alias("key"), F.lit(kind).alias("kind"), F.lit(default).cast("string").alias("value"))
-
-
 def _absent_defaults_sql(present: str) -> str:
     items = []
     for k, d, kind in CONFIG_KEYS:
