@@ -425,8 +425,9 @@ select deployment_id, 1 as main, nb_workers_instances as workers, nb_cws_instanc
 from acc""")
 
 _add("b2_fleet_totals", """
-select count(*) as deployments, sum(1) as main, sum(nb_workers_instances) as workers,
-       sum(nb_cws_instances) as cws, sum(1 + nb_workers_instances + nb_cws_instances) as total
+select count(*) as deployments, cast(sum(1) as bigint) as main,
+       cast(sum(nb_workers_instances) as bigint) as workers, cast(sum(nb_cws_instances) as bigint) as cws,
+       cast(sum(1 + nb_workers_instances + nb_cws_instances) as bigint) as total
 from acc""")
 
 _add("b3_split_subnets", """
