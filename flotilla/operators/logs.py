@@ -14,7 +14,8 @@ task; instead the count is split in two levels:
 
 A line's record number is the chunk offset plus the local count, so the
 widest window partition holds one chunk of lines, however many lines a
-deployment has.
+deployment has. Records inside a chunk are then grouped in place; only
+records that touch a chunk edge are shuffled again.
 """
 
 from __future__ import annotations
@@ -96,32 +97,46 @@ def is_header(line: Column) -> Column:
 
 def number_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
     """Each physical line with its record number ``rec`` within the
-    deployment; lines before the first header get record 0."""
+    deployment (lines before the first header get record 0), its ``chunk``,
+    and ``boundary``: whether its record may reach into another chunk
+    (lines before the chunk's first header, and the chunk's last record)."""
     marked = lines.select("deployment_id", "seq", "sub_no", "line",
                           F.floor(F.col("seq") / F.lit(chunk_span)).alias("chunk"),
                           is_header(F.col("line")).cast("int").alias("h"))
     per_chunk = marked.groupBy("deployment_id", "chunk").agg(F.sum("h").alias("hc"))
     before = Window.partitionBy("deployment_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select("deployment_id", "chunk",
+    offsets = per_chunk.select("deployment_id", "chunk", "hc",
                                F.coalesce(F.sum("hc").over(before), F.lit(0)).alias("offset"))
     running = Window.partitionBy("deployment_id", "chunk").orderBy("seq", "sub_no").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = marked.withColumn("local", F.sum("h").over(running))
     return (local.join(offsets, ["deployment_id", "chunk"])
-            .select("deployment_id", "seq", "sub_no", "line", (F.col("offset") + F.col("local")).alias("rec")))
+            .select("deployment_id", "chunk", "seq", "sub_no", "line",
+                    (F.col("offset") + F.col("local")).alias("rec"),
+                    ((F.col("local") == 0) | (F.col("local") == F.col("hc"))).alias("boundary")))
 
 
-def assemble_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
-    """``(deployment_id, rec, first_seq, text)``: the physical lines of
-    each record joined by newlines, in ``(seq, sub_no)`` order. The group is
-    one record, i.e. one output value."""
-    numbered = number_records(lines, chunk_span)
-    grouped = numbered.groupBy("deployment_id", "rec").agg(
+def _records(numbered: DataFrame, keys: list[str]) -> DataFrame:
+    grouped = numbered.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("seq", "sub_no", "line"))).alias("ls"))
     return grouped.select("deployment_id", "rec", F.col("ls")[0]["seq"].alias("first_seq"),
                           F.array_join(F.col("ls")["line"], "\n").alias("text"))
 
 
+def assemble_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
+    """``(deployment_id, rec, first_seq, text)``: the physical lines of
+    each record joined by newlines, in ``(seq, sub_no)`` order.
+
+    Records that start and end inside one chunk are grouped where the lines
+    already are (partitioned by deployment and chunk: no shuffle); only the
+    lines of records that may cross a chunk edge are regrouped by record.
+    Each group is one record, i.e. one output value."""
+    numbered = number_records(lines, chunk_span)
+    inner = _records(numbered.where(~F.col("boundary")), ["deployment_id", "chunk", "rec"])
+    edges = _records(numbered.where(F.col("boundary")), ["deployment_id", "rec"])
+    return inner.unionByName(edges)
+
+
 # -- E5 -------------------------------------------------------------------------------------
 
 def status_counts(records: DataFrame) -> DataFrame:
