@@ -101,7 +101,7 @@ def number_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) -> Da
     and ``boundary``: whether its record may reach into another chunk
     (lines before the chunk's first header, and the chunk's last record)."""
     marked = lines.select("deployment_id", "seq", "sub_no", "line",
-                          F.floor(F.col("seq") / F.lit(chunk_span)).alias("chunk"),
+                          F.expr(f"seq div {int(chunk_span)}").alias("chunk"),
                           is_header(F.col("line")).cast("int").alias("h"))
     per_chunk = marked.groupBy("deployment_id", "chunk").agg(F.sum("h").alias("hc"))
     before = Window.partitionBy("deployment_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
