@@ -5,6 +5,8 @@ import datetime
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
@@ -89,3 +91,24 @@ def test_status_counts(spark):
     r = _records(spark, [(1, 1, None, "info", ""), (1, 2, None, "info", ""), (2, 3, None, "critical", "")])
     got = sorted(rows(E.status_counts(r), "deployment_id", "info", "success", "warning", "danger", "critical"))
     assert got == [(1, 2, 0, 0, 0, 0), (2, 0, 0, 0, 0, 1)]
+
+
+line_kinds = st.lists(st.tuples(st.integers(min_value=1, max_value=3), st.integers(min_value=0, max_value=2),
+                                st.booleans()), min_size=1, max_size=40)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(line_kinds, min_size=1, max_size=3), st.integers(min_value=1, max_value=9))
+def test_assemble_random_layouts(spark, deployments, chunk_span):
+    rows_ = []
+    for dep, kinds in enumerate(deployments):
+        seq = 0
+        for gap, sub, header in kinds:
+            seq += gap
+            text = f"[2017-05-01T10:00:0{sub}] info: m{seq}" if header else f"  cont {seq}.{sub}"
+            rows_.append((dep, seq, sub, text))
+    # (seq, sub_no) must be unique per deployment, as in captured logs
+    rows_ = list({(d, s, n): (d, s, n, t) for d, s, n, t in rows_}.values())
+    lines = spark.createDataFrame(rows_, LOG_LINES)
+    got = sorted(rows(E.assemble_records(lines, chunk_span=chunk_span), "deployment_id", "rec", "text"))
+    assert got == brute_assemble(rows_)
