@@ -409,11 +409,71 @@ def _sharded_list(tiers: list[tuple[str, Column]], shards: Column, base: int) ->
     return F.concat_ws(",", *parts)
 
 
+def _sql_host_numbers(first: int, count: str) -> str:
+    return f"CASE WHEN {count} > 0 THEN sequence({first}, {first - 1} + {count}) ELSE CAST(array() AS array<int>) END"
+
+
+def _sql_ep_list(tier: str, count: str, port: int) -> str:
+    prefix, first = _TIER[tier][1], _TIER[tier][2]
+    hosts = f"CAST({_sql_host_numbers(first, count)} AS array<string>)"
+    return (f"CASE WHEN {count} > 0 THEN concat('[\"{prefix}', array_join({hosts}, '\",{port}],[\"{prefix}'), "
+            f"'\",{port}]') END")
+
+
+def _sql_sharded_list(tiers: list[tuple[str, str]], shards: str, base: int) -> str:
+    ports = (f"CAST(CASE WHEN {shards} > 0 THEN sequence({base}, {base - 1} + {shards}) "
+             f"ELSE CAST(array() AS array<int>) END AS array<string>)")
+    parts = []
+    for tier, count in tiers:
+        prefix, first = _TIER[tier][1], _TIER[tier][2]
+        hosts = f"CAST({_sql_host_numbers(first, count)} AS array<string>)"
+        item = (f"h -> concat('[\"{prefix}', h, '\",', "
+                f"array_join({ports}, concat('],[\"{prefix}', h, '\",')), ']')")
+        parts.append(f"CASE WHEN {count} > 0 AND {shards} > 0 THEN array_join(transform({hosts}, {item}), ',') END")
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+def endpoints_json_sql(section: str) -> str:
+    """SQL text of :func:`endpoints_json` over the request columns."""
+    n = "`nb_cws_instances`"
+    n1 = f"CAST(({n} - pmod({n}, 2)) div 2 + pmod({n}, 2) AS INT)"
+    n2 = f"CAST(({n} - pmod({n}, 2)) div 2 AS INT)"
+    w, wk, k = "`nb_workers_instances`", "`nb_workers_per_instance`", "`nb_cws_per_instance`"
+    items = []
+    for name, s, hosts, port in SERVICES:
+        if s != section:
+            continue
+        main = f"'[\"{MAIN_IP}\",{port}]'"
+        if hosts == "main":
+            body = main
+        elif hosts == "all":
+            body = (f"concat_ws(',', {main}, {_sql_ep_list('workers', w, port)}, "
+                    f"{_sql_ep_list('cws1', n1, port)}, {_sql_ep_list('cws2', n2, port)})")
+        elif hosts == "workers_shards":
+            body = _sql_sharded_list([("workers", w)], wk, port)
+        elif hosts == "cws_shards":
+            body = _sql_sharded_list([("cws1", n1), ("cws2", n2)], k, port)
+        else:
+            raise ValueError(hosts)
+        items.append(f"concat('\"{name}\":[', {body}, ']')")
+    return "concat('{', concat_ws(',', " + ", ".join(items) + "), '}')"
+
+
+_ENDPOINTS_SQL = {sec: endpoints_json_sql(sec) for sec in ("core", "other")}
+
+
 def endpoints_json(section: str) -> Column:
     """The section as the JSON text the configuration file holds, services
     in document order, each endpoint a two-element ``[ip, port]`` list
     (mixed types, so written as text rather than through a Spark array).
-    Single-host services are constant strings."""
+    Single-host services are constant strings; the expression is SQL text
+    rendered once (see :func:`endpoints_json_columns` for the same with
+    Column functions)."""
+    return F.expr(_ENDPOINTS_SQL[section])
+
+
+def endpoints_json_columns(section: str) -> Column:
+    """:func:`endpoints_json` built from Column functions."""
     n1, n2 = cws_split(F.col("nb_cws_instances"))
     w, wk, k = F.col("nb_workers_instances"), F.col("nb_workers_per_instance"), F.col("nb_cws_per_instance")
     items = []
