@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from .constants import STATE_KEY_NAMES
 
 DEPLOYMENT_REQUESTS = T.StructType([
     T.StructField("deployment_id", T.LongType(), False),
@@ -80,11 +79,16 @@ CONTEST_ENV = T.StructType([
     T.StructField("cms_rws", T.StringType(), True),
 ])
 
-# Saved state as JSON: every known key read as text. Spark's JSON reader
-# returns the JSON text of an array when the declared type is a string, so
-# the long form round-trips without knowing each value's type.
-STATE_RECORD_TEXT = T.StructType(
-    [T.StructField("deployment_id", T.LongType(), True),
-     T.StructField("state", T.MapType(T.StringType(), T.StringType()), True)]
-)
-STATE_FILE_TEXT = T.StructType([T.StructField(k, T.StringType(), True) for k in STATE_KEY_NAMES])
+# Declared schemas of the driver's tables the library reads (no inference
+# at read time; a file that disagrees fails the scan instead of changing
+# the plan).
+SOURCE_TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}

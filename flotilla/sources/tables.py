@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schemas import SOURCE_TABLES
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -37,14 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     shuffle of a table small enough to sit in few files.
     """
     path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
+    reader = spark.read.schema(SOURCE_TABLES[name]) if name in SOURCE_TABLES else spark.read
+    df = reader.parquet(path)
     if columns:
         df = df.select(*columns)
     target = spark.sparkContext.defaultParallelism
     key = (path, target)
     if key not in _NARROW:
         try:
-            _NARROW[key] = target > 1 and spark.read.parquet(path).rdd.getNumPartitions() < target
+            _NARROW[key] = target > 1 and df.rdd.getNumPartitions() < target
         except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): read as stored
             _NARROW[key] = False
     if _NARROW[key]:
