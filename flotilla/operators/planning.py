@@ -235,15 +235,28 @@ def port_flags(requests: DataFrame) -> DataFrame:
     return requests.select("deployment_id", F.array_join(flags, " ").alias("port_flags"))
 
 
+def _listen_sql() -> tuple[str, str]:
+    n = "`nb_cws_instances`"
+    n1 = f"CAST(({n} - pmod({n}, 2)) div 2 + pmod({n}, 2) AS INT)"
+    n2 = f"CAST(({n} - pmod({n}, 2)) div 2 AS INT)"
+
+    def ips(tier: str, count: str) -> str:
+        prefix, first = _TIER[tier][1], _TIER[tier][2]
+        return f"transform({_sql_host_numbers(first, count)}, h -> concat('{prefix}', CAST(h AS STRING)))"
+
+    addrs = f"flatten(transform(concat({ips('cws1', n1)}, {ips('cws2', n2)}), ip -> array_repeat(ip, `nb_cws_per_instance`)))"
+    nk = f"{n} * `nb_cws_per_instance`"
+    last = CWS_TARGET_BASE_PORT - 1
+    ports = (f"CASE WHEN {nk} > 0 THEN sequence({CWS_TARGET_BASE_PORT}, {last} + {nk}) "
+             f"ELSE CAST(array() AS array<int>) END")
+    return addrs, ports
+
+
 def listen_arrays() -> tuple[Column, Column]:
     """Each CWS address repeated once per CWS on it, and the matching
-    ports 9000 + 0..n*k-1."""
-    ips = request_ips()
-    k = F.col("nb_cws_per_instance")
-    addrs = F.flatten(F.transform(F.concat(ips["cws1"], ips["cws2"]), lambda ip: F.array_repeat(ip, k)))
-    nk = F.col("nb_cws_instances") * k
-    ports = F.transform(F.array_repeat(F.lit(0), nk), lambda _, i: CWS_TARGET_BASE_PORT + i)
-    return addrs, ports
+    ports 9000 + 0..n*k-1 (SQL text rendered once at import)."""
+    addrs, ports = _LISTEN_SQL
+    return F.expr(addrs), F.expr(ports)
 
 
 def listen_lists(requests: DataFrame) -> DataFrame:
@@ -460,6 +473,7 @@ def endpoints_json_sql(section: str) -> str:
 
 
 _ENDPOINTS_SQL = {sec: endpoints_json_sql(sec) for sec in ("core", "other")}
+_LISTEN_SQL = _listen_sql()
 
 
 def endpoints_json(section: str) -> Column:
