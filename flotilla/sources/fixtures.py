@@ -60,18 +60,20 @@ def allowed_cidrs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("cidr")))
 
 
+_OVERRIDE_KEY = ("CASE l_linenumber WHEN 1 THEN 'backdoor' WHEN 2 THEN 'database_debug' "
+                 "WHEN 3 THEN 'max_file_size' WHEN 4 THEN 'num_proxies_used' WHEN 5 THEN 'db_passwd' "
+                 "WHEN 6 THEN 'paper_size' ELSE 'shard_note' END")
+_OVERRIDE_VALUE = ("CASE WHEN l_linenumber IN (1, 2) "
+                   "THEN CASE l_returnflag WHEN 'R' THEN 'True' WHEN 'A' THEN 'true' ELSE 'False' END "
+                   "WHEN l_linenumber IN (3, 4) THEN CAST(l_partkey AS STRING) "
+                   "ELSE concat('v', CAST(l_suppkey AS STRING)) END")
+
+
 def config_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag",
                "l_partkey", "l_suppkey")
-    ln = F.col("l_linenumber")
-    key = (F.when(ln == 1, "backdoor").when(ln == 2, "database_debug").when(ln == 3, "max_file_size")
-           .when(ln == 4, "num_proxies_used").when(ln == 5, "db_passwd").when(ln == 6, "paper_size")
-           .otherwise("shard_note"))
-    flag = F.col("l_returnflag")
-    value = (F.when(ln.isin(1, 2), F.when(flag == "R", "True").when(flag == "A", "true").otherwise("False"))
-             .when(ln.isin(3, 4), _s(F.col("l_partkey")))
-             .otherwise(F.concat(F.lit("v"), _s(F.col("l_suppkey")))))
-    return (li.select(F.col("l_orderkey").alias("deployment_id"), key.alias("key"), value.alias("value"))
+    return (li.select(F.col("l_orderkey").alias("deployment_id"), F.expr(_OVERRIDE_KEY).alias("key"),
+                      F.expr(_OVERRIDE_VALUE).alias("value"))
             .groupBy("deployment_id", "key").agg(F.max("value").alias("value")))
 
 
