@@ -4,7 +4,6 @@ CIDR, overrides db_user, db_passwd, db_host."""
 
 import json
 
-from pyspark.sql import functions as F
 
 from conftest import rows
 from flotilla.operators import config as C

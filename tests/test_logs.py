@@ -7,7 +7,6 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
 from flotilla.constants import LOG_HEADER_PATTERN

@@ -1,7 +1,6 @@
 """Streaming parity: the stateless log operators on readStream with an
 availableNow trigger give the batch result."""
 
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from flotilla.operators import logs as E
