@@ -57,14 +57,23 @@ def stamp(ts: Column) -> Column:
 
 # -- JSON text --------------------------------------------------------------------
 
+# Text that JSON writes unchanged between quotes (no quote, backslash or
+# control character).
+PLAIN_JSON_TEXT = r'^[^"\\\x00-\x1f]*$'
+
+
 def json_string(c: Column) -> Column:
     """JSON text of a string column; SQL null becomes JSON ``null``.
 
-    ``to_json`` does the escaping; wrapping the value in a one-element array
-    and cutting the brackets off avoids a struct field name.
-    """
-    wrapped = F.to_json(F.array(c.cast("string")))
-    return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    Plain text is quoted directly; anything needing escapes goes through
+    ``to_json`` (a one-element array whose brackets are cut off, which
+    avoids a struct field name)."""
+    c = c.cast("string")
+    wrapped = F.to_json(F.array(c))
+    escaped = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    return (F.when(c.isNull(), F.lit("null"))
+            .when(c.rlike(PLAIN_JSON_TEXT), F.concat(F.lit('"'), c, F.lit('"')))
+            .otherwise(escaped))
 
 
 def json_decode_text(value_json: Column) -> Column:

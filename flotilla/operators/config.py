@@ -329,7 +329,7 @@ def config_document(entries: DataFrame) -> DataFrame:
     deployment's configuration, i.e. the document itself."""
     frag = F.concat(json_string(F.col("key")), F.lit(":"), F.col("value"))
     agg = entries.groupBy("deployment_id").agg(
-        F.array_sort(F.collect_list(F.struct("key", frag.alias("frag")))).alias("items"),
+        F.sort_array(F.collect_list(F.struct("key", frag.alias("frag")))).alias("items"),
         F.min(_error_rank(F.col("error")))["e"].alias("error"))
     doc = F.concat(F.lit("{"), F.array_join(F.col("items")["frag"], ","), F.lit("}"))
     return agg.select("deployment_id", F.when(F.col("error").isNull(), doc).alias("document"), "error")
@@ -392,7 +392,7 @@ def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = Tru
     url = _database_url_expr(mask)
     db = F.when(url.isNotNull(), F.array(F.struct(F.lit("database").alias("key"),
                                                   F.concat(F.lit('"database":'), json_string(url)).alias("frag"))))
-    items = F.array_sort(F.concat(F.col("items"), F.expr(_DEFAULT_FRAGMENTS),
+    items = F.sort_array(F.concat(F.col("items"), F.expr(_DEFAULT_FRAGMENTS),
                                   F.coalesce(db, F.array().cast("array<struct<key:string,frag:string>>"))))
     missing = F.col("present").bitwiseAND(F.lit(_REQUIRED_MASK)) != F.lit(_REQUIRED_MASK)
     err = F.when(missing, F.lit(MISSING_REQUIRED)).otherwise(F.col("row_error"))

@@ -118,7 +118,7 @@ def number_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) -> Da
 
 def _records(numbered: DataFrame, keys: list[str]) -> DataFrame:
     grouped = numbered.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "sub_no", "line"))).alias("ls"))
+        F.sort_array(F.collect_list(F.struct("seq", "sub_no", "line"))).alias("ls"))
     return grouped.select("deployment_id", "rec", F.col("ls")[0]["seq"].alias("first_seq"),
                           F.array_join(F.col("ls")["line"], "\n").alias("text"))
 
