@@ -45,9 +45,8 @@ def iso_micros(ts: Column) -> Column:
 def iso_time(ts: Column) -> Column:
     """Python ``isoformat()``: the fraction is printed only when the
     microseconds are not zero."""
-    frac = F.date_format(ts, "SSSSSS")
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-                    F.when(frac == "000000", F.lit("")).otherwise(F.concat(F.lit("."), frac)))
+    full = iso_micros(ts)
+    return F.when(full.endswith(".000000"), F.substring(full, 1, 19)).otherwise(full)
 
 
 def stamp(ts: Column) -> Column:
