@@ -83,10 +83,11 @@ def teardown_masks(state_entries: DataFrame, outcomes: DataFrame | None = None)
     """``(deployment_id, present, queued, ok)`` per deployment with state:
     bit i of ``present`` for the i-th known key, ``queued`` when some
     machine id is waited on, bit s of ``ok`` when step s succeeded."""
-    st = known_state(state_entries).select(
+    st = (state_entries.select(
         "deployment_id", _key_bit("state_key").alias("present"),
         _queued(F.col("state_key"), F.col("state_value")).alias("queued"),
         F.lit(0).cast("bigint").alias("ok"), F.lit(1).alias("has_state"))
+        .where(F.col("present").isNotNull()))
     rows = st
     if outcomes is not None:
         oc = outcomes.where(F.coalesce(F.col("ok"), F.lit(False))).select(
@@ -157,9 +158,10 @@ def residual_state(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The state rows still saved after teardown. Unknown keys are never
     touched and skip the join."""
     res = teardown_result(state_entries, outcomes).select("deployment_id", "removed")
-    known = known_state(state_entries)
+    known = state_entries.select("deployment_id", "state_key", "state_value",
+                                 _key_bit("state_key").alias("bit")).where(F.col("bit").isNotNull())
     kept = (known.join(res, "deployment_id")
-            .where(F.col("removed").bitwiseAND(_key_bit("state_key")) == 0)
+            .where(F.col("removed").bitwiseAND(F.col("bit")) == 0)
             .select("deployment_id", "state_key", "state_value"))
     unknown = state_entries.where(~F.col("state_key").isin(STATE_KEY_NAMES))
     return kept.unionByName(unknown)
