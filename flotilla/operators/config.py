@@ -78,12 +78,9 @@ def presence_mask(ids: DataFrame, entries: DataFrame, keys: list[str], key_col:
     ``deployment_id``; ``bit_or`` has a map-side partial, so a deployment
     with many rows collapses before the shuffle. Only deployments in
     ``ids`` are returned."""
-    bit = None
-    for i, k in enumerate(keys):
-        cond = F.col(key_col) == k
-        bit = F.when(cond, F.lit(1 << i)) if bit is None else bit.when(cond, F.lit(1 << i))
+    bit = case_lookup(key_col, {k: 1 << i for i, k in enumerate(keys)}, cast="bigint")
     rows = entries.where(F.col(key_col).isin(keys)).select(
-        "deployment_id", bit.cast("bigint").alias("bit"), F.lit(0).alias("is_id"))
+        "deployment_id", bit.alias("bit"), F.lit(0).alias("is_id"))
     base = ids.select("deployment_id", F.lit(0).cast("bigint").alias("bit"), F.lit(1).alias("is_id"))
     return (base.unionByName(rows).groupBy("deployment_id")
             .agg(F.bit_or("bit").alias("present"), F.max("is_id").alias("is_id"))
