@@ -274,8 +274,10 @@ def library_ids(model: Model):
     lead = model.library.encode("\n" if model.prefix else "")
 
     def ids(part: str) -> list[int]:
+        if part == SPACE:  # the library gives no ids for an empty text
+            return viterbi(model, part)
         if model.prefix and part.startswith(SPACE):
-            return model.library.encode(part[1:].replace(SPACE, " ")) or model.library.encode(" ")[:1]
+            return model.library.encode(part[1:].replace(SPACE, " "))
         if model.prefix:
             return model.library.encode("\n" + part)[len(lead):]
         return model.library.encode(part)
