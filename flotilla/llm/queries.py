@@ -22,16 +22,32 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    return pack_documents(read(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spm import round_trip
     return round_trip(read(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+    docs = scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back, with_control_case
+    return read_back(format_conversations(with_control_case(spark, read(spark, sf_dir, "conversations"))))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge_documents
     docs = judge_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -39,6 +55,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept", "lost")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import mark
     docs = mark(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
@@ -47,4 +68,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_simhash_near_dedup, op4_sentencepiece, op6_sharding, op8_quality_rules, op10_decontamination)}
+    op1_line_dedup, op2_simhash_near_dedup, op3_token_packing, op4_sentencepiece, op5_license_scan, op6_sharding,
+    op7_chat_formatting, op8_quality_rules, op9_language_id, op10_decontamination)}
