@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +17,8 @@ from ..session import ensure_checkpoint_dir
 #: Bytes of a text that are cut into words at a time.
 PIECE = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-NOT_ALNUM = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+#: Separators of words before A-Z are lower-cased.
+NOT_ALNUM = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -50,6 +52,17 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` whose Python workers find this package under the path
+    it was imported from, wherever the session was started."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df.mapInArrow(run, schema)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns an operator is about to add (names clash without case)."""
     mine = {n.lower() for n in names}
@@ -95,4 +108,4 @@ def add_columns(df: DataFrame, column: str, fields: T.StructType,
             arrays += [pa.array(new[f.name], k) for f, k in zip(fields.fields, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return joined.mapInArrow(run, out)
+    return mapped(joined, run, out)
