@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import mapped, quoted
 
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
@@ -130,7 +130,7 @@ def format_conversations(rows: DataFrame, template: Template = instruct, loss_ro
             out.append(done())
         yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    return dealt.mapInArrow(run, FORMATTED)
+    return mapped(dealt, run, FORMATTED)
 
 
 DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
@@ -177,7 +177,7 @@ def read_back(formatted: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
             out.append(row())
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return dealt.mapInArrow(run, DIGEST)
+    return mapped(dealt, run, DIGEST)
 
 
 def with_control_case(spark: SparkSession, rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, alnum_words, quoted, spare, without
+from .common import add_columns, alnum_words, mapped, quoted, spare, without
 
 WINDOW = 10
 #: Windows that one scan of the documents searches for; a larger benchmark is
@@ -49,7 +49,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found]), pa.array([item] * len(found))],
                                           names=["window", "item_id"])
 
-    return thin.mapInArrow(run, "window string, item_id string").distinct()
+    return mapped(thin, run, "window string, item_id string").distinct()
 
 
 class Table(NamedTuple):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, add_columns, alnum_words, quoted
+from .common import ALNUM, add_columns, alnum_words, mapped, quoted
 
 BLOCK = 64
 STEP = 32
@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in counts], pa.string()),
                                           pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
-    found = docs.select(quoted("text").cast("string").alias("text")).mapInArrow(run, "token string, n long")
+    found = mapped(docs.select(quoted("text").cast("string").alias("text")), run, "token string, n long")
     return {r.token.encode(): r.n for r in found.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 

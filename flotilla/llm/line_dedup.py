@@ -26,9 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import add_columns, quoted, spare, without
+from .common import mapped, quoted, spare, without
 
 #: Words a repeated run must hold.
 MIN_WORDS = 50
@@ -87,7 +86,7 @@ def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     out = ([], [], [], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return thin.mapInArrow(run, POSITIONS)
+    return mapped(thin, run, POSITIONS)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -102,10 +101,6 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
 
-CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
-                        T.StructField("n_removed", T.LongType())])
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text``, and the columns
     n_lines and n_removed. No row is dropped; a text that repeats earlier

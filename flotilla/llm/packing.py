@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import mapped, quoted
 from .spm import _encoder
 
 SEQ_LEN = 2048
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, model_file: str, seq_len: int = SEQ_LEN, doc
         if ids:
             yield from flush()
 
-    return dealt.mapInArrow(run, PACKED)
+    return mapped(dealt, run, PACKED)
 
 
 SCHEMA = pa.schema([

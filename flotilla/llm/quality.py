@@ -16,8 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns, quoted, spare, without
-from pyspark.sql import functions as F
+from .common import add_columns, quoted, spare
 
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words in repeated windows

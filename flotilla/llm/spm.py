@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, quoted, spare, without
+from .common import add_columns, mapped, quoted, spare, without
 
 SPACE = "▁"
 #: Parts whose ids a task remembers (two generations of half this size).
@@ -328,7 +328,7 @@ def decode(docs: DataFrame, model_file: str, ids: str = "ids", column: str = "de
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return picked.mapInArrow(run, out)
+    return mapped(picked, run, out)
 
 
 def piece_bytes(model: Model) -> list[bytes]:

@@ -1,0 +1,76 @@
+"""Packing: best fit against a linear search, and exact round trips."""
+
+import numpy as np
+import pytest
+import sentencepiece
+from flotilla.llm.packing import pack, pack_documents, write_packed
+from flotilla.llm.queries import PIECE_MODEL
+from texts import docs, frame, prose, rng
+
+
+def slow_pack(lengths, size):
+    parts = sorted([(min(size, n - at), i, at) for i, n in enumerate(lengths) for at in range(0, n, size)],
+                   key=lambda p: (-p[0], p[1], p[2]))
+    bins, out = [], []
+    for n, i, at in parts:
+        fit = [(room, k) for k, room in enumerate(bins) if room >= n]
+        if fit:
+            room = min(fit)[0]
+            k = max((k for r, k in fit if r == room), key=lambda k: k)
+        else:
+            k = len(bins)
+            bins.append(size)
+            out.append([])
+        bins[k] -= n
+        out[k].append((i, at, n))
+    return bins, out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit(seed):
+    rnd = rng(seed)
+    lengths = [rnd.choice([0, 1, rnd.randint(1, 40), rnd.randint(1, 130)]) for _ in range(300)]
+    got, (rooms, want) = pack(lengths, 50), slow_pack(lengths, 50)
+    assert len(got) == len(want)
+    assert sorted(50 - sum(n for _, _, n in s) for s in got) == sorted(rooms)
+    assert sorted(p for s in got for p in s) == sorted(p for s in want for p in s)
+
+
+def unpacked(rows, width="<u2"):
+    parts = {}
+    for r in rows:
+        ids, places = np.frombuffer(r.ids, width), np.frombuffer(r.position_ids, "<u2")
+        assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and not ids[r.n_tokens:].any()
+        for doc, at, a, z in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
+            assert places[a:z].tolist() == list(range(z - a))
+            parts.setdefault(doc, []).append((at, ids[a:z].tolist()))
+    return {d: [x for _, p in sorted(ps) for x in p] for d, ps in parts.items()}
+
+
+@pytest.mark.parametrize("held", [300, 10**9])
+def test_round_trip(spark, held, tmp_path):
+    rnd = rng(3)
+    texts = [prose(rnd, rnd.choice([1, 5, 30, 200])) for _ in range(80)] + ["", None, " ", "\n", "a  b\n c ", prose(rnd, 3000)]
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    packed = pack_documents(docs(spark, texts), PIECE_MODEL, seq_len=64, docs_per_group=20, held=held)
+    write_packed(packed, str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    assert unpacked(rows) == {i: lib.encode(t) for i, t in enumerate(texts) if t}
+    assert len({(r.grp, r.part, r.seq) for r in rows}) == len(rows)
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    df = docs(spark, [prose(rng(i), 20 + i) for i in range(50)])
+    a = pack_documents(df.repartition(1), PIECE_MODEL, 128, 10).collect()
+    b = pack_documents(df.repartition(7, "text"), PIECE_MODEL, 128, 10).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_edge_cases(spark):
+    rows = [(None, "x y", 1), (1, None, 2), (5, "same", 3), (5, "same", 4)]
+    df = frame(spark, rows, "doc_id long, text string, ids long")
+    got = pack_documents(df, PIECE_MODEL, 16).collect()
+    assert sorted([d for r in got for d in r.doc_ids], key=str) == [5, 5, None]
+    assert pack_documents(df.limit(0), PIECE_MODEL, 16).collect() == []
+    with pytest.raises(ValueError):
+        pack_documents(df, PIECE_MODEL, 0)
