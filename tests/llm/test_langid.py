@@ -1,0 +1,83 @@
+"""Language id: phrases against a plain greedy parse, and held-out accuracy."""
+
+import numpy as np
+from flotilla.llm import langid as L
+from texts import frame, prose, rng
+
+
+def greedy(sample, text):
+    """Phrases of the longest matches of ``text`` in ``sample``."""
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at:at + size + 1] in sample and text[at:at + size] in sample:
+            size += 1
+        at += size
+        n += 1
+    return n
+
+
+def test_phrases_are_longest_matches():
+    rnd = rng(1)
+    for _ in range(60):
+        sample = bytes(rnd.choice(b"\x02\x03\x04\x05") for _ in range(rnd.randint(1, 60)))
+        texts = sorted([bytes(rnd.choice(b"\x02\x03\x04\x05\x06") for _ in range(rnd.randint(1, 30))) for _ in range(8)],
+                       key=len, reverse=True)
+        rows = np.zeros((len(texts), 30), np.uint8)
+        for k, t in enumerate(texts):
+            rows[k, :len(t)] = list(t)
+        got = L.phrases(L.automaton(np.frombuffer(sample, np.uint8), 7), 7, rows, np.array([len(t) for t in texts]))
+        assert got.tolist() == [greedy(sample, t) for t in texts]
+
+
+def test_alphabet_normalises():
+    texts = ["Ünï, 日本! a-b  c", "", "1 2 3", " x", "x ", "İstanbul ß ÀÉ"]
+    a = L.Alphabet(texts)
+    back = {k + 2: c for k, c in enumerate(a.letters)} | {0: "?", 1: " "}
+    for t in texts[:5]:
+        assert "".join(back[int(s)] for s in a.encode(t)) == L.normalise(t)
+
+
+def test_long_texts_are_whole():
+    """A stretch boundary costs a phrase at most; no part of a text is left out."""
+    model = L.Classifier({"a": "abab" * 50, "b": "cdcd" * 50})
+    head, tail = "abab" * 10, "cdcd" * 100_000
+    assert model.predict([head + tail])[0] == ["b"]
+    assert model.predict([tail[:40] + "abab" * 100_000])[0] == ["a"]
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = L.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    right = sum(r.lang == r.lang_pred for r in got) / len(got)
+    assert len(got) > 200 and right > 0.98
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_only_the_text_counts(spark):
+    """Held-out labels, and languages, sources and ids of what is predicted, have no effect."""
+    rnd = rng(2)
+    rows = [(i, prose(rnd, 30).replace("w", "xy" if i % 2 else "qr"), "x" if i % 2 else "q") for i in range(200)]
+    df = frame(spark, rows, "doc_id long, text string, lang string")
+    other = df.withColumn("lang", L.F.when(L.held_out(), L.F.lit("zz")).otherwise(L.F.col("lang")))
+    a, b = (sorted(map(tuple, L.identify(x).collect())) for x in (df, other))
+    assert a == b and {r[2] for r in a} == {"x", "q"}
+
+
+def test_edge_cases(spark):
+    rows = [(1, "hello there", "en"), (1, "hello there", "en"), (None, "hola amigo", "es"), (3, None, "en"), (4, "123 !", "en"),
+            (5, "", None), (6, "bonjour", None), (7, "日本", "ja")]
+    df = frame(spark, rows, "doc_id long, text string, lang string").withColumn("SCORE", L.F.lit("x"))
+    got = {(r.doc_id, r.lang_pred, r.score > 0) for r in L.identify(df).collect()}
+    assert {g for g in got if g[0] in (3, 4, 5)} == {(3, "und", False), (4, "und", False), (5, "und", False)}
+    assert len(L.identify(df).collect()) == len(rows)
+    assert "SCORE" not in L.predict(df, {"en": "hello"}).columns
+    unlabelled = df.withColumn("lang", L.F.lit(None).cast("string"))
+    assert {r.lang_pred for r in L.identify(unlabelled).collect()} == {"und"}
+    assert L.identify(df.limit(0)).collect() == []
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert L.fit(docs) == L.fit(docs.repartition(5, "source"))
+    assert all(len(t) <= L.SAMPLE_CHARS for t in L.fit(docs).values())
