@@ -13,44 +13,10 @@ TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-# Key each table is spread on when its scan is too narrow (see ``table``):
-# the deployment key where the table has one, so that later aggregates and
-# joins on ``deployment_id`` find the rows already clustered.
-SPREAD_KEYS = {
-    "orders": "o_orderkey",
-    "lineitem": "l_orderkey",
-    "customer": "c_custkey",
-    "part": "p_partkey",
-    "events": "event_id",
-}
-
-
-_NARROW: dict[tuple[str, int], bool] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one table; naming the columns keeps the parquet ReadSchema narrow.
-
-    Source-parallelism guard: a table stored as few row groups scans in few
-    tasks, and every generator above the scan would then run in those tasks.
-    When the scan has fewer splits than the cluster's default parallelism,
-    the (already pruned) rows are hash-spread on the table's key. Large
-    inputs scan in many splits and are read as they are; this only costs a
-    shuffle of a table small enough to sit in few files.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
+    """Read one table as it is stored; naming the columns keeps the parquet
+    ReadSchema narrow. Parallelism follows the scan's splits."""
     reader = spark.read.schema(SOURCE_TABLES[name]) if name in SOURCE_TABLES else spark.read
-    df = reader.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    target = spark.sparkContext.defaultParallelism
-    key = (path, target)
-    if key not in _NARROW:
-        try:
-            _NARROW[key] = target > 1 and df.rdd.getNumPartitions() < target
-        except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): read as stored
-            _NARROW[key] = False
-    if _NARROW[key]:
-        spread = SPREAD_KEYS.get(name)
-        df = df.repartition(target, spread) if spread and spread in df.columns else df.repartition(target)
-    return df
+    df = reader.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return df.select(*columns) if columns else df
