@@ -22,16 +22,13 @@ TIERS = [
     ("cws1", "10.0.2.", 11, "10.0.2.0/24", "eu-central-1b", "cws_instances_type"),
     ("cws2", "10.0.3.", 11, "10.0.3.0/24", "eu-central-1c", "cws_instances_type"),
 ]
-TIER_ORDER = [t[0] for t in TIERS]
 MAIN_IP = "10.0.1.5"
 VPC_CIDR = "10.0.0.0/16"
 OPEN_CIDR = "0.0.0.0/0"
 MIN_CWS_INSTANCES = 2
-REJECT_REASON = "There can't be less than 2 CWS instances."
+REJECT_REASON = "too few CWS instances"
 
 # Ports.
-ADMIN_PORT = 13800
-SSH_PORT = 22
 CWS_TARGET_BASE_PORT = 9000
 WORKER_BASE_PORT = 26000
 CWS_BASE_PORT = 21000
@@ -154,7 +151,6 @@ CONFIG_KEYS = [
     ("max_jobs_per_user", "10", "int"),
     ("pdf_printing_allowed", "false", "bool"),
 ]
-DATABASE_URL_FORMAT = "postgresql+psycopg2://{u}:{pw}@{h}:{p}/{n}"
 DATABASE_URL_PARTS = ["db_user", "db_passwd", "db_host", "db_port", "db_name"]
 # Ranking document: (key, source config key or None for a constant).
 RANKING_FIELDS = [
@@ -218,27 +214,27 @@ TERMINATE_KEYS = [
 # Teardown steps in execution order: (step, guard keys, keys removed in
 # order, action). Guard None means "any machine id was queued" (step 5).
 TEARDOWN_STEPS = [
-    (1, ["worker_instances_ids"], ["worker_instances_ids"], "terminate worker instances"),
-    (2, ["cws1_instances_ids"], ["cws1_instances_ids"], "terminate CWS #1 instances"),
-    (3, ["cws2_instances_ids"], ["cws2_instances_ids"], "terminate CWS #2 instances"),
-    (4, ["main_instance_id"], ["main_instance_id"], "terminate main instance"),
+    (1, ["worker_instances_ids"], ["worker_instances_ids"], "stop workers"),
+    (2, ["cws1_instances_ids"], ["cws1_instances_ids"], "stop cws1 machines"),
+    (3, ["cws2_instances_ids"], ["cws2_instances_ids"], "stop cws2 machines"),
+    (4, ["main_instance_id"], ["main_instance_id"], "stop main machine"),
     (5, None,
      ["main_instance_ip", "workers_instance_ips", "cws1_instance_ips", "cws2_instance_ips", "instances_ips"],
-     "wait for instances to terminate"),
-    (6, ["listener_arn"], ["listener_arn"], "delete load balancer listener"),
-    (7, ["load_balancer_arn"], ["load_balancer_arn", "load_balancer_dnsname"], "delete load balancer"),
-    (8, ["target_group_arn"], ["target_group_arn"], "delete LB target group"),
-    (9, ["lb_security_group_id"], ["lb_security_group_id"], "delete LB security group"),
-    (10, ["security_group_id"], ["security_group_id"], "delete security group"),
-    (11, ["main_subnet_id"], ["main_subnet_id", "main_route_table_association_id"], "delete main subnet"),
-    (12, ["cws1_subnet_id"], ["cws1_subnet_id", "cws1_route_table_association_id"], "delete CWS #1 subnet"),
-    (13, ["cws2_subnet_id"], ["cws2_subnet_id", "cws2_route_table_association_id"], "delete CWS #2 subnet"),
-    (14, ["main_route_table_id"], ["main_route_table_id"], "delete main subnet route table"),
-    (15, ["cws1_route_table_id"], ["cws1_route_table_id"], "delete CWS #1 subnet route table"),
-    (16, ["cws2_route_table_id"], ["cws2_route_table_id"], "delete CWS #2 subnet route table"),
-    (17, ["gateway_id", "vpc_id"], ["gateway_id"], "delete internet gateway"),
-    (18, ["vpc_id"], ["vpc_id"], "delete VPC"),
-    (19, ["keypair_name"], ["keypair_name"], "delete keypair"),
+     "wait for stopped machines"),
+    (6, ["listener_arn"], ["listener_arn"], "drop listener"),
+    (7, ["load_balancer_arn"], ["load_balancer_arn", "load_balancer_dnsname"], "drop load balancer"),
+    (8, ["target_group_arn"], ["target_group_arn"], "drop target group"),
+    (9, ["lb_security_group_id"], ["lb_security_group_id"], "drop balancer group"),
+    (10, ["security_group_id"], ["security_group_id"], "drop machine group"),
+    (11, ["main_subnet_id"], ["main_subnet_id", "main_route_table_association_id"], "drop main subnet"),
+    (12, ["cws1_subnet_id"], ["cws1_subnet_id", "cws1_route_table_association_id"], "drop cws1 subnet"),
+    (13, ["cws2_subnet_id"], ["cws2_subnet_id", "cws2_route_table_association_id"], "drop cws2 subnet"),
+    (14, ["main_route_table_id"], ["main_route_table_id"], "drop main routes"),
+    (15, ["cws1_route_table_id"], ["cws1_route_table_id"], "drop cws1 routes"),
+    (16, ["cws2_route_table_id"], ["cws2_route_table_id"], "drop cws2 routes"),
+    (17, ["gateway_id", "vpc_id"], ["gateway_id"], "drop gateway"),
+    (18, ["vpc_id"], ["vpc_id"], "drop network"),
+    (19, ["keypair_name"], ["keypair_name"], "drop key pair"),
 ]
 
 # State keys that hold addresses or names rather than cloud resources; they
@@ -267,7 +263,9 @@ LOG_STYLES = [
 ]
 LOG_TIME_COLOR = "yellow"
 # Header of a log record: optional text glued before it (a prompt), the ISO
-# time with an optional microsecond part, the status word, the message.
+# time with an optional microsecond part, the status word, the message. (?s):
+# a message may hold any character, carriage returns and Unicode line
+# separators included.
 LOG_HEADER_PATTERN = (
-    r"^(.*?)\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{6})?)\] (\w+): (.*)$"
+    r"(?s)^(.*?)\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{6})?)\] (\w+): (.*)$"
 )

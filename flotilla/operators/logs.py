@@ -14,8 +14,9 @@ task; instead the count is split in two levels:
 
 A line's record number is the chunk offset plus the local count, so the
 widest window partition holds one chunk of lines, however many lines a
-deployment has. Records inside a chunk are then grouped in place; only
-records that touch a chunk edge are shuffled again.
+deployment has. The lines of a record inside a chunk are then grouped in
+place, and one regrouping by record joins the pieces of the few records that
+reach into further chunks.
 """
 
 from __future__ import annotations
@@ -69,11 +70,10 @@ def parse_text(text: Column) -> dict[str, Column]:
     """E4 on a text column: prompt text glued before the header, time,
     status and message (which may span lines); nulls when the text has no
     header."""
-    pat = "(?s)" + LOG_HEADER_PATTERN
-    ok = text.rlike(pat)
+    ok = text.rlike(LOG_HEADER_PATTERN)
 
     def grp(i: int) -> Column:
-        return F.when(ok, F.regexp_extract(text, pat, i))
+        return F.when(ok, F.regexp_extract(text, LOG_HEADER_PATTERN, i))
 
     return {
         "prompt": grp(1),
@@ -97,44 +97,38 @@ def is_header(line: Column) -> Column:
 
 def number_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
     """Each physical line with its record number ``rec`` within the
-    deployment (lines before the first header get record 0), its ``chunk``,
-    and ``boundary``: whether its record may reach into another chunk
-    (lines before the chunk's first header, and the chunk's last record)."""
+    deployment (lines before the first header get record 0) and its
+    ``chunk``."""
     marked = lines.select("deployment_id", "seq", "sub_no", "line",
                           F.expr(f"seq div {int(chunk_span)}").alias("chunk"),
                           is_header(F.col("line")).cast("int").alias("h"))
     per_chunk = marked.groupBy("deployment_id", "chunk").agg(F.sum("h").alias("hc"))
     before = Window.partitionBy("deployment_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select("deployment_id", "chunk", "hc",
+    offsets = per_chunk.select("deployment_id", "chunk",
                                F.coalesce(F.sum("hc").over(before), F.lit(0)).alias("offset"))
     running = Window.partitionBy("deployment_id", "chunk").orderBy("seq", "sub_no").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = marked.withColumn("local", F.sum("h").over(running))
     return (local.join(offsets, ["deployment_id", "chunk"])
             .select("deployment_id", "chunk", "seq", "sub_no", "line",
-                    (F.col("offset") + F.col("local")).alias("rec"),
-                    ((F.col("local") == 0) | (F.col("local") == F.col("hc"))).alias("boundary")))
-
-
-def _records(numbered: DataFrame, keys: list[str]) -> DataFrame:
-    grouped = numbered.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "sub_no", "line"))).alias("ls"))
-    return grouped.select("deployment_id", "rec", F.col("ls")[0]["seq"].alias("first_seq"),
-                          F.array_join(F.col("ls")["line"], "\n").alias("text"))
+                    (F.col("offset") + F.col("local")).alias("rec")))
 
 
 def assemble_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:
     """``(deployment_id, rec, first_seq, text)``: the physical lines of
     each record joined by newlines, in ``(seq, sub_no)`` order.
 
-    Records that start and end inside one chunk are grouped where the lines
-    already are (partitioned by deployment and chunk: no shuffle); only the
-    lines of records that may cross a chunk edge are regrouped by record.
-    Each group is one record, i.e. one output value."""
-    numbered = number_records(lines, chunk_span)
-    inner = _records(numbered.where(~F.col("boundary")), ["deployment_id", "chunk", "rec"])
-    edges = _records(numbered.where(F.col("boundary")), ["deployment_id", "rec"])
-    return inner.unionByName(edges)
+    The lines of a record in one chunk are grouped where they already are
+    (partitioned by deployment and chunk: no shuffle); one regrouping by
+    record then joins the pieces of records that cross a chunk edge. Each
+    group is one record, i.e. one output value."""
+    pieces = number_records(lines, chunk_span).groupBy("deployment_id", "chunk", "rec").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "sub_no", "line"))).alias("ls"))
+    pieces = pieces.select("deployment_id", "rec", F.struct(
+        "chunk", F.col("ls")[0]["seq"].alias("seq"), F.array_join(F.col("ls")["line"], "\n").alias("text")).alias("piece"))
+    whole = pieces.groupBy("deployment_id", "rec").agg(F.sort_array(F.collect_list("piece")).alias("ps"))
+    return whole.select("deployment_id", "rec", F.col("ps")[0]["seq"].alias("first_seq"),
+                        F.array_join(F.col("ps")["text"], "\n").alias("text"))
 
 
 # -- E5 -------------------------------------------------------------------------------------

@@ -142,6 +142,8 @@ def log_records_from_events(ev: DataFrame) -> DataFrame:
               .when(et == "error", "danger").otherwise("critical"))
     message = F.when(eid % 10 == 0,
                      F.concat(F.lit(SUMMARY_HEAD + "\n" + SUMMARY_LINE + "\n  = "), _s(eid), F.lit(" instances"))
+                     ).when(eid % 40 == 3, F.concat(F.col("props"), F.lit("\rpull 100%"))
+                     ).when(eid % 40 == 7, F.concat(F.col("props"), F.lit("\u2028second part"))
                      ).otherwise(F.col("props"))
     return ev.select(F.col("user_id").alias("deployment_id"), eid.alias("seq"), "ts",
                      status.alias("status"), message.alias("message"))
