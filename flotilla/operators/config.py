@@ -63,9 +63,12 @@ def forced_config(requests: DataFrame) -> DataFrame:
 
 
 def apply_forced(user: DataFrame, requests: DataFrame) -> DataFrame:
-    """Forced keys replace the user's. The forced key list is fixed, so
-    dropping the user's copies is a filter, and the merge is a union."""
-    kept = user.where(~F.col("key").isin(FORCED_CONFIG_KEYS))
+    """Forced keys replace the user's, for accepted deployments (a
+    rejected request stops before any configuration). The forced key list is
+    fixed, so dropping the user's copies is a filter, and the merge is a
+    union."""
+    kept = (user.where(~F.col("key").isin(FORCED_CONFIG_KEYS))
+            .join(B.accepted_requests(requests).select("deployment_id"), "deployment_id", "left_semi"))
     return kept.unionByName(forced_config(requests))
 
 
@@ -101,9 +104,12 @@ def first_absent(ids: DataFrame, entries: DataFrame, keys: list[str], key_col: s
             .where(F.col("first_missing").isNotNull()))
 
 
-def missing_required(entries: DataFrame, ids: DataFrame) -> DataFrame:
-    """The first absent of core_services, other_services, db_passwd."""
-    return first_absent(ids, entries, REQUIRED_CONFIG_KEYS)
+def missing_required(entries: DataFrame, ids: DataFrame, forced: bool = False) -> DataFrame:
+    """The first absent of core_services, other_services, db_passwd.
+    ``forced``: the deployments get their forced keys, which are then present
+    without a row, so only the user's entries are read."""
+    keys = [k for k in REQUIRED_CONFIG_KEYS if not (forced and k in FORCED_CONFIG_KEYS)]
+    return first_absent(ids, entries, keys)
 
 
 def generated_secrets(entries: DataFrame, ids: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
+    CWS_BASE_PORT, WORKER_BASE_PORT,
     CWS_TARGET_BASE_PORT, DEFAULT_CONTEST, INGRESS_RULES, KEYPAIR_SUFFIX, LB_GROUP_SUFFIX, LB_SUFFIX,
     LOG_COMMAND, MAIN_IP, MIN_CWS_INSTANCES, PEM_SUFFIX, PUBLISHED_FIXED_PORTS, PUBLISHED_SHARDS,
     RANKING_COMMAND, REJECT_REASON, RESOURCE_COMMAND, RWS_ON, SERVICES, SHELL_COMMAND, STATE_FILE_SUFFIX,
@@ -217,8 +218,8 @@ def published_port_array() -> Column:
     return F.concat(
         F.array(*[F.lit(p) for p in PUBLISHED_FIXED_PORTS]),
         F.transform(F.array_repeat(F.lit(0), nk), lambda _, i: CWS_TARGET_BASE_PORT + i),
-        F.transform(F.array_repeat(F.lit(0), F.lit(PUBLISHED_SHARDS)), lambda _, i: 26000 + i),
-        F.transform(F.array_repeat(F.lit(0), F.lit(PUBLISHED_SHARDS)), lambda _, i: 21000 + i),
+        F.transform(F.array_repeat(F.lit(0), F.lit(PUBLISHED_SHARDS)), lambda _, i: WORKER_BASE_PORT + i),
+        F.transform(F.array_repeat(F.lit(0), F.lit(PUBLISHED_SHARDS)), lambda _, i: CWS_BASE_PORT + i),
     )
 
 
@@ -380,48 +381,6 @@ def service_document_rows(document: DataFrame) -> DataFrame:
             .select("deployment_id", "section", "service", "pos", "ep.ip", "ep.port"))
 
 
-def _host_numbers(tier: str, count: Column) -> Column:
-    """Host numbers of a tier, ``first .. first+count-1``; empty when count
-    <= 0 (``sequence`` alone would count down)."""
-    _, _, first, *_ = _TIER[tier]
-    return F.when(count > 0, F.sequence(F.lit(first), F.lit(first - 1) + count)).otherwise(
-        F.array().cast("array<int>"))
-
-
-def _ep_list(tier: str, count: Column, port: int) -> Column:
-    """``["ip",port]`` items of a tier, comma separated, or null when the tier
-    is empty. Built with ``array_join`` and a separator that carries the
-    address prefix, so no lambda runs per element."""
-    prefix = _TIER[tier][1]
-    hosts = _host_numbers(tier, count).cast("array<string>")
-    sep = f'",{port}],["{prefix}'
-    return F.when(F.size(hosts) > 0, F.concat(F.lit(f'["{prefix}'), F.array_join(hosts, sep),
-                                             F.lit(f'",{port}]')))
-
-
-def _host_items(prefix: str, ports: Column):
-    """Lambda: host number -> its ``["ip",port]`` items for every port."""
-    def fn(h: Column) -> Column:
-        ip = F.concat(F.lit(prefix), h)
-        sep = F.concat(F.lit('],["'), ip, F.lit('",'))
-        return F.concat(F.lit('["'), ip, F.lit('",'), F.call_function("array_join", ports, sep), F.lit("]"))
-    return fn
-
-
-def _sharded_list(tiers: list[tuple[str, Column]], shards: Column, base: int) -> Column:
-    """Items ``["ip",base+s]`` for every host of the tiers and shard s, host
-    major, or null when there are none: one lambda per host, the shard list
-    itself via ``array_join`` with a separator carrying the address."""
-    ports = F.when(shards > 0, F.sequence(F.lit(base), F.lit(base - 1) + shards)).otherwise(
-        F.array().cast("array<int>")).cast("array<string>")
-    parts = []
-    for tier, count in tiers:
-        hosts = _host_numbers(tier, count).cast("array<string>")
-        parts.append(F.when((F.size(hosts) > 0) & (F.size(ports) > 0),
-                            F.array_join(F.transform(hosts, _host_items(_TIER[tier][1], ports)), ",")))
-    return F.concat_ws(",", *parts)
-
-
 def _sql_host_numbers(first: int, count: str) -> str:
     return f"CASE WHEN {count} > 0 THEN sequence({first}, {first - 1} + {count}) ELSE CAST(array() AS array<int>) END"
 
@@ -481,34 +440,10 @@ def endpoints_json(section: str) -> Column:
     in document order, each endpoint a two-element ``[ip, port]`` list
     (mixed types, so written as text rather than through a Spark array).
     Single-host services are constant strings; the expression is SQL text
-    rendered once (see :func:`endpoints_json_columns` for the same with
-    Column functions)."""
+    rendered once."""
     return F.expr(_ENDPOINTS_SQL[section])
 
 
-def endpoints_json_columns(section: str) -> Column:
-    """:func:`endpoints_json` built from Column functions."""
-    n1, n2 = cws_split(F.col("nb_cws_instances"))
-    w, wk, k = F.col("nb_workers_instances"), F.col("nb_workers_per_instance"), F.col("nb_cws_per_instance")
-    items = []
-    for name, s, hosts, port in SERVICES:
-        if s != section:
-            continue
-        if hosts == "main":
-            body = F.lit(f'["{MAIN_IP}",{port}]')
-        elif hosts == "all":
-            body = F.concat_ws(",", F.lit(f'["{MAIN_IP}",{port}]'), _ep_list("workers", w, port),
-                               _ep_list("cws1", n1, port), _ep_list("cws2", n2, port))
-        elif hosts == "workers_shards":
-            body = _sharded_list([("workers", w)], wk, port)
-        elif hosts == "cws_shards":
-            body = _sharded_list([("cws1", n1), ("cws2", n2)], k, port)
-        else:
-            raise ValueError(hosts)
-        items.append(F.concat(F.lit(f'"{name}":['), body, F.lit("]")))
-    return F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}"))
-
-
 # -- B15 ------------------------------------------------------------------------------------
 
 def attach_addresses(instances: DataFrame, observed: DataFrame) -> DataFrame:

@@ -42,12 +42,20 @@ def _key_bit(key: str = "state_key") -> Column:
     return case_lookup(key, {k: 1 << i for k, i in KEY_BIT.items()}, cast="bigint")
 
 
-def known_state(state_entries: DataFrame) -> DataFrame:
-    return state_entries.where(F.col("state_key").isin(STATE_KEY_NAMES))
+def id_list(value: Column) -> Column:
+    """The ids of a saved list. A list that does not parse fails the job, as
+    loading a broken record fails the tool; :func:`malformed_lists` finds
+    such rows beforehand."""
+    ids = F.from_json(value, "array<string>")
+    broken = F.raise_error(F.concat(F.lit("malformed id list: "), value)).cast("array<string>")
+    return F.when(ids.isNotNull() | value.isNull(), ids).otherwise(broken)
 
 
-def id_list(value: Column) -> Column:
-    return F.from_json(value, "array<string>")
+def malformed_lists(state_entries: DataFrame) -> DataFrame:
+    """D2's error rows: ``(deployment_id, state_key)`` of id lists whose text
+    is no JSON list."""
+    lists = state_entries.where(F.col("state_key").isin(LIST_KEYS) & F.col("state_value").isNotNull())
+    return lists.where(F.from_json("state_value", "array<string>").isNull()).select("deployment_id", "state_key")
 
 
 # -- D1, D2 -----------------------------------------------------------------------
@@ -155,16 +163,16 @@ def teardown_result(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def residual_state(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The state rows still saved after teardown. Unknown keys are never
-    touched and skip the join."""
+    """The state rows still saved after teardown. Unknown keys carry no
+    bit and are never touched. The state is read twice: for the masks and
+    for its rows."""
     res = teardown_result(state_entries, outcomes).select("deployment_id", "removed")
-    known = state_entries.select("deployment_id", "state_key", "state_value",
-                                 _key_bit("state_key").alias("bit")).where(F.col("bit").isNotNull())
-    kept = (known.join(res, "deployment_id")
-            .where(F.col("removed").bitwiseAND(F.col("bit")) == 0)
+    zero = F.lit(0).cast("bigint")
+    rows = state_entries.select("deployment_id", "state_key", "state_value",
+                                F.coalesce(_key_bit("state_key"), zero).alias("bit"))
+    return (rows.join(res, "deployment_id", "left")
+            .where(F.coalesce(F.col("removed"), zero).bitwiseAND(F.col("bit")) == 0)
             .select("deployment_id", "state_key", "state_value"))
-    unknown = state_entries.where(~F.col("state_key").isin(STATE_KEY_NAMES))
-    return kept.unionByName(unknown)
 
 
 def leaks(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ column is aliased, so each one compares with its SQL oracle row by row.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from ..operators import planning as B
 from ..operators import logs as E
 from ..operators import state as D
 from ..streaming import logs as S
-from ..session import apply_join_policy, scratch_path
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import state_io as A
 
@@ -28,15 +27,11 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
-    """Register a query; the session it runs on gets the join policy
-    (broadcasts only from measured sizes) before the plan is built."""
+    """Register a query. Session settings are the caller's: see
+    ``session.JOIN_POLICY`` for those this library is tuned for."""
     def wrap(fn: Query) -> Query:
-        @functools.wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            apply_join_policy(spark)
-            return fn(spark, sf_dir)
-        QUERIES[name] = run
-        return run
+        QUERIES[name] = fn
+        return fn
     return wrap
 
 
@@ -165,8 +160,8 @@ def q_c1_raw(spark, d):
 
 @register("c1_missing_required")
 def q_c1(spark, d):
-    _, acc, ids, user = _config_inputs(spark, d)
-    return C.missing_required(C.apply_forced(user, acc), ids)
+    _, _, ids, user = _config_inputs(spark, d)
+    return C.missing_required(user, ids, forced=True)
 
 
 @register("c2_fill_defaults")
@@ -195,8 +190,8 @@ def q_c5(spark, d):
 
 @register("c6_passthrough_keys")
 def q_c6(spark, d):
-    _, acc, ids, user = _config_inputs(spark, d)
-    return C.passthrough_keys(C.apply_forced(user, acc), ids)
+    _, _, ids, user = _config_inputs(spark, d)
+    return C.passthrough_keys(user, ids)  # forced keys are none of these
 
 
 @register("c7_database_url")
@@ -227,8 +222,8 @@ def q_c9(spark, d):
 
 @register("c10_generated_secrets")
 def q_c10(spark, d):
-    _, acc, ids, user = _config_inputs(spark, d)
-    return C.generated_secrets(C.apply_forced(user, acc), ids)
+    _, _, ids, user = _config_inputs(spark, d)
+    return C.generated_secrets(user, ids)  # forced keys are none of these
 
 
 # -- state and teardown ---------------------------------------------------------------
@@ -244,6 +239,14 @@ def q_d2(spark, d):
     return D.instances_to_terminate(fx.state_entries(spark, d))
 
 
+@register("d2_malformed_lists")
+def q_d2_malformed(spark, d):
+    """With every 97th deployment's lists cut off at the end."""
+    st = fx.state_entries(spark, d)
+    cut = F.expr("CASE WHEN deployment_id % 97 = 0 THEN left(state_value, length(state_value) - 1) ELSE state_value END")
+    return D.malformed_lists(st.withColumn("state_value", cut))
+
+
 @register("d3_teardown_plan")
 def q_d3(spark, d):
     return D.teardown_plan(fx.state_entries(spark, d))
@@ -282,6 +285,12 @@ def q_d7(spark, d):
     return D.select_instances(inst, done, on=("deployment_id", "step"))
 
 
+@register("d7_select_by_instance_id")
+def q_d7_id(spark, d):
+    inst = D.instances_to_terminate(fx.state_entries(spark, d))
+    return D.select_instances(inst, inst.where(F.col("pos") == 0), on=("instance_id",))
+
+
 @register("a5_interfaces_in_group")
 def q_a5(spark, d):
     return D.interfaces_in_group(fx.interface_groups(spark, d), fx.state_entries(spark, d))
@@ -304,6 +313,12 @@ def q_e3(spark, d):
     return E.assemble_records(fx.log_lines(spark, d))
 
 
+@register("e3_assemble_records_chunked")
+def q_e3_chunked(spark, d):
+    """The same with chunks small enough that records cross their edges."""
+    return E.assemble_records(fx.log_lines(spark, d), chunk_span=64)
+
+
 @register("e4_parse_log")
 def q_e4(spark, d):
     p = E.parse_log(E.format_log(fx.log_records(spark, d)))
@@ -335,7 +350,7 @@ def q_e2_stream(spark, d):
 
 @register("e5_status_counts_stream")
 def q_e5_stream(spark, d):
-    return spark.read.parquet(S.run_complete_to_parquet(S.status_count_stream(spark, d), spark, "e5-stream"))
+    return S.latest_counts(spark, S.run_updates_to_parquet(S.status_count_stream(spark, d), spark, "e5-stream"))
 
 
 @register("e4_parse_log_stream")
@@ -352,6 +367,23 @@ def q_a1(spark, d):
     return A.read_state(spark, path)
 
 
+@register("a1_state_records")
+def q_a1_records(spark, d):
+    r = A.state_records(fx.state_entries(spark, d))
+    return r.select("deployment_id", "vpc_id", "main_instance_id",
+                    F.when(F.col("worker_instances_ids").isNotNull(), F.size("worker_instances_ids")).alias("n_workers"),
+                    F.get("cws1_instances_ids", F.lit(0)).alias("first_cws1"))
+
+
+@register("a2_state_after_teardown")
+def q_a2_after(spark, d):
+    """Records saved after teardown where a deployment only held a key pair:
+    emptied records are saved as such."""
+    st = fx.state_entries(spark, d).where((F.col("deployment_id") % 50 == 0) & (F.col("state_key") == "keypair_name"))
+    left = D.residual_state(st, fx.teardown_outcomes(spark, d))
+    return A.state_to_json(left, st.select("deployment_id"))
+
+
 @register("a2_state_to_json")
 def q_a2(spark, d):
     return A.state_to_json(fx.state_entries(spark, d))
@@ -366,6 +398,11 @@ def q_a3(spark, d):
     return main.unionByName(rank)
 
 
+@register("a3_config_failures")
+def q_a3_failures(spark, d):
+    return A.config_failures(C.config_files(fx.deployment_requests(spark, d), fx.config_overrides(spark, d)))
+
+
 @register("a4_read_requests")
 def q_a4(spark, d):
     path = A.write_requests(fx.deployment_requests(spark, d), scratch_path(spark, "requests"))

@@ -81,6 +81,8 @@ select user_id as deployment_id, event_id as seq, ts,
        case when event_id % 10 = 0
             then concat('Brief summary:', chr(10), '  + 1 main instance', chr(10), '  = ', event_id,
                         ' instances')
+            when event_id % 40 = 3 then concat(props, chr(13), 'pull 100%')
+            when event_id % 40 = 7 then concat(props, chr(8232), 'second part')
             else props end as message
 from events""",
     "log_lines": """
@@ -201,6 +203,7 @@ union all select deployment_id, 'admin_listen_port', '13800' from acc""",
     "merged": """
 select * from ov where key not in ('core_services', 'other_services', 'contest_listen_address',
   'contest_listen_port', 'num_proxies_used', 'admin_listen_port')
+  and deployment_id in (select deployment_id from acc)
 union all select * from forced""",
     "cat": """
 select * from (values
@@ -303,25 +306,25 @@ select deployment_id, key, value, null from passthrough""",
 HELPER_CTES.update({
     "steps": """
 select * from (values
-  (1, 'worker_instances_ids', null, 'terminate worker instances'),
-  (2, 'cws1_instances_ids', null, 'terminate CWS #1 instances'),
-  (3, 'cws2_instances_ids', null, 'terminate CWS #2 instances'),
-  (4, 'main_instance_id', null, 'terminate main instance'),
-  (5, null, null, 'wait for instances to terminate'),
-  (6, 'listener_arn', null, 'delete load balancer listener'),
-  (7, 'load_balancer_arn', null, 'delete load balancer'),
-  (8, 'target_group_arn', null, 'delete LB target group'),
-  (9, 'lb_security_group_id', null, 'delete LB security group'),
-  (10, 'security_group_id', null, 'delete security group'),
-  (11, 'main_subnet_id', null, 'delete main subnet'),
-  (12, 'cws1_subnet_id', null, 'delete CWS #1 subnet'),
-  (13, 'cws2_subnet_id', null, 'delete CWS #2 subnet'),
-  (14, 'main_route_table_id', null, 'delete main subnet route table'),
-  (15, 'cws1_route_table_id', null, 'delete CWS #1 subnet route table'),
-  (16, 'cws2_route_table_id', null, 'delete CWS #2 subnet route table'),
-  (17, 'gateway_id', 'vpc_id', 'delete internet gateway'),
-  (18, 'vpc_id', null, 'delete VPC'),
-  (19, 'keypair_name', null, 'delete keypair')) t(step, guard1, guard2, action)""",
+  (1, 'worker_instances_ids', null, 'stop workers'),
+  (2, 'cws1_instances_ids', null, 'stop cws1 machines'),
+  (3, 'cws2_instances_ids', null, 'stop cws2 machines'),
+  (4, 'main_instance_id', null, 'stop main machine'),
+  (5, null, null, 'wait for stopped machines'),
+  (6, 'listener_arn', null, 'drop listener'),
+  (7, 'load_balancer_arn', null, 'drop load balancer'),
+  (8, 'target_group_arn', null, 'drop target group'),
+  (9, 'lb_security_group_id', null, 'drop balancer group'),
+  (10, 'security_group_id', null, 'drop machine group'),
+  (11, 'main_subnet_id', null, 'drop main subnet'),
+  (12, 'cws1_subnet_id', null, 'drop cws1 subnet'),
+  (13, 'cws2_subnet_id', null, 'drop cws2 subnet'),
+  (14, 'main_route_table_id', null, 'drop main routes'),
+  (15, 'cws1_route_table_id', null, 'drop cws1 routes'),
+  (16, 'cws2_route_table_id', null, 'drop cws2 routes'),
+  (17, 'gateway_id', 'vpc_id', 'drop gateway'),
+  (18, 'vpc_id', null, 'drop network'),
+  (19, 'keypair_name', null, 'drop key pair')) t(step, guard1, guard2, action)""",
     "removes": """
 select * from (values
   (1, 0, 'worker_instances_ids'), (2, 0, 'cws1_instances_ids'), (3, 0, 'cws2_instances_ids'),
@@ -416,7 +419,7 @@ def _add(name: str, sql: str) -> None:
 _add("b1_validate_requests", """
 select deployment_id, coalesce(nb_cws_instances >= 2, false) as accepted,
        case when coalesce(nb_cws_instances >= 2, false) then null
-            else 'There can''t be less than 2 CWS instances.' end as reason
+            else 'too few CWS instances' end as reason
 from deployment_requests""")
 
 _add("b2_fleet_summary", """
@@ -694,6 +697,11 @@ select deployment_id, cast(rec as bigint) as rec, min(seq) as first_seq,
        string_agg(line, chr(10) order by seq, sub_no) as text
 from numbered group by deployment_id, rec""")
 
+_add("e3_assemble_records_chunked", """
+select deployment_id, cast(rec as bigint) as rec, min(seq) as first_seq,
+       string_agg(line, chr(10) order by seq, sub_no) as text
+from numbered group by deployment_id, rec""")
+
 _add("e4_parse_log", """
 select deployment_id, seq, '' as prompt, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, status, message
 from log_records""")
@@ -727,6 +735,25 @@ select deployment_id,
        count(*) filter (where status = 'critical') as critical
 from log_records group by deployment_id""")
 
+_add("a1_state_records", """
+select deployment_id,
+       max(state_value) filter (where state_key = 'vpc_id') as vpc_id,
+       max(state_value) filter (where state_key = 'main_instance_id') as main_instance_id,
+       cast(max(json_array_length(case when state_key = 'worker_instances_ids' then state_value end)) as int) as n_workers,
+       max(json_extract_string(case when state_key = 'cws1_instances_ids' then state_value end, '$[0]')) as first_cws1
+from state_entries group by deployment_id""")
+
+_add("d2_malformed_lists", """
+select deployment_id, state_key from (
+  select deployment_id, state_key,
+         case when deployment_id % 97 = 0 then left(state_value, length(state_value) - 1) else state_value end as v
+  from state_entries where state_key in ('worker_instances_ids', 'cws1_instances_ids', 'cws2_instances_ids'))
+where not json_valid(v)""")
+
+_add("d7_select_by_instance_id", """
+select t.deployment_id, t.step, t.pos, t.instance_id from term_ids t
+where t.instance_id in (select instance_id from term_ids where pos = 0)""")
+
 _add("a1_read_state", "select deployment_id, state_key, state_value from state_entries")
 
 _add("a2_state_to_json", """
@@ -751,6 +778,21 @@ select e.deployment_id,
 from state_entries e left join k on k.key = e.state_key
 group by e.deployment_id""")
 
+_add("a2_state_after_teardown", """
+with st as (
+  select * from state_entries where deployment_id % 50 <> 0 or state_key = 'keypair_name'),
+gone as (
+  select st.deployment_id from st join teardown_outcomes o on o.deployment_id = st.deployment_id
+  where st.deployment_id % 50 = 0 and o.step = 19 and o.ok)
+select distinct deployment_id,
+       '{"deployment_id":' || deployment_id || ',"state":{'
+       || case when deployment_id in (select deployment_id from gone) then ''
+               else '"keypair_name":' || to_json('keypair_name-' || deployment_id)::varchar end || '}}' as json
+from st where deployment_id % 50 = 0""")
+
+_add("a3_config_failures", """
+select deployment_id, min(error) as error from entries group by deployment_id having count(error) > 0""")
+
 _add("a3_write_config", """
 with ok as (select deployment_id from entries group by deployment_id having count(error) = 0),
 rk as (select deployment_id, 'bind_address' as key, '""' as value from parts

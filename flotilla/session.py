@@ -83,6 +83,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for a written table."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "flotilla", f"{name}-{uuid.uuid4().hex}")
+    if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names a local folder; a cluster needs a shared one")
+    return f"{base.rstrip('/')}/flotilla/{name}-{uuid.uuid4().hex}"

@@ -9,9 +9,8 @@ restarted driver resumes from the last committed batch.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import logs as E
@@ -44,29 +43,37 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, output_mod
     """Run a streaming DataFrame over everything available now into a
     parquet folder under the checkpoint folder; returns the folder."""
     base = scratch_path(spark, name)
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    out, ckpt = f"{base}/out", f"{base}/checkpoint"
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
-def run_complete_to_parquet(stream: DataFrame, spark: SparkSession, name: str) -> str:
-    """Run a streaming aggregate in complete mode; each micro-batch replaces
-    the result folder (an idempotent overwrite, so a retried batch writes
-    the same table). Returns the folder."""
+def run_updates_to_parquet(stream: DataFrame, spark: SparkSession, name: str) -> str:
+    """Run a streaming aggregate in update mode: a micro-batch writes only
+    the rows it changed, to a folder of its own number, which a retried
+    batch overwrites. Returns the folder; :func:`latest_counts` reads it."""
     base = scratch_path(spark, name)
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    out, ckpt = f"{base}/out", f"{base}/checkpoint"
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-         .outputMode("complete").trigger(availableNow=True).start())
+         .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each deployment in the batches of a folder."""
+    rows = spark.read.parquet(path)
+    names = [c for c in rows.columns if c not in ("deployment_id", "batch")]
+    newest = rows.groupBy("deployment_id").agg(F.max_by(F.struct(*names), "batch").alias("r"))
+    return newest.select("deployment_id", "r.*")
+
+
 def formatted_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 on a stream of log records."""
     return E.format_log(log_record_stream(spark, sf_dir))
@@ -83,5 +90,5 @@ def styled_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E5 on a stream: a stateful aggregate, emitted in update/complete mode."""
+    """E5 on a stream: a stateful aggregate, emitted in update mode."""
     return E.status_counts(log_record_stream(spark, sf_dir))

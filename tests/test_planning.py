@@ -112,13 +112,3 @@ def test_attach_addresses_keeps_unobserved(spark):
     a = B.attach_addresses(B.expand_instances(r), obs)
     assert a.count() == 6
     assert rows(a.where("public_ip is not null"), "launch_pos") == [(0,)]
-
-
-def test_endpoint_json_sql_text_equals_column_version(spark):
-    acc = B.accepted_requests(fx.deployment_requests(spark, SF_SMALL))
-    extra = requests_df(spark, request(spark, deployment_id=-1, nb_cws=2, workers=0, wk=0, k=0),
-                        request(spark, deployment_id=-2, nb_cws=7, workers=4, wk=3, k=1))
-    for df in (acc, extra):
-        for sec in ("core", "other"):
-            cmp = df.select(B.endpoints_json(sec).alias("a"), B.endpoints_json_columns(sec).alias("b"))
-            assert cmp.where("a != b or a is null or b is null").count() == 0
