@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .oracles import ORACLE_SQL  # noqa: F401  (read by the entry module)
 
 #: Production parameter: the SentencePiece model of the environment.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
