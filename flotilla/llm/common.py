@@ -52,6 +52,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that a task holds few texts as
+    Python objects at a time."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` whose Python workers find this package under the path
     it was imported from, wherever the session was started."""
@@ -101,11 +109,12 @@ def add_columns(df: DataFrame, column: str, fields: T.StructType,
         from pyspark.sql.pandas.types import to_arrow_type
         fn = compute()
         kinds = [to_arrow_type(f.dataType) for f in fields.fields]
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             new = fn(texts)
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            arrays += [pa.array(new[f.name], k) for f, k in zip(fields.fields, kinds)]
+            arrays += [new[f.name] if isinstance(new[f.name], pa.Array) else pa.array(new[f.name], k)
+                       for f, k in zip(fields.fields, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
     return mapped(joined, run, out)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, alnum_words, mapped, quoted, spare, without
+from .common import add_columns, alnum_words, mapped, quoted, slices, spare, without
 
 WINDOW = 10
 #: Windows that one scan of the documents searches for; a larger benchmark is
@@ -32,7 +32,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                         quoted("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 tail: list[bytes] = []
                 whole = False

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, add_columns, alnum_words, mapped, quoted
+from .common import ALNUM, add_columns, alnum_words, mapped, quoted, slices
 
 BLOCK = 64
 STEP = 32
@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     whole corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 held = set()
                 for words in alnum_words(text or b""):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, quoted, spare, without
+from .common import mapped, quoted, slices, spare, without
 
 #: Words a repeated run must hold.
 MIN_WORDS = 50
@@ -70,7 +70,7 @@ def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         from xxhash import xxh3_128_digest, xxh64_intdigest
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fingerprint", pa.int64()),
                             ("window_hash", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                             batch.column(2).cast(pa.binary()).to_pylist()):

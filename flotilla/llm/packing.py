@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, quoted
+from .common import mapped, quoted, slices
 from .spm import _encoder
 
 SEQ_LEN = 2048
@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, model_file: str, seq_len: int = SEQ_LEN, doc
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-        for batch in batches:
+        for batch in slices(batches):
             for group, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if ids and (group != now or count > held):
                     yield from flush()
