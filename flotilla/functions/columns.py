@@ -102,19 +102,22 @@ def strict_bool(value_json: Column) -> Column:
 
 INT_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 INT_JSON = r"^-?[0-9]+$"
+FLOAT_JSON = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
 
 def config_int(value_json: Column) -> Column:
     """``int(value)`` (C4). Strings follow Python's integer syntax (spaces
     around, a sign, single underscores between digits); booleans give 1 and
-    0; JSON integers pass. Anything else, and JSON null, gives SQL null,
-    which :func:`config_int_error` flags."""
+    0; JSON integers pass, other JSON numbers lose their fraction. Anything
+    else, JSON null, and integers beyond 64 bits give SQL null, which
+    :func:`config_int_error` flags."""
     decoded = json_decode_text(value_json)
     from_text = F.when(decoded.rlike(INT_TEXT), F.regexp_replace(decoded, "_", "").try_cast("bigint"))
     return (F.when(value_json == "true", F.lit(1).cast("bigint"))
             .when(value_json == "false", F.lit(0).cast("bigint"))
             .when(is_json_string(value_json), from_text)
-            .when(value_json.rlike(INT_JSON), value_json.try_cast("bigint")))
+            .when(value_json.rlike(INT_JSON), value_json.try_cast("bigint"))
+            .when(value_json.rlike(FLOAT_JSON), value_json.try_cast("double").try_cast("bigint")))
 
 
 def config_int_error(value_json: Column) -> Column:

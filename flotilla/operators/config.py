@@ -44,8 +44,13 @@ INVALID_INTEGER = "invalid integer"
 # -- inputs -------------------------------------------------------------------------
 
 def overrides_json(overrides: DataFrame) -> DataFrame:
-    """User overrides ``(deployment_id, key, value string)`` as JSON text."""
-    return overrides.select("deployment_id", "key", json_string(F.col("value")).alias("value"))
+    """User overrides as JSON text. A string override is ``(deployment_id,
+    key, value)``; a typed one (number, list, boolean, null) has its JSON in
+    the optional column ``value_json``, which wins where it is not null."""
+    value = json_string(F.col("value"))
+    if "value_json" in overrides.columns:
+        value = F.coalesce(F.col("value_json"), value)
+    return overrides.select("deployment_id", "key", value.alias("value"))
 
 
 def forced_config(requests: DataFrame) -> DataFrame:

@@ -134,21 +134,21 @@ def q_b17(spark, d):
 
 # -- configuration ------------------------------------------------------------------
 
-def _config_inputs(spark, d):
+def _config_inputs(spark, d, overrides=fx.config_overrides):
     req = fx.deployment_requests(spark, d)
     acc = B.accepted_requests(req)
     ids = acc.select("deployment_id")
-    user = C.overrides_json(fx.config_overrides(spark, d))
+    user = C.overrides_json(overrides(spark, d))
     return req, acc, ids, user
 
 
-def _filled(spark, d):
-    _, scoped, facts = C.resolve(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
+def _filled(spark, d, overrides=fx.config_overrides):
+    _, scoped, facts = C.resolve(fx.deployment_requests(spark, d), overrides(spark, d))
     return C.fill_defaults_scoped(scoped, facts)
 
 
-def _parts(spark, d):
-    _, _, facts = C.resolve(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
+def _parts(spark, d, overrides=fx.config_overrides):
+    _, _, facts = C.resolve(fx.deployment_requests(spark, d), overrides(spark, d))
     return C.config_parts(facts)
 
 
@@ -170,14 +170,14 @@ def q_c2(spark, d):
 
 
 @register("c3_strict_bool")
-def q_c3(spark, d):
-    f = _filled(spark, d).where(F.col("kind") == "bool")
+def q_c3(spark, d, overrides=fx.config_overrides):
+    f = _filled(spark, d, overrides).where(F.col("kind") == "bool")
     return f.select("deployment_id", "key", strict_bool(F.col("value")).alias("value"))
 
 
 @register("c4_config_int")
-def q_c4(spark, d):
-    f = _filled(spark, d).where(F.col("kind") == "int")
+def q_c4(spark, d, overrides=fx.config_overrides):
+    f = _filled(spark, d, overrides).where(F.col("kind") == "int")
     v = config_int(F.col("value"))
     return f.select("deployment_id", "key", v.alias("value"), v.isNull().alias("error"))
 
@@ -226,6 +226,50 @@ def q_c10(spark, d):
     return C.generated_secrets(user, ids)  # forced keys are none of these
 
 
+# The same with numbers, lists, booleans and nulls among the overrides, and with masking off.
+
+@register("c3_strict_bool_typed")
+def q_c3_typed(spark, d):
+    return q_c3(spark, d, fx.config_overrides_typed)
+
+
+@register("c4_config_int_typed")
+def q_c4_typed(spark, d):
+    return q_c4(spark, d, fx.config_overrides_typed)
+
+
+@register("c6_passthrough_keys_typed")
+def q_c6_typed(spark, d):
+    _, _, ids, user = _config_inputs(spark, d, fx.config_overrides_typed)
+    return C.passthrough_keys(user, ids)
+
+
+@register("c8_ranking_document_typed")
+def q_c8_typed(spark, d):
+    return C.ranking_document(_parts(spark, d, fx.config_overrides_typed))
+
+
+@register("c9_config_entries_typed")
+def q_c9_entries_typed(spark, d):
+    return C.config_entries(fx.deployment_requests(spark, d), fx.config_overrides_typed(spark, d))
+
+
+@register("c9_config_document_typed")
+def q_c9_document_typed(spark, d):
+    docs = C.config_documents(fx.deployment_requests(spark, d), fx.config_overrides_typed(spark, d))
+    return docs.select("deployment_id", "document", "error")
+
+
+@register("c7_database_url_unmasked")
+def q_c7_unmasked(spark, d):
+    return C.database_url(_parts(spark, d), mask=False)
+
+
+@register("c9_config_entries_unmasked")
+def q_c9_unmasked(spark, d):
+    return C.config_entries(fx.deployment_requests(spark, d), fx.config_overrides(spark, d), mask=False)
+
+
 # -- state and teardown ---------------------------------------------------------------
 
 @register("d1_missing_prerequisites")

@@ -257,7 +257,8 @@ select deployment_id, key, value,
             when starts_with(value, '"') then
               case when regexp_full_match(json_extract_string(value, '$'), '\\s*[+-]?[0-9]+(_[0-9]+)*\\s*')
                    then try_cast(replace(trim(json_extract_string(value, '$')), '_', '') as bigint) end
-            when regexp_full_match(value, '-?[0-9]+') then try_cast(value as bigint) end as n
+            when regexp_full_match(value, '-?[0-9]+') then try_cast(value as bigint)
+            when regexp_full_match(value, '-?[0-9]+\\.[0-9]+') then cast(trunc(cast(value as double)) as bigint) end as n
 from filled where kind = 'int'""",
     "typed": """
 select f.deployment_id, f.key, f.kind, f.present,
@@ -520,17 +521,38 @@ union all
 select host_id, contest, 'shell', 0, '/bin/bash' from f where not runs""")
 
 
-def _needed(sql: str, names) -> list[str]:
-    return [n for n in names if n in sql]
+# Variants: the statement of another query with some CTEs exchanged.
+OV_TYPED = """
+select deployment_id, key,
+       case when key in ('backdoor', 'database_debug') and deployment_id % 4 = 0 then 'true'
+            when key = 'database_debug' and deployment_id % 4 = 1 then 'null'
+            when key = 'max_file_size' and deployment_id % 3 = 0 then value
+            when key = 'max_file_size' and deployment_id % 3 = 1 then value || '.75'
+            when key = 'max_file_size' and deployment_id % 7 = 2 then '[1]'
+            when key = 'paper_size' and deployment_id % 3 = 1 then 'null'
+            when key = 'shard_note' and deployment_id % 2 = 0 then '[1,"' || value || '",null]'
+            else coalesce(to_json(value)::varchar, 'null') end as value
+from config_overrides"""
+_PLAIN_URLS = HELPER_CTES["urls"].replace("case when db_passwd is not null then '********' end", _pystr("db_passwd"))
+_PLAIN_KNOWN = HELPER_CTES["known"].replace("""case when key in ('db_passwd', 'rankings_passwd', 'secret_key') and v is not null
+            then '"********"' else v end as value""", "v as value")
+VARIANTS = {
+    **{f"{base}_typed": (base, {"ov": OV_TYPED}) for base in (
+        "c3_strict_bool", "c4_config_int", "c6_passthrough_keys", "c8_ranking_document", "c9_config_entries",
+        "c9_config_document")},
+    "c7_database_url_unmasked": ("c7_database_url", {"urls": _PLAIN_URLS}),
+    "c9_config_entries_unmasked": ("c9_config_entries", {"urls": _PLAIN_URLS, "known": _PLAIN_KNOWN}),
+}
 
 
 def oracle_sql() -> dict[str, str]:
     """Full statements: the fixture and helper CTEs each query uses, then
     the query itself."""
     out = {}
-    for name, body in ORACLES.items():
-        ctes = dict(FIXTURE_CTES)
-        ctes.update(HELPER_CTES)
+    bodies = {n: (sql, {}) for n, sql in ORACLES.items()}
+    bodies.update({n: (ORACLES[base], changed) for n, (base, changed) in VARIANTS.items()})
+    for name, (body, exchanged) in bodies.items():
+        ctes = {**FIXTURE_CTES, **HELPER_CTES, **exchanged}
         # keep only the CTEs reachable from the body (cheap textual closure)
         keep: list[str] = []
         frontier = body

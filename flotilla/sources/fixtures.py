@@ -77,6 +77,20 @@ def config_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("deployment_id", "key").agg(F.max("value").alias("value")))
 
 
+_TYPED_VALUE = ("CASE WHEN key IN ('backdoor', 'database_debug') AND deployment_id % 4 = 0 THEN 'true' "
+                "WHEN key = 'database_debug' AND deployment_id % 4 = 1 THEN 'null' "
+                "WHEN key = 'max_file_size' AND deployment_id % 3 = 0 THEN value "
+                "WHEN key = 'max_file_size' AND deployment_id % 3 = 1 THEN concat(value, '.75') "
+                "WHEN key = 'max_file_size' AND deployment_id % 7 = 2 THEN '[1]' "
+                "WHEN key = 'paper_size' AND deployment_id % 3 = 1 THEN 'null' "
+                "WHEN key = 'shard_note' AND deployment_id % 2 = 0 THEN concat('[1,\"', value, '\",null]') END")
+
+
+def config_overrides_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overrides with numbers, lists, booleans and nulls among them."""
+    return config_overrides(spark, sf_dir).withColumn("value_json", F.expr(_TYPED_VALUE))
+
+
 def state_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey")
     k = F.col("o_orderkey")
