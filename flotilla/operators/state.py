@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..constants import (
     LB_PREREQUISITES, MAIN_IP, NON_RESOURCE_KEYS, STATE_KEY_NAMES, TEARDOWN_STEPS, TERMINATE_KEYS,
 )
-from ..functions.columns import case_lookup, sql_literal, struct_sql
+from ..functions.columns import case_lookup, json_string, sql_literal, struct_sql
 from .config import first_absent
 
 KEY_BIT = {k: i for i, k in enumerate(STATE_KEY_NAMES)}
@@ -237,3 +237,18 @@ def planned_state(requests: DataFrame) -> DataFrame:
         F.struct(F.lit("cws2_instance_ips").alias("state_key"), F.to_json(ips["cws2"]).alias("state_value")),
     )
     return requests.select("deployment_id", F.inline(rows))
+
+
+def deployed_state(requests: DataFrame, observed: DataFrame) -> DataFrame:
+    """The address keys of the record a deployment run saves: those of
+    :func:`planned_state` and ``instances_ips``, the observed address pairs
+    of all machines in launch order (null where none is observed). The
+    collected group is one deployment's list."""
+    from . import planning as B
+    pair = F.concat(F.lit('{"public":'), F.coalesce(json_string(F.col("public_ip")), F.lit("null")), F.lit(',"private":'),
+                    F.coalesce(json_string(F.col("observed_private_ip")), F.lit("null")), F.lit("}"))
+    lists = (B.attach_addresses(B.expand_instances(requests), observed).groupBy("deployment_id")
+             .agg(F.sort_array(F.collect_list(F.struct("launch_pos", pair.alias("pair")))).alias("ps")))
+    text = F.concat(F.lit("["), F.array_join(F.col("ps")["pair"], ","), F.lit("]"))
+    return planned_state(requests).unionByName(
+        lists.select("deployment_id", F.lit("instances_ips").alias("state_key"), text.alias("state_value")))

@@ -428,6 +428,22 @@ def q_a2_after(spark, d):
     return A.state_to_json(left, st.select("deployment_id"))
 
 
+@register("a1_latest_snapshot")
+def q_a1_latest(spark, d):
+    """A full snapshot, then one of every other deployment after teardown."""
+    st = fx.state_entries(spark, d)
+    path = A.append_state(st, scratch_path(spark, "snapshots"), 1).rsplit("/", 1)[0]
+    torn = st.where(F.col("deployment_id") % 2 == 0)
+    left = D.residual_state(torn, fx.teardown_outcomes(spark, d))
+    A.append_state(left, path, 2, torn.select("deployment_id").distinct())
+    return A.read_latest_state(spark, path)
+
+
+@register("a2_deployed_state")
+def q_a2_deployed(spark, d):
+    return D.deployed_state(_acc(spark, d), fx.observed_addresses(spark, d))
+
+
 @register("a2_state_to_json")
 def q_a2(spark, d):
     return A.state_to_json(fx.state_entries(spark, d))

@@ -50,8 +50,9 @@ def configure(requests: DataFrame, overrides: DataFrame, out_path: str | None =
 def deploy(requests: DataFrame, allowed_cidrs: DataFrame, observed: DataFrame | None = None,
            ts_col: str = "requested_at") -> dict[str, DataFrame]:
     """Deployment run: placed machines in launch order (with the addresses
-    the cloud reports when ``observed`` is given), access rules, published
-    ports and their flags, load-balancer targets, resource names, stamps."""
+    the cloud reports when ``observed`` is given, and the state record's
+    address keys), access rules, published ports and their flags,
+    load-balancer targets, resource names, stamps."""
     acc = B.accepted_requests(requests)
     placed = B.place_instances(acc)
     out = {
@@ -66,15 +67,20 @@ def deploy(requests: DataFrame, allowed_cidrs: DataFrame, observed: DataFrame |
     }
     if observed is not None:
         out["addresses"] = B.attach_addresses(placed, observed)
+        out["state"] = D.deployed_state(acc, observed)
     return out
 
 
 def teardown(saved: DataFrame, outcomes: DataFrame, memory: DataFrame | None = None,
-             state_out: str | None = None, top_k: int = 20) -> dict[str, DataFrame]:
+             state_out: str | None = None, top_k: int = 20, snapshot: int | None = None) -> dict[str, DataFrame]:
     """Teardown run over saved state (long form, e.g. from
     ``state_io.read_state``): the record used (memory first), machines to
     terminate, the plan, the state left after the outcomes, leaks and the
-    top-k leak report. Writes the remaining state when ``state_out`` is set."""
+    top-k leak report. Writes the remaining state of every deployment (an
+    empty record where nothing is left) when ``state_out`` is set; with
+    ``snapshot``, as that snapshot of the append-only store ``state_out``,
+    which may be the one ``saved`` was read from. Without it, ``state_out``
+    must be another folder."""
     state = D.effective_state(memory, saved) if memory is not None else saved
     leaked = D.leaks(state, outcomes)
     out = {
@@ -86,5 +92,9 @@ def teardown(saved: DataFrame, outcomes: DataFrame, memory: DataFrame | None = N
         "top_leaks": D.top_leaks(leaked.drop("leaked_keys"), top_k),
     }
     if state_out:
-        A.write_state(out["residual"], state_out)
+        ids = state.select("deployment_id").distinct()
+        if snapshot is None:
+            A.write_state(out["residual"], state_out, ids)
+        else:
+            A.append_state(out["residual"], state_out, snapshot, ids)
     return out

@@ -776,6 +776,29 @@ _add("d7_select_by_instance_id", """
 select t.deployment_id, t.step, t.pos, t.instance_id from term_ids t
 where t.instance_id in (select instance_id from term_ids where pos = 0)""")
 
+_add("a1_latest_snapshot", """
+select deployment_id, state_key, state_value from state_entries where deployment_id % 2 = 1
+union all
+select deployment_id, state_key, state_value from residual where deployment_id % 2 = 0""")
+
+_add("a2_deployed_state", """
+with seen as (
+  select i.deployment_id, i.launch_pos, coalesce('"' || o.public_ip || '"', 'null') as public_ip,
+         coalesce('"' || o.private_ip || '"', 'null') as private_ip
+  from inst6 i left join observed_addresses o on o.deployment_id = i.deployment_id and o.launch_pos = i.launch_pos),
+lists as (
+  select deployment_id, string_agg('{"public":' || public_ip || ',"private":' || private_ip || '}', ',' order by launch_pos) as l
+  from seen group by deployment_id)
+select deployment_id, 'main_instance_ip' as state_key, '10.0.1.5' as state_value from acc
+union all
+select a.deployment_id, t.state_key,
+       coalesce((select '[' || string_agg('"' || i.private_ip || '"', ',' order by i.idx) || ']'
+                 from inst i where i.deployment_id = a.deployment_id and i.tier = t.tier), '[]')
+from acc a cross join (values ('workers_instance_ips', 'workers'), ('cws1_instance_ips', 'cws1'),
+                              ('cws2_instance_ips', 'cws2')) t(state_key, tier)
+union all
+select a.deployment_id, 'instances_ips', '[' || coalesce(l.l, '') || ']' from acc a left join lists l using (deployment_id)""")
+
 _add("a1_read_state", "select deployment_id, state_key, state_value from state_entries")
 
 _add("a2_state_to_json", """
