@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, mapped, quoted, spare, without
+from .common import add_columns, mapped, quoted, slices, spare, without
 
 SPACE = "▁"
 #: Parts whose ids a task remembers (two generations of half this size).
@@ -207,58 +207,65 @@ def viterbi(model: Model, text: str) -> list[int]:
 
 
 class Encoder:
-    """Encodes whole texts; one for each task."""
+    """Encodes whole texts; one for each task.
+
+    ``new`` and ``old`` remember ids (little-endian 4-byte numbers) of words
+    after a single blank, by the bare word, in two generations.
+    """
 
     def __init__(self, model: Model, part_ids=None):
         self.model = model
         self.part_ids = part_ids or (lambda part: viterbi(model, part))
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        """Ids of one part as little-endian 4-byte numbers."""
-        got = self.new.get(part)
-        if got is None:
-            got = self.old.get(part)
-            if got is None:
-                got = array("i", self.part_ids(part)).tobytes()
-            if len(part) <= 64:
-                if len(self.new) >= REMEMBERED // 2:
-                    self.old, self.new = self.new, {}
-                self.new[part] = got
+        self.splits = model.marks_lead and model.fallback
+        self.line_break = self._ids("\n") if model.alone else b""
+
+    def _ids(self, part: str) -> bytes:
+        return array("i", self.part_ids(part)).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a single blank that ``new`` does not have."""
+        got = self.old.get(word) or self._ids(SPACE + word)
+        if len(word) <= 64:
+            if len(self.new) >= REMEMBERED // 2:
+                self.old, self.new = self.new, {}
+            self.new[word] = got
         return got
 
-    def parts(self, text: str) -> Iterable[str]:
-        model = self.model
-        text = (SPACE if model.prefix and text else "") + text.replace(" ", SPACE)
-        if not model.marks_lead or not model.fallback:
-            yield text
-            return
-        lines = text.split("\n") if model.alone else [text]
-        for k, line in enumerate(lines):
-            if k:
-                yield "\n"
-            words = line.split(SPACE)
-            if words[0]:
-                yield words[0]
-            marks = ""
-            for w in words[1:]:
-                marks += SPACE
-                if w:
-                    yield marks + w
-                    marks = ""
-            if marks:
-                yield marks
+    def _parts(self, line: str) -> Iterable[str]:
+        """``line`` (with word marks) cut where paths meet: before word marks."""
+        words = line.split(SPACE)
+        if words[0]:
+            yield words[0]
+        marks = ""
+        for w in words[1:]:
+            marks += SPACE
+            if w:
+                yield marks + w
+                marks = ""
+        if marks:
+            yield marks
 
     def encode(self, text: str) -> bytes:
-        get = self.new.get
+        if not text:
+            return b""
+        if self.model.prefix:
+            text = " " + text
+        if not self.splits:
+            return self._ids(text.replace(" ", SPACE))
         out = []
-        for part in self.parts(text):
-            got = get(part)
-            if got is None:
-                got = self._part(part)
-                get = self.new.get
-            out.append(got)
+        for k, line in enumerate(text.split("\n") if self.model.alone else [text]):
+            if k:
+                out.append(self.line_break)
+            if "  " in line or line.endswith(" ") or SPACE in line:
+                out += map(self._ids, self._parts(line.replace(" ", SPACE)))
+                continue
+            words = line.split(" ")
+            if words[0]:
+                out.append(self._ids(words[0]))
+            get, learn = self.new.get, self._word
+            out += [get(w) or learn(w) for w in words[1:]]
         return b"".join(out)
 
 
@@ -292,20 +299,23 @@ def encode(docs: DataFrame, model_file: str, column: str = "ids") -> DataFrame:
     are replaced."""
     def compute():
         encoder = _encoder(model_file, False)
-
-        def batch(texts: list) -> dict[str, list]:
-            import pyarrow as pa
-            rows = [None if t is None else encoder.encode(t.decode("utf-8", "replace")) for t in texts]
-            sizes = np.array([0] + [len(r) // 4 if r else 0 for r in rows], np.int64)
-            values = pa.array(np.frombuffer(b"".join(r for r in rows if r), "<i4"))
-            offsets = pa.array(np.cumsum(sizes).astype(np.int32))
-            empty = pa.array([r is None for r in rows])
-            return {column: pa.ListArray.from_arrays(offsets, values, mask=empty)}
-        return batch
+        return lambda texts: {column: id_lists([_encoded(encoder, t) for t in texts])}
 
     return add_columns(docs, "text", T.StructType([T.StructField(column, T.ArrayType(T.IntegerType()))]), compute)
 
 
+def _encoded(encoder: Encoder, text: bytes | None) -> bytes | None:
+    return None if text is None else encoder.encode(text.decode("utf-8", "replace"))
+
+
+def id_lists(rows: list[bytes | None]):
+    """Rows of ids as an Arrow list array, without Python numbers."""
+    import pyarrow as pa
+    ends = np.cumsum([0] + [len(r) // 4 if r else 0 for r in rows]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(r for r in rows if r), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([r is None for r in rows]))
+
+
 def decode(docs: DataFrame, model_file: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``docs`` with the text that ``ids`` stand for. Null ids give null;
     bytes that are no UTF-8 become U+FFFD, control pieces nothing. Ids
@@ -317,41 +327,65 @@ def decode(docs: DataFrame, model_file: str, ids: str = "ids", column: str = "de
 
     def run(batches):
         import pyarrow as pa
-        table = piece_bytes(_encoder(model_file, False).model)
-        prefix = _encoder(model_file, False).model.prefix
-        for batch in batches:
+        table, prefix = _pieces(model_file)
+        for batch in slices(batches):
             lists = batch.column(batch.num_columns - 1)
-            texts = []
-            for k in range(len(lists)):
-                row = lists[k]
-                texts.append(None if not row.is_valid else joined(table, row.values.to_pylist(), prefix))
+            texts = [joined(table, x.values.to_pylist(), prefix) if x.is_valid else None for x in lists]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
     return mapped(picked, run, out)
 
 
-def piece_bytes(model: Model) -> list[bytes]:
-    """UTF-8 text of every id, word marks as blanks."""
-    table = [b""] * len(model.scores)
-    for piece, i in model.pieces.items():
-        table[i] = piece.replace(SPACE, " ").encode()
-    for byte, i in model.byte_ids.items():
-        table[i] = bytes([byte])
-    table[model.unk] = " ⁇ ".encode()
-    return table
+@lru_cache(maxsize=4)
+def _pieces(source: str) -> tuple[list[bytes], bool]:
+    """What decoding needs of a model; it builds no lattice."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+    spec = proto.ModelProto.FromString(open(source, "rb").read())
+    return piece_bytes(spec), spec.normalizer_spec.add_dummy_prefix
+
+
+def piece_bytes(spec) -> list[bytes]:
+    """UTF-8 text of every id of a model, word marks as blanks."""
+    kinds = type(spec).SentencePiece
+
+    def text(p) -> bytes:
+        if p.type == kinds.BYTE:
+            return bytes([int(p.piece[1:-1], 16)])
+        if p.type in (kinds.NORMAL, kinds.USER_DEFINED):
+            return p.piece.replace(SPACE, " ").encode()
+        return " ⁇ ".encode() if p.type == kinds.UNKNOWN else b""
+
+    return [text(p) for p in spec.pieces]
 
 
 def joined(table: list[bytes], ids: list[int], prefix: bool) -> str:
     if ids and min(ids) < 0:
         raise ValueError("negative id")
-    text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if prefix and text.startswith(" ") else text
 
 
+ROUND_TRIP = T.StructType([
+    T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+    T.StructField("decoded_chars", T.LongType()), T.StructField("lossless", T.BooleanType())])
+
+
 def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, n_ids, ids, decoded text's length and whether it is the text."""
-    both = decode(encode(docs.select(quoted("doc_id").alias("doc_id"), quoted("text").alias("text")), model_file), model_file)
-    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids",
-                       F.coalesce(F.length("decoded"), F.lit(0)).cast("long").alias("decoded_chars"),
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    """doc_id, n_ids, ids, the length of the text decoded from the ids, and
+    whether it is the text (it is not where a text holds the word mark
+    itself, which decodes to a blank). Encoding and decoding share one pass;
+    null texts have null ids."""
+    def compute():
+        encoder, (table, prefix) = _encoder(model_file, False), _pieces(model_file)
+
+        def batch(texts: list) -> dict[str, list]:
+            rows = [_encoded(encoder, t) for t in texts]
+            back = [None if r is None else joined(table, np.frombuffer(r, "<i4").tolist(), prefix) for r in rows]
+            return {"n_ids": [len(r or b"") // 4 for r in rows], "ids": id_lists(rows),
+                    "decoded_chars": [len(b or "") for b in back],
+                    "lossless": [b == (None if t is None else t.decode("utf-8", "replace")) for b, t in zip(back, texts)]}
+        return batch
+
+    return add_columns(docs.select(quoted("doc_id").alias("doc_id"), quoted("text").alias("text")), "text", ROUND_TRIP,
+                       compute).drop("text")
