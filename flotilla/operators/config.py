@@ -53,17 +53,23 @@ def overrides_json(overrides: DataFrame) -> DataFrame:
     return overrides.select("deployment_id", "key", value.alias("value"))
 
 
+#: Request columns the forced values are computed from.
+COUNTS = ["nb_workers_instances", "nb_workers_per_instance", "nb_cws_instances", "nb_cws_per_instance"]
+
+
+def _forced_values() -> dict[str, Column]:
+    """C5 values over the request columns :data:`COUNTS`."""
+    addrs, ports = B.listen_arrays()
+    return {
+        "core_services": B.endpoints_json("core"), "other_services": B.endpoints_json("other"),
+        "contest_listen_address": F.to_json(addrs), "contest_listen_port": F.to_json(ports),
+        "num_proxies_used": F.lit(str(FORCED_NUM_PROXIES)), "admin_listen_port": F.lit(str(FORCED_ADMIN_LISTEN_PORT)),
+    }
+
+
 def forced_config(requests: DataFrame) -> DataFrame:
     """C5 values: the six keys the planner always sets, from the request row."""
-    addrs, ports = B.listen_arrays()
-    rows = F.array(
-        F.struct(F.lit("core_services").alias("key"), B.endpoints_json("core").alias("value")),
-        F.struct(F.lit("other_services").alias("key"), B.endpoints_json("other").alias("value")),
-        F.struct(F.lit("contest_listen_address").alias("key"), F.to_json(addrs).alias("value")),
-        F.struct(F.lit("contest_listen_port").alias("key"), F.to_json(ports).alias("value")),
-        F.struct(F.lit("num_proxies_used").alias("key"), F.lit(str(FORCED_NUM_PROXIES)).alias("value")),
-        F.struct(F.lit("admin_listen_port").alias("key"), F.lit(str(FORCED_ADMIN_LISTEN_PORT)).alias("value")),
-    )
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in _forced_values().items()])
     return B.accepted_requests(requests).select("deployment_id", F.inline(rows))
 
 
@@ -367,16 +373,16 @@ def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = Tru
     """C9 in one aggregate: ``(deployment_id, document, error, <URL and
     ranking parts>)`` for every accepted deployment.
 
-    Accepted ids (marker rows), the user's rows of any deployment and the
-    forced rows go into ONE ``groupBy(deployment_id)``: it yields the
+    Accepted requests (a marker row with the four counts each) and the
+    user's rows go into ONE ``groupBy(deployment_id)``: it yields the
     presence bits, the values the URL reads and the document fragments of
-    the given keys. Defaults of absent keys and the URL are appended on the
-    result row, so there is no semi join, no union of long forms and no
-    second regrouping. The collected group is one deployment's document."""
+    the given keys. The forced fragments, computed from the counts, the
+    defaults of absent keys and the URL are appended on the result row, so
+    no generated text is shuffled, and there is no semi join, no union of
+    long forms and no second regrouping. The collected group is one
+    deployment's document."""
     acc = B.accepted_requests(requests)
-    ids = acc.select("deployment_id")
-    user = overrides_json(overrides).where(~F.col("key").isin(FORCED_CONFIG_KEYS))
-    rows = user.unionByName(forced_config(acc))
+    rows = overrides_json(overrides).where(~F.col("key").isin(FORCED_CONFIG_KEYS))
     key, value = F.col("key"), F.col("value")
     kind = _lookup("key", KIND_OF)
     out = _output_value(key, kind, value)
@@ -386,21 +392,25 @@ def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = Tru
     error = F.when((kind == "int") & out.isNull(), F.lit(INVALID_INTEGER))
     marked = rows.select("deployment_id", _lookup("key", KEY_MASK, "bigint").alias("bit"),
                          *[F.when(key == k, value).alias(k) for k in PIVOT_KEYS],
-                         frag.alias("frag"), error.alias("error"), F.lit(0).alias("is_id"))
-    base = ids.select("deployment_id", F.lit(0).cast("bigint").alias("bit"),
+                         frag.alias("frag"), error.alias("error"), F.lit(0).alias("is_id"),
+                         *[F.lit(None).cast("int").alias(c) for c in COUNTS])
+    forced_mask = sum(KEY_MASK[k] for k in FORCED_CONFIG_KEYS)
+    base = acc.select("deployment_id", F.lit(forced_mask).cast("bigint").alias("bit"),
                       *[F.lit(None).cast("string").alias(k) for k in PIVOT_KEYS],
                       F.lit(None).cast("struct<key:string,frag:string>").alias("frag"),
-                      F.lit(None).cast("string").alias("error"), F.lit(1).alias("is_id"))
+                      F.lit(None).cast("string").alias("error"), F.lit(1).alias("is_id"), *COUNTS)
     agg = (base.unionByName(marked).groupBy("deployment_id")
-           .agg(F.bit_or("bit").alias("present"), *[F.max(k).alias(k) for k in PIVOT_KEYS],
+           .agg(F.bit_or("bit").alias("present"), *[F.max(k).alias(k) for k in [*PIVOT_KEYS, *COUNTS]],
                 F.collect_list("frag").alias("items"), F.min("error").alias("row_error"),
                 F.max("is_id").alias("is_id"))
            .where(F.col("is_id") == 1))
-    parts = config_parts(agg, keep=("present", "items", "row_error"))
+    parts = config_parts(agg, keep=("present", "items", "row_error", *COUNTS))
+    forced = F.array(*[F.struct(F.lit(k).alias("key"), F.concat(F.lit(f'"{k}":'), v).alias("frag"))
+                       for k, v in _forced_values().items()])
     url = _database_url_expr(mask)
     db = F.when(url.isNotNull(), F.array(F.struct(F.lit("database").alias("key"),
                                                   F.concat(F.lit('"database":'), json_string(url)).alias("frag"))))
-    items = F.sort_array(F.concat(F.col("items"), F.expr(_DEFAULT_FRAGMENTS),
+    items = F.sort_array(F.concat(F.col("items"), forced, F.expr(_DEFAULT_FRAGMENTS),
                                   F.coalesce(db, F.array().cast("array<struct<key:string,frag:string>>"))))
     missing = F.col("present").bitwiseAND(F.lit(_REQUIRED_MASK)) != F.lit(_REQUIRED_MASK)
     err = F.when(missing, F.lit(MISSING_REQUIRED)).otherwise(F.col("row_error"))

@@ -453,9 +453,8 @@ def q_a2(spark, d):
 def q_a3(spark, d):
     files = C.config_files(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
     path = A.write_config(files, scratch_path(spark, "config"))
-    main = A.read_config(spark, path, "config").withColumn("doc", F.lit("cms.conf"))
-    rank = A.read_config(spark, path, "ranking").withColumn("doc", F.lit("cms.ranking.conf"))
-    return main.unionByName(rank)
+    names = F.when(F.col("doc") == "config", "cms.conf").otherwise("cms.ranking.conf")
+    return A.read_configs(spark, path).withColumn("doc", names)
 
 
 @register("a3_config_failures")
