@@ -266,6 +266,7 @@ LOG_TIME_COLOR = "yellow"
 # time with an optional microsecond part, the status word, the message. (?s):
 # a message may hold any character, carriage returns and Unicode line
 # separators included.
+LOG_HEADER_START = r"(?s)^.*?\[\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{6})?\] \w+: "
 LOG_HEADER_PATTERN = (
     r"(?s)^(.*?)\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{6})?)\] (\w+): (.*)$"
 )

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import LOG_HEADER_PATTERN, LOG_STATUSES, LOG_STYLES, LOG_TIME_COLOR
+from ..constants import LOG_HEADER_START, LOG_STATUSES, LOG_STYLES, LOG_TIME_COLOR
 from ..functions.columns import iso_time
 
 DEFAULT_CHUNK_SPAN = 1 << 16
@@ -69,18 +69,18 @@ def style_log(records: DataFrame) -> DataFrame:
 def parse_text(text: Column) -> dict[str, Column]:
     """E4 on a text column: prompt text glued before the header, time,
     status and message (which may span lines); nulls when the text has no
-    header."""
-    ok = text.rlike(LOG_HEADER_PATTERN)
-
-    def grp(i: int) -> Column:
-        return F.when(ok, F.regexp_extract(text, LOG_HEADER_PATTERN, i))
-
-    return {
-        "prompt": grp(1),
-        "ts": grp(2).try_cast("timestamp_ntz"),
-        "status": grp(3),
-        "message": grp(4),
+    header. The regex runs once (a common subexpression); the parts are cut
+    from what it matched, ``prompt[time] status: ``."""
+    head = F.regexp_extract(text, LOG_HEADER_START, 0)
+    tail = F.substring_index(head, "[", -1)  # the time and the status hold no bracket
+    status = F.substring_index(tail, "] ", -1)
+    parts = {
+        "prompt": F.left(head, F.length(head) - F.length(tail) - 1),
+        "ts": F.substring_index(tail, "]", 1).try_cast("timestamp_ntz"),
+        "status": F.left(status, F.length(status) - 2),
+        "message": F.substr(text, F.length(head) + 1),
     }
+    return {k: F.when(head != "", v) for k, v in parts.items()}
 
 
 def parse_log(df: DataFrame, text_col: str = "line", keep=("deployment_id", "seq")) -> DataFrame:
@@ -92,7 +92,7 @@ def parse_log(df: DataFrame, text_col: str = "line", keep=("deployment_id", "seq
 # -- E3 -----------------------------------------------------------------------------------
 
 def is_header(line: Column) -> Column:
-    return F.coalesce(line.rlike(LOG_HEADER_PATTERN), F.lit(False))
+    return F.coalesce(line.rlike(LOG_HEADER_START), F.lit(False))
 
 
 def number_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) -> DataFrame:

@@ -111,3 +111,21 @@ def test_assemble_random_layouts(spark, deployments, chunk_span):
     lines = spark.createDataFrame(rows_, LOG_LINES)
     got = sorted(rows(E.assemble_records(lines, chunk_span=chunk_span), "deployment_id", "rec", "text"))
     assert got == brute_assemble(rows_)
+
+
+def test_parse_equals_the_whole_pattern(spark):
+    """The parts cut from the header are the groups of the whole pattern."""
+    from pyspark.sql import functions as F
+    head = "[2024-01-02T03:04:05.000006] info: "
+    texts = [head + "x", "ask? [Y/n]" + head + "a [2] b] c", "[not one] " + head, head, head + "a\rb c\nd", "none", "", None,
+             "[2024-01-02T03:04:05] warning: [2024-01-02T03:04:05] info: y", "p\n" + head + "[", "[[" + head + "]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, line string")
+    got = {r[0]: tuple(r)[1:] for r in E.parse_log(df, keep=("i",)).withColumn("ts", F.col("ts").cast("string")).collect()}
+    for i, t in enumerate(texts):
+        m = re.compile(LOG_HEADER_PATTERN).match(t or "")
+        if m is None:
+            assert got[i] == (None,) * 4
+        else:
+            prompt, ts, status, message = got[i]
+            assert (prompt, status, message) == (m[1], m[3], m[4])
+            assert ts.replace(" ", "T") == m[2]
