@@ -84,7 +84,7 @@ RESOURCE_COMMAND = "cmsResourceService"
 SHELL_COMMAND = "/bin/bash"
 
 # ---------------------------------------------------------------------------
-# Configuration generation.
+# FIXED VALUES — configuration generation.
 # ---------------------------------------------------------------------------
 
 # Required keys, in the order they are checked.
@@ -165,7 +165,7 @@ MASKED_KEYS = ["db_passwd", "rankings_passwd", "secret_key"]
 MASK = "********"
 
 # ---------------------------------------------------------------------------
-# Saved state and teardown.
+# FIXED VALUES — saved state and teardown.
 # ---------------------------------------------------------------------------
 
 # The 27 keys of the saved state record, numbered 1..27, with their type.
@@ -249,7 +249,7 @@ NON_RESOURCE_KEYS = [
 ]
 
 # ---------------------------------------------------------------------------
-# Logs.
+# FIXED VALUES — logs.
 # ---------------------------------------------------------------------------
 
 LOG_STATUSES = ["info", "success", "warning", "danger", "critical"]

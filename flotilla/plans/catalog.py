@@ -111,6 +111,31 @@ def q_b13(spark, d):
     return B.service_document_rows(B.service_document(_acc(spark, d)))
 
 
+def _digest(rows: DataFrame, *cols: str) -> DataFrame:
+    """One row a deployment: how many rows it has and the MD5 of all of them
+    in order, for results too large to be compared row by row."""
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+    agg = rows.groupBy("deployment_id").agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    return agg.select("deployment_id", F.size("ls").cast("long").alias("n"), F.md5(F.array_join("ls", ";")).alias("digest"))
+
+
+@register("b12_endpoints_digest")
+def q_b12_digest(spark, d):
+    return _digest(B.service_endpoints(_acc(spark, d)), "section", "service", "pos", "ip", "port")
+
+
+@register("b13_document_digest")
+def q_b13_digest(spark, d):
+    rows = B.service_document_rows(B.service_document(_acc(spark, d)))
+    return _digest(rows, "section", "service", "pos", "ip", "port")
+
+
+@register("c9_entries_digest")
+def q_c9_digest(spark, d):
+    rows = C.config_entries(fx.deployment_requests(spark, d), fx.config_overrides(spark, d))
+    return _digest(rows, "key", "value", "error")
+
+
 @register("b14_listen_lists")
 def q_b14(spark, d):
     return B.listen_rows(_acc(spark, d))
