@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from .common import add_columns, quoted, without
 
 #: Bounds of the fit: labelled rows and characters of sample text a language, and languages.
-SAMPLE_ROWS = 400
+#: What the driver gathers is at most a thousand characters a row.
+SAMPLE_ROWS = 200
 SAMPLE_CHARS = 40_000
 MAX_LANGUAGES = 200
 #: Symbols parsed one after the other; a text is parsed in stretches of so many.
@@ -196,7 +197,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     Counts the rows of each language, then takes at most ``rows`` of them by
     the order of a hash of the text, so the sample does not depend on files or
     partitions; of these up to ``chars`` characters altogether, and from one
-    text an eighth of that at most.
+    text a fortieth of that at most.
     """
     thin = labelled.select(quoted("text").cast("string").alias("text"), quoted("lang").cast("string").alias("lang"))
     thin = thin.filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text", F.lit(7)))
@@ -208,7 +209,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     scale = 1 << 40
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(scale, 4 * rows * scale // n))])
     few = thin.filter(F.pmod("h", F.lit(scale)) < rate[F.col("lang")]).select(
-        "lang", "h", F.substring("text", 1, chars // 8).alias("text"))
+        "lang", "h", F.substring("text", 1, chars // 40).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     taken = few.withColumn("r", rank).filter(F.col("r") <= rows).select("lang", "r", "text").collect()
     samples: dict[str, list[str]] = {lang: [] for lang in counts}
