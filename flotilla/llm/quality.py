@@ -31,7 +31,8 @@ BOILERPLATE = (
     b"all rights reserved", b"subscribe to our newsletter", b"click here", b"sign in", b"log in", b"skip to content",
     b"add to cart", b"page not found",
 )
-NAVIGATION = re.compile(rb"[|\xbb]|^\s*(home|menu|next|previous|back|share|search)\b", re.I)
+NAVIGATION = re.compile(rb"\s*(home|menu|next|previous|back|share|search)\b", re.I)
+ARROW = "»".encode()
 TERMINAL = (b".", b"!", b"?", b":", b";", b"\"", b"'", b")", b"\xe2\x80\x9d", b"\xe2\x80\xa6")
 
 
@@ -45,9 +46,12 @@ def line_fails(line: bytes) -> str:
     lower = line.lower()
     if n < 25 and any(p in lower for p in BOILERPLATE):
         return "boilerplate"
-    if symbols and symbols >= n * 0.5:
+    if symbols >= max(3, n * 0.5):
         return "symbols"
-    if NAVIGATION.search(line) and (lower.count(b"|") * 3 >= n or not line.rstrip().endswith(TERMINAL) and n < 10):
+    ended = line.rstrip().endswith(TERMINAL)
+    if b"|" in line and line.count(b"|") * 3 >= n or not ended and n < 10 and (b"|" in line or ARROW in line):
+        return "navigation"
+    if not ended and n < 5 and NAVIGATION.match(line):
         return "navigation"
     if n >= 5 and not any(c.isalpha() for c in line.decode("utf-8", "replace")):
         return "no letters"

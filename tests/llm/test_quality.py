@@ -40,7 +40,9 @@ GOOD = "The river was high that spring, and nobody crossed it before May."
 
 @pytest.mark.parametrize("line,rule", [
     (GOOD, ""), ("", ""), ("A heading", ""), ("Was that so? Yes!", ""), ("It cost $5, or 10% of it.", ""),
-    ("Home | News | Sport | Contact |", "symbols"), ("the### of$$$ and%%% so&&& on***", "symbols"), ("Next page", "navigation"),
+    ("Home | News | Sport | Contact |", "symbols"), ("the### of$$$ and%%% so&&& on***", "symbols"), ("Next page", "navigation"), ("# Title", ""), ("C# rules", ""),
+    ("Next steps of the whole study", ""), ("Sûr du mûr", ""), ("News » Sport » Local", "navigation"), ("Back to the top", "navigation"),
+    ("or a | b", "navigation"), ("He chose either the left | or the right one in the end.", ""),
     ("BUY!! NOW!! IT!! IS!! CHEAP!!", "shouting"), ("spam " * 30, "repeated word"), ("All rights reserved.", "boilerplate"),
     ("1 2 3 4 5 6 7", "no letters"), (" ".join(f"w{k}" for k in range(50)), "no punctuation")])
 def test_lines(line, rule):
