@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .licenses import BLOCK, PHRASES, STEP, TEMPLATES, token_set
 from .line_dedup import MIN_WORDS
+from .quality import BOILERPLATE, MAX_LOST, MAX_REPEATED
+from .quality import MIN_WORDS as LEAST_WORDS
 
 WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -91,4 +93,57 @@ select d.doc_id, len(d.ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_i
        sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
 from d left join words using (doc_id) left join named using (doc_id)"""
 
-ORACLE_SQL = {"op1_line_dedup": OP1, "op5_license_scan": _op5(), "op10_decontamination": OP10}
+OP7 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, t, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
+sized as (
+  select *, 20 + length(role) + length(text) + len(regexp_extract_all(role, '[<\[]\\*(/?s>|/?INST\])'))
+            + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\])')) as chars from turns)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(chars) as bigint) as formatted_chars, false as rewrites
+from sized group by conv_id"""
+
+OP8 = rf"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+grams as (select doc_id, k, array_to_string(ws[k:k + 4], ' ') as g from d, unnest(range(1, len(ws) - 3)) t(k)),
+twice as (select doc_id, k from grams qualify count(*) over (partition by doc_id, g) > 1),
+covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(k, k + 5)) as p from twice) group by doc_id),
+lines as (
+  select doc_id, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') as ws, len(ws) as n, length(l) - length(replace(l, '|', '')) as pipes,
+         len(regexp_extract_all(l, '[#*$%&|<>]')) as symbols, length(l) - length(replace(l, '!', '')) as cries,
+         translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+         regexp_matches(l, '[.!?:;"'')”…][\x20\x09-\x0D]*$') as ended
+  from (select doc_id, unnest(string_split(text, chr(10))) as l from d)),
+judged as (
+  select doc_id, l, n, n > 0 and (
+    n < 25 and regexp_matches(low, {_sql('|'.join(p.decode() for p in BOILERPLATE))})
+    or symbols >= greatest(3, n * 0.5)
+    or pipes > 0 and pipes * 3 >= n
+    or not ended and n < 10 and (pipes > 0 or contains(l, '»'))
+    or not ended and n < 5 and regexp_matches(low, '^[\x20\x09-\x0D]*(home|menu|next|previous|back|share|search)\b')
+    or n >= 5 and not regexp_matches(l, '\p{{L}}')
+    or n >= 8 and list_max(map_values(list_aggregate(ws, 'histogram'))) * 2 > n
+    or n >= 8 and len(list_filter(ws, lambda w: strlen(w) > 1 and regexp_matches(w, '[A-Z]') and not regexp_matches(w, '[a-z]'))) * 2 > n
+    or n >= 4 and cries * 2 > n
+    or n >= 40 and not regexp_matches(l, '[.!?;:]')) as bad
+  from lines),
+by_doc as (
+  select doc_id, count(*) filter (n > 0) - count(distinct l) filter (n > 0) as dup, coalesce(sum(n) filter (bad), 0) as gone
+  from judged group by doc_id),
+counted as (
+  select d.doc_id, len(ws) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, dup as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+         len(ws) < {LEAST_WORDS} or 100 * coalesce(c.n, 0) > {MAX_REPEATED} * len(ws) as base_failed,
+         case when len(ws) = 0 then 0.0 else cast(gone as double) / len(ws) end::double as lost
+  from d join by_doc using (doc_id) left join covered c using (doc_id))
+select *, not base_failed and lost <= {MAX_LOST} as kept from counted"""
+
+ORACLE_SQL = {
+    "op1_line_dedup": OP1, "op5_license_scan": _op5(), "op7_chat_formatting": OP7, "op8_quality_rules": OP8,
+    "op10_decontamination": OP10,
+}

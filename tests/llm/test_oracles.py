@@ -21,12 +21,13 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(ORACLE_SQL[name])
     names = [c[0] for c in cur.description]
-    want = {r[names.index("doc_id")]: dict(zip(names, r)) for r in cur.fetchall()}
-    got = {r.doc_id: r.asDict() for r in QUERIES[name](spark, SF).collect()}
+    key = names[0]
+    want = {r[0]: dict(zip(names, r)) for r in cur.fetchall()}
+    got = {r[key]: r.asDict() for r in QUERIES[name](spark, SF).collect()}
     assert set(got) == set(want)
     for d in want:
         assert got[d] == want[d]
