@@ -5,7 +5,8 @@ labelled text. A text is parsed against it greedily: each phrase is the
 longest match that occurs in the sample. Few, long phrases mean that the
 text resembles the sample: phrases times the logarithm of the sample's
 length, over the text's length, estimates the cross-entropy, and the
-language with the least wins.
+language with the least wins. A phrase costs no less than the logarithm of
+the alphabet's size, or a sample of a few letters would win by being short.
 
 Texts are reduced to lower-case letters and single blanks. The automaton is a
 dense table whose missing transitions end the phrase and start the next one,
@@ -130,13 +131,15 @@ def phrases(table: np.ndarray, size: int, stretches: np.ndarray, lengths: np.nda
 
 class Classifier:
     def __init__(self, samples: dict[str, str]):
-        self.names = sorted(samples)
+        # A language without a letter in its sample can't be parsed against.
+        self.names = sorted(name for name in samples if normalise(samples[name]))
         self.alphabet = Alphabet(samples.values())
         self.tables, self.weights = [], []
         for name in self.names:
             symbols = self.alphabet.encode(samples[name])[:SAMPLE_CHARS]
             self.tables.append(automaton(symbols, self.alphabet.size))
-            self.weights.append(np.log2(max(2, len(symbols))))
+            # A phrase costs a place in the sample, or a symbol where the sample is shorter than the alphabet.
+            self.weights.append(np.log2(max(len(symbols), self.alphabet.size)))
 
     def costs(self, texts: list[str | None]) -> np.ndarray:
         """Cross-entropy estimate of each text (row) in each language; a row of
@@ -192,31 +195,38 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Sample text of each language of ``labelled`` (text, lang).
-
-    Counts the rows of each language, then takes at most ``rows`` of them by
-    the order of a hash of the text, so the sample does not depend on files or
-    partitions; of these up to ``chars`` characters altogether, and from one
-    text a fortieth of that at most.
+    """Sample text of each language of ``labelled`` (text, lang) that has a
+    text with letters.
+
+    Copies count once: texts with letters are reduced to distinct ones, which
+    are counted, and at most ``rows`` of each language are taken by the order
+    of a hash of the text, so the sample does not depend on files, partitions
+    or copies. Of these up to ``chars`` characters altogether go into the
+    sample; of one text a fortieth of that at most, from its first letter on.
     """
     thin = labelled.select(quoted("text").cast("string").alias("text"), quoted("lang").cast("string").alias("lang"))
-    thin = thin.filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text", F.lit(7)))
-    counts = {r.lang: r.n for r in thin.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    thin = thin.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    thin = thin.withColumn("h", F.xxhash64("text", F.lit(7)))
+    distinct = thin.select("lang", "h").distinct()
+    counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError("too many languages")
     if not counts:
         return {}
+    # About 4 * rows distinct texts of a language pass, so that the ranking's one task a language stays small.
     scale = 1 << 40
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(scale, 4 * rows * scale // n))])
-    few = thin.filter(F.pmod("h", F.lit(scale)) < rate[F.col("lang")]).select(
-        "lang", "h", F.substring("text", 1, chars // 40).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    lettered = F.regexp_replace("text", r"^\P{L}+", "")
+    few = thin.filter(F.pmod("h", F.lit(scale)) < rate[F.col("lang")]).groupBy("lang", "h").agg(
+        F.min(F.substring(lettered, 1, chars // 40)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     taken = few.withColumn("r", rank).filter(F.col("r") <= rows).select("lang", "r", "text").collect()
     samples: dict[str, list[str]] = {lang: [] for lang in counts}
     for lang, _, text in sorted(taken):
         if sum(map(len, samples[lang])) < chars:
             samples[lang].append(normalise(text))
-    return {lang: " ".join(t)[:chars] for lang, t in samples.items()}
+    joined = {lang: " ".join(t)[:chars] for lang, t in samples.items()}
+    return {lang: t for lang, t in joined.items() if t.strip()}
 
 
 def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:

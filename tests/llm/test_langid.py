@@ -81,3 +81,21 @@ def test_sample_does_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert L.fit(docs) == L.fit(docs.repartition(5, "source"))
     assert all(len(t) <= L.SAMPLE_CHARS for t in L.fit(docs).values())
+
+
+def test_copies_do_not_empty_a_sample(spark):
+    """One text copied 5,000 times, and texts without letters: whichever the text, a sample is found."""
+    texts = [f"kopie {chr(97 + k)} van een tekst" for k in range(6)]
+    rows = [("nl", texts[0])] * 5000 + [(f"x{k}", t) for k, t in enumerate(texts) for _ in range(2000)]
+    rows += [("num", f"{k} !") for k in range(3)] + [("mix", f"{k} !") for k in range(2000)] + [("mix", "1" * 1500 + " woord")]
+    got = L.fit(frame(spark, rows, "lang string, text string"))
+    assert got == {"nl": texts[0], "mix": "woord"} | {f"x{k}": t for k, t in enumerate(texts)}
+
+
+def test_short_and_empty_samples_do_not_win():
+    rnd = rng(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 8))) for _ in range(150)]
+    said = [" ".join(rnd.choice(words) for _ in range(2000)) for _ in range(2)]
+    for short in ("", "12 !", "q", "ab"):
+        assert L.Classifier({"long": said[0], "short": short}).predict([said[1][:400]])[0] == ["long"]
+    assert L.Classifier({"none": ""}).predict(["abc"]) == (["und"], [0.0])
