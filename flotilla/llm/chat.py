@@ -5,9 +5,12 @@ where each turn went, the template is called on successive prefixes of the
 turns: if one output continues the output before it, the new turn's span is
 what was added; if not, the template rewrites history, which is flagged.
 
-Long conversations are rendered in blocks of ``BLOCK`` turn numbers, each of
-them a rendering of its own, so a conversation with very many turns is spread
-over tasks and costs no quadratic time.
+What a template does with a turn may depend on all turns before it, so a
+conversation is rendered as a whole, whatever its length: one task holds it
+and its prefixes cost quadratic time. Only templates declared
+:func:`concatenative` are rendered in blocks of ``BLOCK`` turn numbers, whose
+outputs one after the other are the rendering of the whole; so a conversation
+with very many turns is spread over tasks and costs no quadratic time.
 """
 
 from __future__ import annotations
@@ -45,6 +48,14 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+def concatenative(template: Template) -> Template:
+    """Declare that ``template(a + b) == template(a) + template(b)`` for all
+    turns a and b."""
+    template.concatenative = True
+    return template
+
+
+@concatenative
 def instruct(turns: Turns) -> str:
     """The production template: every turn between control strings."""
     return "".join([f"<s>[INST]{escape(role)}[/INST]{escape(text)}</s>" for role, text in turns])
@@ -92,19 +103,23 @@ _SCHEMA = pa.schema([
 
 def format_conversations(rows: DataFrame, template: Template = instruct, loss_role: str = LOSS_ROLE,
                          block: int = BLOCK) -> DataFrame:
-    """Rendered conversations, a row for each block (columns of FORMATTED).
+    """Rendered conversations (columns of FORMATTED): a row for each block if
+    the template is declared :func:`concatenative`, else a row for each
+    conversation (block and part 0).
 
     ``rows`` has conv_id, turn, role and text; turns are ordered by turn
     (null first), then role and text, and repeated rows are turns of their
     own. Null roles and texts are empty. Rows with a null conv_id form one
     conversation. A block whose turn numbers repeat is cut into parts of
-    ``block`` turns. An empty table gives no rows; other columns are not read.
+    ``block`` turns. Spans count from the start of their row's output. An empty table gives no rows; other columns are not read.
     """
     thin = rows.select(
         quoted("conv_id").cast("long").alias("conv_id"), quoted("turn").cast("long").alias("turn"),
         F.coalesce(quoted("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(quoted("text").cast("string"), F.lit("")).alias("text"))
-    thin = thin.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long"))
+    whole = not getattr(template, "concatenative", False)
+    number = F.lit(0) if whole else F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62)))
+    thin = thin.withColumn("block", number.cast("long"))
     dealt = (thin.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
              .select("conv_id", "block", "role", "text"))
 
@@ -118,7 +133,7 @@ def format_conversations(rows: DataFrame, template: Template = instruct, loss_ro
 
         for batch in batches:
             for conv, number, role, text in zip(*[c.to_pylist() for c in batch.columns]):
-                if turns and ((conv, number) != now or len(turns) >= block):
+                if turns and ((conv, number) != now or not whole and len(turns) >= block):
                     out.append(done())
                     part, turns = (part + 1 if (conv, number) == now else 0), []
                 now = (conv, number)

@@ -87,3 +87,23 @@ def test_edge_cases(spark):
                    3: digest([("assistant", "r")] * 70, 64)}
     assert sorted(r.n_turns for r in formatted.filter("conv_id = 3").collect()) == [6, 64]
     assert chat.read_back(chat.format_conversations(df.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("step", [1, 1000])
+def test_black_boxes_see_the_whole_conversation(spark, step):
+    """Past 64 turns and with sparse turn numbers: one start, spans of the whole, rewrites across any edge."""
+    def started(turns):
+        return "<start>" + "".join(f"<{r}>{t}" for r, t in turns)
+
+    def forgets(turns):  # what was said 70 turns ago is shortened
+        return "".join(f"<{r}>{t if k > len(turns) - 70 else t[:1]}" for k, (r, t) in enumerate(turns))
+
+    turns = [("assistant" if k % 2 else "user", f"said {k}") for k in range(150)]
+    df = frame(spark, [(c, k * step, r, t) for c in (1, None) for k, (r, t) in enumerate(turns)], SCHEMA)
+    for template in (started, forgets):
+        text, spans, rewrites = chat.render(turns, template)
+        got = chat.format_conversations(df, template).collect()
+        assert sorted(r.conv_id or 0 for r in got) == [0, 1] and rewrites == (template is forgets)
+        for r in got:
+            assert (r.n_turns, r.formatted, r.rewrites) == (150, text, rewrites)
+            assert [(x.start, x.stop) for x in r.spans] == spans
