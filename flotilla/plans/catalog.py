@@ -453,6 +453,24 @@ def q_a2_after(spark, d):
     return A.state_to_json(left, st.select("deployment_id"))
 
 
+def _after_teardown(spark, d, outcomes):
+    st = fx.state_entries(spark, d)
+    return A.state_to_json(D.residual_state(st, outcomes), st.select("deployment_id").distinct())
+
+
+@register("a2_state_after_teardown_all")
+def q_a2_after_all(spark, d):
+    """The records of all deployments, saved after teardown: partly emptied
+    where steps failed."""
+    return _after_teardown(spark, d, fx.teardown_outcomes(spark, d))
+
+
+@register("a2_state_emptied")
+def q_a2_emptied(spark, d):
+    """The same where every step succeeds: emptied records are saved as such."""
+    return _after_teardown(spark, d, fx.teardown_outcomes(spark, d).withColumn("ok", F.lit(True)))
+
+
 @register("a1_latest_snapshot")
 def q_a1_latest(spark, d):
     """A full snapshot, then one of every other deployment after teardown."""

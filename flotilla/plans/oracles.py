@@ -847,6 +847,32 @@ select distinct deployment_id,
                else '"keypair_name":' || to_json('keypair_name-' || deployment_id)::varchar end || '}}' as json
 from st where deployment_id % 50 = 0""")
 
+_add("a2_state_after_teardown_all", """
+with k(key, ord, is_list) as (select * from (values
+  ('main_instance_ip', 0, false), ('workers_instance_ips', 1, true), ('cws1_instance_ips', 2, true),
+  ('cws2_instance_ips', 3, true), ('vpc_id', 4, false), ('gateway_id', 5, false), ('main_subnet_id', 6, false),
+  ('main_route_table_id', 7, false), ('main_route_table_association_id', 8, false),
+  ('cws1_subnet_id', 9, false), ('cws1_route_table_id', 10, false),
+  ('cws1_route_table_association_id', 11, false), ('cws2_subnet_id', 12, false),
+  ('cws2_route_table_id', 13, false), ('cws2_route_table_association_id', 14, false),
+  ('security_group_id', 15, false), ('keypair_name', 16, false), ('main_instance_id', 17, false),
+  ('worker_instances_ids', 18, true), ('cws1_instances_ids', 19, true), ('cws2_instances_ids', 20, true),
+  ('instances_ips', 21, true), ('lb_security_group_id', 22, false), ('load_balancer_arn', 23, false),
+  ('load_balancer_dnsname', 24, false), ('target_group_arn', 25, false), ('listener_arn', 26, false))),
+ids as (select distinct deployment_id from state_entries)
+select ids.deployment_id,
+       '{"deployment_id":' || ids.deployment_id || ',"state":{'
+       || coalesce(string_agg(to_json(e.state_key)::varchar || ':'
+                              || case when coalesce(k.is_list, false) and starts_with(e.state_value, '[')
+                                      then e.state_value else coalesce(to_json(e.state_value)::varchar, 'null') end,
+                              ',' order by coalesce(k.ord, 27), e.state_key) filter (where e.state_key is not null), '')
+       || '}}' as json
+from ids left join residual e on e.deployment_id = ids.deployment_id left join k on k.key = e.state_key
+group by ids.deployment_id""")
+
+VARIANTS["a2_state_emptied"] = ("a2_state_after_teardown_all", {
+    "teardown_outcomes": FIXTURE_CTES["teardown_outcomes"].replace("(o_custkey + step) % 4 <> 0 as ok", "true as ok")})
+
 _add("a3_config_failures", """
 select deployment_id, min(error) as error from entries group by deployment_id having count(error) > 0""")
 

@@ -147,3 +147,14 @@ def test_top_leaks_is_sorted(spark):
     top = rows(D.top_leaks(lk, 5), "leaked", "deployment_id")
     assert top == sorted(top, key=lambda x: (-x[0], x[1]))
     assert top[0][0] == lk.agg(F.max("leaked")).first()[0]
+
+
+def test_records_after_teardown_cover_every_deployment(spark):
+    from conftest import SF_SMALL
+    from flotilla.plans.catalog import QUERIES
+    from flotilla.sources import fixtures as fx
+    ids = {r[0] for r in fx.state_entries(spark, SF_SMALL).select("deployment_id").distinct().collect()}
+    left = {r.deployment_id: r.json for r in QUERIES["a2_state_after_teardown_all"](spark, SF_SMALL).collect()}
+    gone = {r.deployment_id: r.json for r in QUERIES["a2_state_emptied"](spark, SF_SMALL).collect()}
+    assert left.keys() == gone.keys() == ids
+    assert any('"vpc_id"' in j for j in left.values()) and any(j.endswith('"state":{}}') for j in gone.values())
