@@ -18,6 +18,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import dedup_passages
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_passages(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
     return near_duplicates(spark, read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -69,5 +75,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_simhash_near_dedup, op3_token_packing, op4_sentencepiece, op5_license_scan, op6_sharding,
+    op1_line_dedup, op1_passage_dedup, op2_simhash_near_dedup, op3_token_packing, op4_sentencepiece, op5_license_scan, op6_sharding,
     op7_chat_formatting, op8_quality_rules, op9_language_id, op10_decontamination)}
