@@ -1,7 +1,9 @@
 """License scan by an exact set-similarity join.
 
 A text block is a window of ``BLOCK`` words, one every ``STEP`` words, so any
-run of STEP words lies whole in some block. Blocks and license templates are
+run of STEP words lies whole in some block. Templates of more words have
+blocks of their own: twice their words, one every so many words, so that a
+notice as long as its template lies whole in some block. Blocks and license templates are
 sets of tokens. A block matches a template if it contains at least the
 template's threshold of its tokens. All such pairs are found:
 
@@ -72,12 +74,13 @@ class Template(NamedTuple):
     label: str
     tokens: tuple[bytes, ...]  # rarest first
     need: int
+    block: int = BLOCK  # words of the blocks it is compared with
 
 
 class Index(NamedTuple):
     templates: list[Template]
     sets: list[frozenset]
-    postings: dict[bytes, list[tuple[int, int]]]  # prefix token -> (template, place)
+    postings: dict[int, dict[bytes, list[tuple[int, int]]]]  # words of a block -> prefix token -> (template, place)
 
 
 def token_set(text: str) -> set[bytes]:
@@ -107,17 +110,18 @@ def build_index(templates, counts: dict[bytes, int]) -> Index:
     for label, threshold, text in templates:
         tokens = tuple(sorted(token_set(text), key=lambda t: (counts.get(t, 0), t)))
         need = max(1, ceil(threshold * len(tokens) - 1e-9))
-        out.append(Template(label, tokens, need))
+        words = len(ALNUM.findall(text.encode().lower()))
+        out.append(Template(label, tokens, need, BLOCK if words <= BLOCK - STEP + 1 else 2 * words))
         for place, token in enumerate(tokens[:len(tokens) - need + 1]):
-            postings.setdefault(token, []).append((len(out) - 1, place))
+            postings.setdefault(out[-1].block, {}).setdefault(token, []).append((len(out) - 1, place))
     return Index(out, [frozenset(t.tokens) for t in out], postings)
 
 
-def matches(block: set[bytes], index: Index) -> Iterator[tuple[int, float]]:
-    """(template, containment) of all templates that the block contains."""
-    seen = set()
-    for token in index.postings.keys() & block:
-        for t, place in index.postings[token]:
+def matches(block: set[bytes], index: Index, size: int = BLOCK) -> Iterator[tuple[int, float]]:
+    """(template, containment) of all templates with blocks of ``size`` words that the block contains."""
+    seen, postings = set(), index.postings.get(size, {})
+    for token in postings.keys() & block:
+        for t, place in postings[token]:
             template = index.templates[t]
             if t in seen or len(block) < template.need or len(template.tokens) - place < template.need:
                 continue
@@ -127,16 +131,20 @@ def matches(block: set[bytes], index: Index) -> Iterator[tuple[int, float]]:
                 yield t, shared / len(template.tokens)
 
 
+def step_of(size: int) -> int:
+    return STEP if size == BLOCK else size // 2
+
+
 def scan_text(text: bytes | None, index: Index, phrases) -> dict:
-    n, bases, found, carry, start = 0, [], {}, [], 0
+    n, bases, found = 0, [], {}
+    held_back = {size: (0, []) for size in index.postings}  # first word and words not yet in a full block
     widest = max((len(words) for _, words in phrases), default=1) - 1
     tail: list[bytes] = []
-    rare = index.postings.keys()
 
-    def block(at: int, words: list[bytes]) -> None:
-        if rare.isdisjoint(words):
+    def block(size: int, at: int, words: list[bytes]) -> None:
+        if index.postings[size].keys().isdisjoint(words):
             return
-        for t, part in matches(set(words), index):
+        for t, part in matches(set(words), index, size):
             label = index.templates[t].label
             found[label, at, at + len(words)] = max(part, found.get((label, at, at + len(words)), 0.0))
 
@@ -150,17 +158,22 @@ def scan_text(text: bytes | None, index: Index, phrases) -> dict:
                         bases.append((n - len(tail) + k, label))
         tail = held[len(held) - widest:] if 0 < widest < len(held) else held if widest else []
         n += len(words)
-        carry += words
-        if len(carry) > BLOCK and rare.isdisjoint(here) and rare.isdisjoint(carry):
-            skip = (len(carry) - BLOCK + STEP) // STEP * STEP  # blocks without a prefix token
-            start, carry = start + skip, carry[skip:]
-        at = 0
-        while len(carry) - at >= BLOCK:
-            block(start + at, carry[at:at + BLOCK])
-            at += STEP
-        start, carry = start + at, carry[at:]
-    if carry and (len(carry) > BLOCK - STEP or start == 0):
-        block(start, carry)
+        for size, (start, carry) in held_back.items():
+            step = step_of(size)
+            rare = index.postings[size].keys()
+            carry = carry + words
+            if len(carry) > size and rare.isdisjoint(here) and rare.isdisjoint(carry):
+                skip = (len(carry) - size + step) // step * step  # blocks without a prefix token
+                start, carry = start + skip, carry[skip:]
+            at = 0
+            while len(carry) - at >= size:
+                block(size, start + at, carry[at:at + size])
+                at += step
+            held_back[size] = start + at, carry[at:]
+    for size, (start, carry) in held_back.items():
+        step = step_of(size)
+        if carry and (len(carry) > size - step or start == 0):
+            block(size, start, carry)
     labels = {label for _, label in bases}
     return {"n_words": n, "n_base": len(bases), "first_word": min(bases)[0] if bases else None,
             "last_word": max(bases)[0] if bases else None, "base_labels": ",".join(sorted(labels)),

@@ -94,3 +94,15 @@ def test_edge_cases(spark):
     assert [r.score for r in L.scan_licenses(df, templates=(), phrases=()).collect()] == [0.0] * 3
     with pytest.raises(ValueError):
         L.scan_licenses(df, templates=L.TEMPLATES * 100)
+
+
+def test_long_templates_are_found_at_any_offset(spark):
+    """Full license texts: over 33 words, and over 64 distinct ones."""
+    for size in (40, 64, 65, 300):
+        template = " ".join(f"law{k}" for k in range(size))
+        texts = [" ".join(["some"] * at + [template] + ["more"] * 70) for at in (0, 1, 20, 31, 33, 50, 63, 64, 250)] + ["law1 law2"]
+        got = L.scan_licenses(docs(spark, texts), templates=[("long", 1.0, template), *L.TEMPLATES]).orderBy("doc_id").collect()
+        assert [(r.labels, r.score) for r in got] == [("long", 1.0)] * 9 + [("", 0.0)]
+        for r in got[:9]:
+            at = texts[r.doc_id].split().index("law0")
+            assert all(b.start <= at and b.stop >= at + size for b in r.blocks)
