@@ -9,14 +9,16 @@ language with the least wins. A phrase costs no less than the logarithm of
 the alphabet's size, or a sample of a few letters would win by being short.
 
 Texts are reduced to lower-case letters and single blanks. The automaton is a
-dense table whose missing transitions end the phrase and start the next one,
-so many texts are parsed in lockstep, one symbol a step. Long texts are cut
+table, dense for the commonest letters and sorted pairs of state and symbol
+for the others; a missing transition ends the phrase and starts the next one.
+So many texts are parsed in lockstep, one symbol a step. Long texts are cut
 into stretches that are parsed side by side.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -32,6 +34,8 @@ SAMPLE_CHARS = 40_000
 MAX_LANGUAGES = 200
 #: Symbols parsed one after the other; a text is parsed in stretches of so many.
 STRETCH = 512
+#: Symbols with a column of their own in the automaton's table.
+DENSE = 200
 UNKNOWN = "und"
 
 
@@ -41,28 +45,25 @@ def normalise(text: str) -> str:
 
 
 class Alphabet:
-    """The letters of the samples as small numbers; 0: any other letter, 1: a
-    blank (whatever is no letter)."""
+    """All letters of the samples as numbers, the commonest first; 0: any other
+    letter, 1: a blank (whatever is no letter)."""
 
     def __init__(self, texts):
         seen = Counter(c for t in texts for c in normalise(t) if c != " ")
-        self.letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:200]]
+        self.letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
         self.size = len(self.letters) + 2
-        self.low = np.ones(0x3000, np.uint8)
         number = {c: k + 2 for k, c in enumerate(self.letters)}
-        for code in range(len(self.low)):
-            folded = chr(code).lower()
-            if chr(code).isalpha():
-                self.low[code] = number.get(folded[:1], 0)
-        self.number = number
+        # One entry a code point; a letter is numbered by the first letter of its lower case.
+        self.number = np.ones(0x110000, np.min_scalar_type(self.size))
+        for code in range(0x110000):
+            c = chr(code)
+            if c.isalpha():
+                self.number[code] = number.get(c.lower()[:1], 0)
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of the normalised text."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        out = self.low[np.minimum(codes, len(self.low) - 1)]
-        for k in np.flatnonzero(codes >= len(self.low)):
-            c = chr(codes[k])
-            out[k] = self.number.get(c.lower()[:1], 0) if c.isalpha() else 1
+        out = self.number[codes]
         blank = out == 1
         keep = ~blank
         keep[1:] |= blank[1:] & ~blank[:-1]
@@ -72,13 +73,34 @@ class Alphabet:
         return out[lo:hi]
 
 
-def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Suffix automaton as a dense table [state * size + symbol].
+class Table(NamedTuple):
+    """An automaton's transitions. An entry is twice the next state, plus one
+    if the phrase ended before the symbol (no such transition: the next phrase
+    starts with the symbol, at the root's transition or, for a symbol the
+    sample lacks, alone)."""
+    wide: int  # symbols with a column
+    dense: np.ndarray  # [state * wide + symbol]
+    root: np.ndarray  # entry of each symbol that ends a phrase
+    keys: np.ndarray  # sorted state * size + symbol of the other symbols' transitions
+    entries: np.ndarray
+
+    def step(self, state: np.ndarray, symbols: np.ndarray, size: int) -> np.ndarray:
+        common = symbols < self.wide
+        if common.all():
+            return self.dense[state * self.wide + symbols]
+        out = self.root[symbols]
+        out[common] = self.dense[state[common] * self.wide + symbols[common]]
+        if len(self.keys):
+            rare = np.flatnonzero(~common)
+            key = state[rare].astype(np.int64) * size + symbols[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[at] == key
+            out[rare[found]] = self.entries[at[found]]
+        return out
 
-    An entry is twice the next state, plus one if the phrase ended before the
-    symbol (no such transition: the next phrase starts with the symbol, at
-    the root's transition or, for a symbol the sample lacks, alone).
-    """
+
+def automaton(symbols: np.ndarray, size: int, dense: int = DENSE) -> Table:
+    """Suffix automaton of a sample over ``size`` symbols."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -103,18 +125,24 @@ def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.zeros((len(moves), size), np.int32)
-    table[:] = 1
+    root = np.ones(size, np.int32)
     for c, to in moves[0].items():
-        table[:, c] = 2 * to + 1
-    for state, out in enumerate(moves):
+        root[c] = 2 * to + 1
+    wide = min(size, dense)
+    table = np.empty((len(moves), wide), np.int32)
+    table[:] = root[:wide]
+    rest = {}
+    for state, out in enumerate(moves[1:], 1):  # leaving the root always starts a phrase
         for c, to in out.items():
-            table[state, c] = 2 * to
-    table[0] |= 1  # leaving the root always starts a phrase
-    return table.reshape(-1)
+            if c < wide:
+                table[state, c] = 2 * to
+            else:
+                rest[state * size + c] = 2 * to
+    keys = np.array(sorted(rest), np.int64)
+    return Table(wide, table.reshape(-1), root, keys, np.array([rest[k] for k in keys.tolist()], np.int32))
 
 
-def phrases(table: np.ndarray, size: int, stretches: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def phrases(table: Table, size: int, stretches: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases of each row of ``stretches`` (sorted by falling length)."""
     state = np.zeros(len(stretches), np.int32)
     count = np.zeros(len(stretches), np.int32)
@@ -123,7 +151,7 @@ def phrases(table: np.ndarray, size: int, stretches: np.ndarray, lengths: np.nda
         n = live[k]
         if not n:
             break
-        step = table[(state[:n] >> 1) * size + stretches[:n, k]]
+        step = table.step(state[:n] >> 1, stretches[:n, k], size)
         count[:n] += step & 1
         state[:n] = step
     return count
@@ -164,7 +192,7 @@ class Classifier:
         ends = np.cumsum(per)
         full = sizes > 0
         lengths[ends[full] - 1] = sizes[full] - (per[full] - 1) * STRETCH
-        rows = np.zeros((len(owner), STRETCH), np.uint8)
+        rows = np.zeros((len(owner), STRETCH), self.alphabet.number.dtype)
         at = 0
         for c, n in zip(coded, per.tolist()):
             for k in range(n):

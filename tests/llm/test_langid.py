@@ -99,3 +99,28 @@ def test_short_and_empty_samples_do_not_win():
     for short in ("", "12 !", "q", "ab"):
         assert L.Classifier({"long": said[0], "short": short}).predict([said[1][:400]])[0] == ["long"]
     assert L.Classifier({"none": ""}).predict(["abc"]) == (["und"], [0.0])
+
+
+def test_large_alphabets_keep_every_letter():
+    """Two languages that share their 200 commonest letters and differ in rare ones."""
+    rnd = rng(7)
+    common = [chr(0x4E00 + k) for k in range(200)]
+    rare = {"a": [chr(0x5000 + k) for k in range(1500)], "b": [chr(0x6000 + k) for k in range(1500)]}
+
+    words = {lang: [rnd.choice(common) + rnd.choice(few) + rnd.choice(few) for _ in range(300)] for lang, few in rare.items()}
+
+    def said(lang, n):
+        return "".join(rnd.choice(words[lang]) for _ in range(n // 3))
+
+    samples = {lang: said(lang, 10_000) for lang in rare}
+    model = L.Classifier(samples)
+    assert len(model.alphabet.letters) == len({c for t in samples.values() for c in t}) > 900
+    texts = [said(lang, 100) for lang in "ab" * 50]
+    assert model.predict(texts)[0] == list("ab" * 50)
+    back = {k + 2: c for k, c in enumerate(model.alphabet.letters)}
+    for text in texts[:6]:
+        for name, table in zip(model.names, model.tables):
+            coded = model.alphabet.encode(text)
+            letters = "".join(back.get(int(s), "?") for s in coded)
+            got = L.phrases(table, model.alphabet.size, coded[None, :], np.array([len(coded)]))
+            assert got.tolist() == [greedy(samples[name], letters)]
