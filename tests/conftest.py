@@ -7,18 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from flotilla.session import build_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("flotilla-tests", cpus="*", shuffle_partitions=8)
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Collected rows as plain tuples (optionally of selected columns)."""
-    if cols:
-        df = df.select(*cols)
-    return [tuple(r) for r in df.collect()]

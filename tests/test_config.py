@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from flotilla.functions.columns import config_int, json_string, strict_bool
 from flotilla.operators import config as C
 from helpers import overrides_df, request, requests_df
@@ -126,7 +126,7 @@ def test_rankings_always_empty_and_missing_password_reported_first(spark):
 
 
 def test_one_aggregate_document_equals_long_form_document(spark):
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from flotilla.sources import fixtures as fx
     req, ov = fx.deployment_requests(spark, SF_SMALL), fx.config_overrides(spark, SF_SMALL)
     for mask in (True, False):

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from flotilla.plans.catalog import QUERIES
 from flotilla.plans.oracles import oracle_sql
 from flotilla.sources.tables import TABLES

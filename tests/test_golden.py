@@ -5,7 +5,7 @@ CIDR, overrides db_user, db_passwd, db_host."""
 import json
 
 
-from conftest import rows
+from helpers import rows
 from flotilla.operators import config as C
 from flotilla.operators import planning as B
 from helpers import cidrs_df, overrides_df, request, requests_df

@@ -1,7 +1,7 @@
 """The three commands as fleet plans: each output equals the operator it
 composes, and the sinks round-trip."""
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from flotilla.operators import config as C
 from flotilla.operators import planning as B
 from flotilla.operators import state as D

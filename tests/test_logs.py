@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 from flotilla.constants import LOG_HEADER_PATTERN
 from flotilla.operators import logs as E
 from flotilla.schemas import LOG_LINES, LOG_RECORDS

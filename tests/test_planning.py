@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 from flotilla.operators import planning as B
 from flotilla.schemas import CONTEST_ENV
 from flotilla.sources import fixtures as fx

@@ -4,7 +4,7 @@ exchange where a request row suffices."""
 import pytest
 
 import __spark_entry__ as entry_mod
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from flotilla.plans.catalog import QUERIES
 
 

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 from flotilla.constants import TEARDOWN_STEPS
 from flotilla.operators import state as D
 from flotilla.schemas import STATE_ENTRIES, TEARDOWN_OUTCOMES
@@ -150,7 +150,7 @@ def test_top_leaks_is_sorted(spark):
 
 
 def test_records_after_teardown_cover_every_deployment(spark):
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from flotilla.plans.catalog import QUERIES
     from flotilla.sources import fixtures as fx
     ids = {r[0] for r in fx.state_entries(spark, SF_SMALL).select("deployment_id").distinct().collect()}

@@ -2,7 +2,7 @@
 availableNow trigger give the batch result."""
 
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from flotilla.operators import logs as E
 from flotilla.sources import fixtures as fx
 from flotilla.streaming import logs as S
