@@ -143,7 +143,43 @@ counted as (
   from d join by_doc using (doc_id) left join covered c using (doc_id))
 select *, not base_failed and lost <= {MAX_LOST} as kept from counted"""
 
+OP11 = rf"""
+with d as (select doc_id, ws, len(ws) as n from (select doc_id, {WORDS} as ws from documents)),
+totals as (select count(*) filter (n > 0) as nd, cast(sum(n) as bigint) as nl from d),
+items as (
+  select item_no, item_id, t, count(*) as c from (select row_number() over () as item_no, item_id, unnest({WORDS}) as t from benchmark)
+  group by all),
+tf as (
+  select doc_id, n, t, count(*) as tf from (select doc_id, n, unnest(ws) as t from d) where t in (select t from items) group by all),
+weights as (
+  select t, cast(floor(1000 * ln(cast(2 * nd + 2 as double) / (2 * df + 1))) as bigint) as w
+  from (select t, count(*) as df from tf group by t), totals),
+scores as (
+  select item_no, item_id, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nl)))) as bigint) as score
+  from items join tf using (t) join weights using (t), totals group by all)
+select item_id, cast(row_number() over (partition by item_no order by score desc, doc_id) as int) as rank, doc_id, score
+from scores where score > 0 qualify rank <= 10"""
+
+OP13 = """
+with e as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select vec_id, label, unnest(v) as x, generate_subscripts(v, 1) as k from e),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(sum(a.x * b.x) as bigint) as score
+  from parts a join parts b using (k) where a.vec_id % 100 = 0 group by a.vec_id, b.vec_id, a.label, b.label),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scores where same and other_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as int) as rank,
+       other_id as negative_id, positive_score, score as negative_score
+from positives p join scores s on s.anchor_id = p.anchor_id and not same
+  and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5"""
+
 ORACLE_SQL = {
     "op1_line_dedup": OP1, "op5_license_scan": _op5(), "op7_chat_formatting": OP7, "op8_quality_rules": OP8,
-    "op10_decontamination": OP10,
+    "op10_decontamination": OP10, "op11_ranked_search": OP11, "op13_hard_negatives": OP13,
 }

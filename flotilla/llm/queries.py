@@ -10,6 +10,8 @@ from .oracles import ORACLE_SQL  # noqa: F401  (read by the entry module)
 
 #: Production parameter: the SentencePiece model of the environment.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The tokenizer whose tokens are counted.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import rank_documents
+    hits = rank_documents(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return hits.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+    return count_tokens(read(spark, sf_dir, "documents"), TOKENIZER, keep=["doc_id"])
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+    return mine(spark, read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op1_passage_dedup, op2_simhash_near_dedup, op3_token_packing, op4_sentencepiece, op5_license_scan, op6_sharding,
-    op7_chat_formatting, op8_quality_rules, op9_language_id, op10_decontamination)}
+    op7_chat_formatting, op8_quality_rules, op9_language_id, op10_decontamination,
+    op11_ranked_search, op12_token_counts, op13_hard_negatives)}
