@@ -131,6 +131,46 @@ def assemble_records(lines: DataFrame, chunk_span: int = DEFAULT_CHUNK_SPAN) ->
                         F.array_join(F.col("ps")["text"], "\n").alias("text"))
 
 
+# -- E3 on raw files ----------------------------------------------------------------------
+
+#: What names a split of a log file, and the order of splits in a deployment's log.
+SPLIT = ["deployment_id", "file", "block"]
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """Raw lines of :func:`sources.log_files.read_log_files` with ``line_no``
+    and the record number ``rec`` (both counted through the deployment's files).
+
+    A prefix sum in two passes. The first counts lines and headers per split
+    of a file and sums them over the splits before, in file and block order:
+    one row a split, so the window over a deployment's splits is small. The
+    second numbers lines inside their split and adds those sums. No task holds
+    more lines than one split has."""
+    marked = raw.withColumn("h", is_header(F.col("line")).cast("int"))
+    per_split = marked.groupBy(*SPLIT).agg(F.count("*").alias("n"), F.sum("h").alias("hc"))
+    before = Window.partitionBy("deployment_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    offsets = per_split.select(*SPLIT, F.coalesce(F.sum("n").over(before), zero).alias("lines_before"),
+                               F.coalesce(F.sum("hc").over(before), zero).alias("recs_before"))
+    inside = Window.partitionBy(*SPLIT).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = marked.select(*SPLIT, "line", F.count("*").over(inside).alias("no"), F.sum("h").over(inside).alias("rn"))
+    return local.join(offsets, SPLIT).select(
+        *SPLIT, (F.col("lines_before") + F.col("no")).alias("line_no"), (F.col("recs_before") + F.col("rn")).alias("rec"), "line")
+
+
+def assemble_files(raw: DataFrame) -> DataFrame:
+    """E3 on raw log files: ``(deployment_id, rec, first_line, text)``, lines
+    counted from 1 in each deployment's log. Lines are joined where their
+    split was numbered; one regrouping joins the pieces of records that go on
+    in the next split or file."""
+    pieces = number_lines(raw).groupBy(*SPLIT, "rec").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    pieces = pieces.select("deployment_id", "rec", F.struct(
+        F.col("ls")[0]["line_no"].alias("line_no"), F.array_join(F.col("ls")["line"], "\n").alias("text")).alias("piece"))
+    whole = pieces.groupBy("deployment_id", "rec").agg(F.sort_array(F.collect_list("piece")).alias("ps"))
+    return whole.select("deployment_id", "rec", F.col("ps")[0]["line_no"].alias("first_line"),
+                        F.array_join(F.col("ps")["text"], "\n").alias("text"))
+
+
 # -- E5 -------------------------------------------------------------------------------------
 
 def status_counts(records: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import config_int, strict_bool
@@ -18,8 +18,11 @@ from ..operators import planning as B
 from ..operators import logs as E
 from ..operators import state as D
 from ..streaming import logs as S
+from ..streaming import records as SR
+from ..schemas import LOG_LINES
 from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..sources import log_files as LF
 from ..sources import state_io as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,6 +391,40 @@ def q_e3_chunked(spark, d):
     return E.assemble_records(fx.log_lines(spark, d), chunk_span=64)
 
 
+@register("e3_assemble_files")
+def q_e3_files(spark, d):
+    """From text files without line numbers, several a deployment: records
+    go on in the next file."""
+    path = LF.write_log_files(fx.log_lines(spark, d), scratch_path(spark, "logs"), lines_per_file=50)
+    return E.assemble_files(LF.read_log_files(spark, path))
+
+
+def _line_batches(spark, d, batch: Column, out: str) -> str:
+    """Captured lines arrive in four batches, each through a stream that is
+    started anew from its checkpoint. Batches are cut inside messages."""
+    lines = fx.log_lines(spark, d)
+    step = (lines.agg(F.max("seq")).first()[0] // 40 + 1) * 10
+    base = scratch_path(spark, out)
+    lines = lines.withColumn("slice", F.expr(f"(3 * seq + sub_no - 1) div {3 * step}")).withColumn("batch_no", batch)
+    for k in range(4):
+        lines.where(F.col("batch_no") == k).drop("slice", "batch_no").write.mode("append").parquet(f"{base}/lines")
+        stream = spark.readStream.schema(LOG_LINES).parquet(f"{base}/lines")
+        SR.start(stream, f"{base}/records", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/records"
+
+
+@register("e3_assemble_stream")
+def q_e3_stream(spark, d):
+    return SR.records(spark, _line_batches(spark, d, F.col("slice"), "e3-stream"))
+
+
+@register("e3_stream_late_lines")
+def q_e3_late(spark, d):
+    """Every fiftieth line comes a batch later than its neighbours."""
+    late = F.when(F.col("seq") % 50 == 7, F.least(F.lit(3), F.col("slice") + 1)).otherwise(F.col("slice"))
+    return SR.late_lines(spark, _line_batches(spark, d, late, "e3-late"))
+
+
 @register("e4_parse_log")
 def q_e4(spark, d):
     p = E.parse_log(E.format_log(fx.log_records(spark, d)))

@@ -724,6 +724,23 @@ select deployment_id, cast(rec as bigint) as rec, min(seq) as first_seq,
        string_agg(line, chr(10) order by seq, sub_no) as text
 from numbered group by deployment_id, rec""")
 
+_add("e3_assemble_files", """
+select deployment_id, cast(rec as bigint) as rec, min(line_no) as first_line,
+       string_agg(line, chr(10) order by line_no) as text
+from (select *, row_number() over (partition by deployment_id order by seq, sub_no) as line_no from numbered)
+group by deployment_id, rec""")
+
+VARIANTS["e3_assemble_stream"] = ("e3_assemble_records", {})
+
+_add("e3_stream_late_lines", """
+with step as (select (max(seq) // 40 + 1) * 10 as s from log_lines),
+sliced as (select l.*, (3 * seq + sub_no - 1) // (3 * s) as slice from log_lines l, step),
+arrived as (select *, case when seq % 50 = 7 then least(3, slice + 1) else slice end as batch from sliced),
+before as (
+  select *, max(3 * seq + sub_no) over (partition by deployment_id order by batch range between unbounded preceding and 1 preceding) as last
+  from arrived)
+select deployment_id, seq, line as text, 'order' as reason from before where 3 * seq + sub_no <= last""")
+
 _add("e4_parse_log", """
 select deployment_id, seq, '' as prompt, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, status, message
 from log_records""")
