@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import config_int, strict_bool
+from ..operators import changes as G
 from ..operators import config as C
 from ..operators import planning as B
 from ..operators import logs as E
@@ -24,6 +25,7 @@ from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import log_files as LF
 from ..sources import state_io as A
+from ..sources import state_store as SS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -481,15 +483,6 @@ def q_a1_records(spark, d):
                     F.get("cws1_instances_ids", F.lit(0)).alias("first_cws1"))
 
 
-@register("a2_state_after_teardown")
-def q_a2_after(spark, d):
-    """Records saved after teardown where a deployment only held a key pair:
-    emptied records are saved as such."""
-    st = fx.state_entries(spark, d).where((F.col("deployment_id") % 50 == 0) & (F.col("state_key") == "keypair_name"))
-    left = D.residual_state(st, fx.teardown_outcomes(spark, d))
-    return A.state_to_json(left, st.select("deployment_id"))
-
-
 def _after_teardown(spark, d, outcomes):
     st = fx.state_entries(spark, d)
     return A.state_to_json(D.residual_state(st, outcomes), st.select("deployment_id").distinct())
@@ -524,6 +517,55 @@ def q_a2_deployed(spark, d):
     return D.deployed_state(_acc(spark, d), fx.observed_addresses(spark, d))
 
 
+def _runs(spark, d):
+    """The changes of three runs: every deployment is deployed, torn down with
+    the given outcomes, and the configuration runs record their addresses."""
+    st = fx.state_entries(spark, d)
+    planned = D.planned_state(_acc(spark, d).where(F.col("config_phase")))
+    return [G.assignments(st, 1), G.teardown_removals(st, fx.teardown_outcomes(spark, d), 2), G.assignments(planned, 3)]
+
+
+def _log(runs):
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@register("a1_fold_changes")
+def q_a1_fold(spark, d):
+    return G.fold_changes(_log(_runs(spark, d)))
+
+
+@register("a1_fold_changes_upto")
+def q_a1_fold_upto(spark, d):
+    """The records as they were after the teardown."""
+    return G.fold_changes(_log(_runs(spark, d)), upto=3 * G.RUN - 1)
+
+
+@register("a1_latest_changes")
+def q_a1_latest_changes(spark, d):
+    """The last change of every key, removals included."""
+    return G.latest_changes(_log(_runs(spark, d)))
+
+
+@register("a1_compacted_store")
+def q_a1_compacted(spark, d):
+    """From a store that was compacted after its second run."""
+    path = scratch_path(spark, "store")
+    for n, changes in enumerate(_runs(spark, d), 1):
+        SS.append_run(changes, path, n)
+        if n == 2:
+            SS.compact(spark, path)
+    return SS.read_records(spark, path)
+
+
+@register("a2_repeated_keys")
+def q_a2_repeated(spark, d):
+    """Records of a log in which every key is assigned twice and the addresses
+    a third time; the last assignment counts."""
+    st = fx.state_entries(spark, d)
+    first = G.assignments(st.withColumn("state_value", F.concat(F.lit("zz-old-"), "state_value")), 1)
+    return A.state_to_json(first.unionByName(G.assignments(st, 2)).unionByName(_runs(spark, d)[2]))
+
+
 @register("a2_state_to_json")
 def q_a2(spark, d):
     return A.state_to_json(fx.state_entries(spark, d))

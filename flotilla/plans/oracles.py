@@ -852,18 +852,6 @@ select e.deployment_id,
 from state_entries e left join k on k.key = e.state_key
 group by e.deployment_id""")
 
-_add("a2_state_after_teardown", """
-with st as (
-  select * from state_entries where deployment_id % 50 <> 0 or state_key = 'keypair_name'),
-gone as (
-  select st.deployment_id from st join teardown_outcomes o on o.deployment_id = st.deployment_id
-  where st.deployment_id % 50 = 0 and o.step = 19 and o.ok)
-select distinct deployment_id,
-       '{"deployment_id":' || deployment_id || ',"state":{'
-       || case when deployment_id in (select deployment_id from gone) then ''
-               else '"keypair_name":' || to_json('keypair_name-' || deployment_id)::varchar end || '}}' as json
-from st where deployment_id % 50 = 0""")
-
 _add("a2_state_after_teardown_all", """
 with k(key, ord, is_list) as (select * from (values
   ('main_instance_ip', 0, false), ('workers_instance_ips', 1, true), ('cws1_instance_ips', 2, true),
@@ -890,6 +878,36 @@ group by ids.deployment_id""")
 VARIANTS["a2_state_emptied"] = ("a2_state_after_teardown_all", {
     "teardown_outcomes": FIXTURE_CTES["teardown_outcomes"].replace("(o_custkey + step) % 4 <> 0 as ok", "true as ok")})
 
+# Folded change logs: what the runs left, key by key.
+_add("a1_fold_changes", """
+select deployment_id, state_key, state_value from memory
+union all
+select r.deployment_id, r.state_key, r.state_value from residual r
+where not exists (select 1 from memory m where m.deployment_id = r.deployment_id and m.state_key = r.state_key)""")
+
+VARIANTS["a1_compacted_store"] = ("a1_fold_changes", {})
+
+_add("a1_fold_changes_upto", "select deployment_id, state_key, state_value from residual")
+
+_KEYS = ORACLES["a2_state_to_json"].partition("select e.deployment_id")[0]
+
+_add("a1_latest_changes", _KEYS + """
+select m.deployment_id, cast(3000 + k.ord as bigint) as change_no, m.state_key, 'set' as op, m.state_value
+from memory m join k on k.key = m.state_key
+union all
+select r.deployment_id, 1000 + k.ord, r.state_key, 'set', r.state_value from residual r join k on k.key = r.state_key
+where not exists (select 1 from memory m where m.deployment_id = r.deployment_id and m.state_key = r.state_key)
+union all
+select r.deployment_id, 2000 + 10 * s.step + s.rpos, r.key, 'remove', null from removed r join removes s on s.key = r.key
+where not exists (select 1 from memory m where m.deployment_id = r.deployment_id and m.state_key = r.key)""")
+
+_add("a2_repeated_keys", ORACLES["a2_state_to_json"].replace("select e.deployment_id", """, last as (
+  select deployment_id, state_key, state_value from memory
+  union all
+  select e.deployment_id, e.state_key, e.state_value from state_entries e
+  where not exists (select 1 from memory m where m.deployment_id = e.deployment_id and m.state_key = e.state_key))
+select e.deployment_id""").replace("from state_entries e left join k", "from last e left join k"))
+
 _add("a3_config_failures", """
 select deployment_id, min(error) as error from entries group by deployment_id having count(error) > 0""")
 
