@@ -81,6 +81,24 @@ def json_decode_text(value_json: Column) -> Column:
     return F.get_json_object(F.concat(F.lit('{"v":'), value_json, F.lit("}")), "$.v")
 
 
+def json_value(given: Column) -> Column:
+    """One JSON value given as text, written anew on one line; SQL null if
+    the text is not exactly one JSON value.
+
+    Parsed as a VARIANT, so objects and lists keep their content whatever
+    their spacing (keys of an object come out sorted; one that names a key
+    twice is no value). A number on its own stays as it was written. The
+    parser stops after a first value, so the text is also read as the one
+    element of a list and as the one field of an object: no text that closes
+    or opens something of its own passes both."""
+    given = F.trim(given, F.lit(" \t\n\r"))
+    listed = F.try_parse_json(F.concat(F.lit("["), given, F.lit("]")))
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), given, F.lit("}")))
+    value = F.try_variant_get(field, "$.v", "variant")
+    alone = value.isNotNull() & F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.when(given.rlike(NUMBER_JSON), given).otherwise(F.to_json(value)))
+
+
 def is_json_string(value_json: Column) -> Column:
     return value_json.startswith('"')
 
@@ -101,6 +119,7 @@ def strict_bool(value_json: Column) -> Column:
 
 
 INT_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+NUMBER_JSON = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 INT_JSON = r"^-?[0-9]+$"
 FLOAT_JSON = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 

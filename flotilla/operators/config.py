@@ -32,24 +32,43 @@ from ..constants import (
     CONFIG_KEYS, DATABASE_URL_PARTS, FORCED_ADMIN_LISTEN_PORT, FORCED_CONFIG_KEYS, FORCED_NUM_PROXIES, MASK,
     MASKED_KEYS, RANKING_BIND_ADDRESS, RANKING_FIELDS, REQUIRED_CONFIG_KEYS, SECRET_KEYS,
 )
-from ..functions.columns import case_lookup, config_int, json_string, py_str, sql_literal, strict_bool, struct_sql
+from ..functions.columns import case_lookup, config_int, json_string, json_value, py_str, sql_literal, strict_bool, struct_sql
 from . import planning as B
 
 KNOWN_KEYS = [k for k, _, _ in CONFIG_KEYS]
 PIVOT_KEYS = DATABASE_URL_PARTS + [src for _, src in RANKING_FIELDS if src]
 MISSING_REQUIRED = "missing required key"
 INVALID_INTEGER = "invalid integer"
+INVALID_VALUE = "invalid value"
 
 
 # -- inputs -------------------------------------------------------------------------
 
+def latest_overrides(overrides: DataFrame) -> DataFrame:
+    """One row a key of overrides that were set one after the other: the row
+    with the greatest ``set_no`` counts, as the last assignment to a dictionary
+    key does (between equal numbers the one with the greatest texts). One
+    aggregate with partial results."""
+    rest = [c for c in overrides.columns if c not in ("deployment_id", "key", "set_no")]
+    last = overrides.groupBy("deployment_id", "key").agg(F.max(F.struct("set_no", *rest)).alias("r"))
+    return last.select("deployment_id", "key", *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def overrides_json(overrides: DataFrame) -> DataFrame:
     """User overrides as JSON text. A string override is ``(deployment_id,
-    key, value)``; a typed one (number, list, boolean, null) has its JSON in
-    the optional column ``value_json``, which wins where it is not null."""
+    key, value)``; a typed one (number, list, object, boolean, null) has its
+    JSON in the optional column ``value_json``, which wins where it is not
+    null. Text there that is not one JSON value gives a null ``value``: the row
+    stays, and its deployment gets the error :data:`INVALID_VALUE` instead of
+    a document that does not parse.
+
+    With a column ``set_no``, repeated rows of a key are resolved by it
+    (:func:`latest_overrides`); without it a key has one row."""
+    if "set_no" in overrides.columns:
+        overrides = latest_overrides(overrides)
     value = json_string(F.col("value"))
     if "value_json" in overrides.columns:
-        value = F.coalesce(F.col("value_json"), value)
+        value = F.when(F.col("value_json").isNotNull(), json_value(F.col("value_json"))).otherwise(value)
     return overrides.select("deployment_id", "key", value.alias("value"))
 
 
@@ -235,7 +254,7 @@ def _mask(key: Column, value: Column, mask: bool) -> Column:
 
 def known_entries(filled: DataFrame, mask: bool = True) -> DataFrame:
     """Keys as written to the main document, with an ``error`` for a
-    missing required key or a malformed integer. Local keys (database and
+    missing required key, a value that is no JSON or a malformed integer. Local keys (database and
     ranking parts) and secrets are written only when the user gave them;
     ``database`` comes from :func:`database_url`; ``rankings`` is always
     the empty list. Rows with no ``kind`` (unknown keys) pass as they are."""
@@ -245,6 +264,7 @@ def known_entries(filled: DataFrame, mask: bool = True) -> DataFrame:
             | (kind.isin("local", "secret") & present)
             | (key == "rankings"))
     error = (F.when((kind == "required") & ~present, F.lit(MISSING_REQUIRED))
+             .when(present & F.col("value").isNull(), F.lit(INVALID_VALUE))
              .when((kind == "int") & value.isNull(), F.lit(INVALID_INTEGER)))
     return filled.where(emit).select("deployment_id", "key", _mask(key, value, mask).alias("value"),
                                      error.alias("error"))
@@ -379,7 +399,8 @@ def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = Tru
     the given keys. The forced fragments, computed from the counts, the
     defaults of absent keys and the URL are appended on the result row, so
     no generated text is shuffled, and there is no semi join, no union of
-    long forms and no second regrouping. The collected group is one
+    long forms and no second regrouping. A document has each key once; of
+    repeated rows without ``set_no`` the greatest text is written. The collected group is one
     deployment's document."""
     acc = B.accepted_requests(requests)
     rows = overrides_json(overrides).where(~F.col("key").isin(FORCED_CONFIG_KEYS))
@@ -389,7 +410,7 @@ def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = Tru
     emit = kind.isNull() | kind.isin("raw", "bool", "int", "required", "local", "secret") | (key == "rankings")
     frag = F.when(emit, F.struct(key.alias("key"), F.concat(json_string(key), F.lit(":"), _mask(key, out, mask))
                                  .alias("frag")))
-    error = F.when((kind == "int") & out.isNull(), F.lit(INVALID_INTEGER))
+    error = F.when(value.isNull(), F.lit(INVALID_VALUE)).when((kind == "int") & out.isNull(), F.lit(INVALID_INTEGER))
     marked = rows.select("deployment_id", _lookup("key", KEY_MASK, "bigint").alias("bit"),
                          *[F.when(key == k, value).alias(k) for k in PIVOT_KEYS],
                          frag.alias("frag"), error.alias("error"), F.lit(0).alias("is_id"),
@@ -412,6 +433,8 @@ def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = Tru
                                                   F.concat(F.lit('"database":'), json_string(url)).alias("frag"))))
     items = F.sort_array(F.concat(F.col("items"), forced, F.expr(_DEFAULT_FRAGMENTS),
                                   F.coalesce(db, F.array().cast("array<struct<key:string,frag:string>>"))))
+    # A key is written once: of repeated rows the last in order of their text.
+    items = F.filter(items, lambda x, i: (i == F.size(items) - 1) | (F.get(items, i + 1)["key"] != x["key"]))
     missing = F.col("present").bitwiseAND(F.lit(_REQUIRED_MASK)) != F.lit(_REQUIRED_MASK)
     err = F.when(missing, F.lit(MISSING_REQUIRED)).otherwise(F.col("row_error"))
     doc = F.concat(F.lit("{"), F.array_join(items["frag"], ","), F.lit("}"))

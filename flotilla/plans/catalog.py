@@ -290,6 +290,47 @@ def q_c9_document_typed(spark, d):
     return docs.select("deployment_id", "document", "error")
 
 
+# The same with nested values, and texts that are no JSON value.
+
+@register("c6_passthrough_keys_nested")
+def q_c6_nested(spark, d):
+    _, _, ids, user = _config_inputs(spark, d, fx.config_overrides_nested)
+    return C.passthrough_keys(user, ids)
+
+
+@register("c9_config_entries_nested")
+def q_c9_entries_nested(spark, d):
+    return C.config_entries(fx.deployment_requests(spark, d), fx.config_overrides_nested(spark, d))
+
+
+@register("c9_config_document_nested")
+def q_c9_document_nested(spark, d):
+    docs = C.config_documents(fx.deployment_requests(spark, d), fx.config_overrides_nested(spark, d))
+    return docs.select("deployment_id", "document", "error")
+
+
+@register("c9_documents_parse")
+def q_c9_parse(spark, d):
+    """Every document parses, read back as a VARIANT."""
+    docs = C.config_documents(fx.deployment_requests(spark, d), fx.config_overrides_nested(spark, d)).where("document IS NOT NULL")
+    v = F.try_parse_json("document")
+    return docs.select("deployment_id", v.isNotNull().alias("parses"), F.size(F.json_object_keys("document")).cast("long").alias("n_keys"),
+                       F.try_variant_get(v, "$.shard_note.hosts[0].ip", "string").alias("ip"),
+                       F.try_variant_get(v, "$.paper_size.h.mm", "double").alias("mm"))
+
+
+@register("a3_config_failures_nested")
+def q_a3_failures_nested(spark, d):
+    return A.config_failures(C.config_files(fx.deployment_requests(spark, d), fx.config_overrides_nested(spark, d)))
+
+
+@register("c9_config_document_repeated")
+def q_c9_document_repeated(spark, d):
+    """Overrides that were set twice; the last setting counts."""
+    docs = C.config_documents(fx.deployment_requests(spark, d), fx.config_overrides_repeated(spark, d))
+    return docs.select("deployment_id", "document", "error")
+
+
 @register("c7_database_url_unmasked")
 def q_c7_unmasked(spark, d):
     return C.database_url(_parts(spark, d), mask=False)

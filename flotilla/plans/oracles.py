@@ -533,6 +533,26 @@ select deployment_id, key,
             when key = 'shard_note' and deployment_id % 2 = 0 then '[1,"' || value || '",null]'
             else coalesce(to_json(value)::varchar, 'null') end as value
 from config_overrides"""
+OV_NESTED = """
+select deployment_id, key,
+       case when key = 'shard_note' and deployment_id % 4 = 0
+            then '{"hosts":[{"ip":"10.0.0.1","ports":[1,2.5,null]}],"note":"' || value || ' é"}'
+            when key = 'shard_note' and deployment_id % 4 in (1, 2) then null
+            when key = 'paper_size' and deployment_id % 5 = 0 then '{"h":{"mm":297},"w":210}'
+            when key = 'paper_size' and deployment_id % 5 = 1 then null
+            when key = 'max_file_size' and deployment_id % 6 = 1 then '1000.0'
+            when key = 'backdoor' and deployment_id % 7 = 1 then '"True"'
+            else coalesce(to_json(value)::varchar, 'null') end as value
+from config_overrides"""
+# Rows of overrides that are no JSON value are errors of their deployment.
+_NESTED = {
+    "ov": OV_NESTED,
+    "typed": HELPER_CTES["typed"].replace("f.present,", "f.present, f.value as raw,", 1),
+    "known": HELPER_CTES["known"].replace("when kind = 'int' and v is null", """when present and raw is null then 'invalid value'
+            when kind = 'int' and v is null"""),
+    "entries": HELPER_CTES["entries"].replace("select deployment_id, key, value, null from passthrough",
+                                              "select deployment_id, key, value, case when value is null then 'invalid value' end from passthrough"),
+}
 _PLAIN_URLS = HELPER_CTES["urls"].replace("case when db_passwd is not null then '********' end", _pystr("db_passwd"))
 _PLAIN_KNOWN = HELPER_CTES["known"].replace("""case when key in ('db_passwd', 'rankings_passwd', 'secret_key') and v is not null
             then '"********"' else v end as value""", "v as value")
@@ -540,6 +560,10 @@ VARIANTS = {
     **{f"{base}_typed": (base, {"ov": OV_TYPED}) for base in (
         "c3_strict_bool", "c4_config_int", "c6_passthrough_keys", "c8_ranking_document", "c9_config_entries",
         "c9_config_document")},
+    **{f"{base}_nested": (base, _NESTED) for base in (
+        "c6_passthrough_keys", "c9_config_entries", "c9_config_document")},
+    **{name: (name, _NESTED) for name in ("c9_documents_parse", "a3_config_failures_nested")},
+    "c9_config_document_repeated": ("c9_config_document", {}),
     "c7_database_url_unmasked": ("c7_database_url", {"urls": _PLAIN_URLS}),
     "c9_config_entries_unmasked": ("c9_config_entries", {"urls": _PLAIN_URLS, "known": _PLAIN_KNOWN}),
 }
@@ -639,6 +663,15 @@ select deployment_id,
             else min(error) end as error
 from entries group by deployment_id""")
 
+_add("c9_documents_parse", """
+with docs as (
+  select deployment_id, '{' || string_agg(to_json(key)::varchar || ':' || value, ',') || '}' as document
+  from entries group by deployment_id having count(error) = 0)
+select deployment_id, json_valid(document) as parses, cast(len(json_keys(document)) as bigint) as n_keys,
+       json_extract_string(document, '$.shard_note.hosts[0].ip') as ip,
+       try_cast(json_extract_string(document, '$.paper_size.h.mm') as double) as mm
+from docs""")
+
 _add("c10_generated_secrets", """
 select a.deployment_id, k.key
 from acc a cross join (values ('secret_key'), ('rankings_passwd')) k(key)
@@ -911,6 +944,11 @@ select e.deployment_id""").replace("from state_entries e left join k", "from las
 _add("a3_config_failures", """
 select deployment_id, min(error) as error from entries group by deployment_id having count(error) > 0""")
 
+_add("a3_config_failures_nested", """
+select deployment_id,
+       case when bool_or(error = 'missing required key') then 'missing required key' else min(error) end as error
+from entries group by deployment_id having count(error) > 0""")
+
 _add("a3_write_config", """
 with ok as (select deployment_id from entries group by deployment_id having count(error) = 0),
 rk as (select deployment_id, 'bind_address' as key, '""' as value from parts

@@ -91,6 +91,29 @@ def config_overrides_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_overrides(spark, sf_dir).withColumn("value_json", F.expr(_TYPED_VALUE))
 
 
+_NESTED_VALUE = ("CASE WHEN key = 'shard_note' AND deployment_id % 4 = 0 "
+                 "THEN concat('{\"hosts\" : [ {\"ip\": \"10.0.0.1\", \"ports\": [1, 2.5, null]} ],\\n \"note\": \"', value, ' \\\\u00e9\"}') "
+                 "WHEN key = 'shard_note' AND deployment_id % 4 = 1 THEN concat('[1,', value) "
+                 "WHEN key = 'shard_note' AND deployment_id % 4 = 2 THEN '{\"a\": 1} and more' "
+                 "WHEN key = 'paper_size' AND deployment_id % 5 = 0 THEN '{\"w\": 210, \"h\": {\"mm\": 297.0}}' "
+                 "WHEN key = 'paper_size' AND deployment_id % 5 = 1 THEN '1], [2' "
+                 "WHEN key = 'max_file_size' AND deployment_id % 6 = 1 THEN ' 1e3 ' "
+                 "WHEN key = 'backdoor' AND deployment_id % 7 = 1 THEN '\"Tru\\\\u0065\"' END")
+
+
+def config_overrides_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overrides with objects and lists among them, spread over lines, and
+    texts that are no JSON value."""
+    return config_overrides(spark, sf_dir).withColumn("value_json", F.expr(_NESTED_VALUE))
+
+
+def config_overrides_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every override set twice, first to something else."""
+    ov = config_overrides(spark, sf_dir)
+    first = ov.withColumn("value", F.concat(F.lit("zz"), "value")).withColumn("set_no", F.lit(1).cast("bigint"))
+    return first.unionByName(ov.withColumn("set_no", F.lit(2).cast("bigint")))
+
+
 def state_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey")
     k = F.col("o_orderkey")

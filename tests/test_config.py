@@ -133,3 +133,54 @@ def test_one_aggregate_document_equals_long_form_document(spark):
         a = C.config_documents(req, ov, mask).select("deployment_id", "document", "error")
         b = C.config_document(C.config_entries(req, ov, mask))
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+VALUES = [
+    ('{"b": [1, {"z": null}],\n "a": "x"}', {"a": "x", "b": [1, {"z": None}]}), ("[1, 2.5, \"s\"]", [1, 2.5, "s"]), ("  true ", True),
+    ("null", None), ('"quo\\"te \\u00e9"', 'quo"te é'), ("-12.50", -12.5), ("1e3", 1000.0), ("[]", []), ("{}", {}),
+    ("123456789012345678901234567890", 123456789012345678901234567890), ('"],["', "],["), ('"}"', "}"), ("[[1],[2]]", [[1], [2]])]
+NO_VALUES = ["[1,2", "nul", "", "  ", "1,2", "1], [2", '1},{"a":2', '{"a":1} x', "{'a':1}", '"a', "01", "[1,]", "NaN", '1,"w":2', "],[", '{"a":1,"a":2}',
+             "1 2", "1,null", "\"a\" \"b\""]
+
+
+def _typed(spark, given):
+    return spark.createDataFrame([(i, "note", None, g) for i, g in enumerate(given, 1)],
+                                 "deployment_id bigint, key string, value string, value_json string")
+
+
+def test_json_values_keep_their_content(spark):
+    got = sorted(rows(C.overrides_json(_typed(spark, [g for g, _ in VALUES])), "deployment_id", "value"))
+    assert [json.loads(v) for _, v in got] == [w for _, w in VALUES]
+    assert all("\n" not in v for _, v in got)
+
+
+def test_text_that_is_no_json_value_gives_none(spark):
+    got = sorted(rows(C.overrides_json(_typed(spark, NO_VALUES)), "deployment_id", "value"))
+    assert [v for _, v in got] == [None] * len(NO_VALUES)
+
+
+def test_invalid_values_are_errors_of_their_deployment(spark):
+    ids = [1, 2, 3]
+    r = requests_df(spark, *[request(spark, deployment_id=i) for i in ids])
+    given = [(i, "db_passwd", "pw", None) for i in ids] + [(1, "note", None, "[1,2"), (2, "note", None, '[1, {"a": 2}]'), (3, "backdoor", "x", '"tru')]
+    ov = spark.createDataFrame(given, "deployment_id bigint, key string, value string, value_json string")
+    docs = {d: (doc, e) for d, doc, e in rows(C.config_documents(r, ov, mask=False), "deployment_id", "document", "error")}
+    assert docs[1] == (None, "invalid value") and docs[3] == (None, "invalid value")
+    assert docs[2][1] is None and json.loads(docs[2][0])["note"] == [1, {"a": 2}]
+    long = {d: (doc, e) for d, doc, e in rows(C.config_document(C.config_entries(r, ov, mask=False)), "deployment_id", "document", "error")}
+    assert long == docs
+
+
+def test_repeated_keys_are_written_once(spark):
+    r = requests_df(spark, request(spark))
+    given = [(1, "db_passwd", "pw", 1), (1, "note", "b", 1), (1, "note", "a", 2)]
+    told = spark.createDataFrame(given, "deployment_id bigint, key string, value string, set_no bigint")
+    for ov, note in ((told, "a"), (told.drop("set_no"), "b")):
+        (doc,), = rows(C.config_documents(r, ov), "document")
+        assert doc.count('"note"') == 1 and json.loads(doc)["note"] == note
+
+
+def test_last_setting_of_a_key_counts(spark):
+    data = [(1, "a", None, 5), (1, "a", "x", 5), (1, "a", "z", 4), (1, "b", "y", 1), (1, "b", None, 2), (2, "a", "q", 1)]
+    ov = spark.createDataFrame(data, "deployment_id bigint, key string, value string, set_no bigint").repartition(4)
+    assert sorted(rows(C.latest_overrides(ov), "deployment_id", "key", "value")) == [(1, "a", "x"), (1, "b", None), (2, "a", "q")]
