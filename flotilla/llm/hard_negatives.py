@@ -217,7 +217,8 @@ def mine(spark: SparkSession, embeddings: DataFrame, every: int = 100, positives
     """
     rows = written(spark, whole_rows(embeddings), "vectors")
     squares = F.aggregate(F.col("vector"), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    seen = rows.agg(F.max(F.size("vector")).alias("dim"), F.max(squares).alias("square")).first()
+    is_anchor = F.col("vec_id") % every == 0
+    seen = rows.agg(F.max(F.size("vector")).alias("dim"), F.max(squares).alias("square"), F.count_if(is_anchor).alias("anchors")).first()
     out = spark.createDataFrame([], RESULT)
     if seen["dim"] is None:
         return out
@@ -226,7 +227,8 @@ def mine(spark: SparkSession, embeddings: DataFrame, every: int = 100, positives
         raise ValueError("scores could pass 2**62")
     primes = primes_for(dim, bound)  # no score passes the product of two vectors' lengths
     size = max(1, min(anchors_a_block, (1 << 22) // max(1, dim)))
-    anchors = written(spark, _blocks(rows.filter(F.col("vec_id") % every == 0), size), "anchors")
+    dealt = rows.filter(is_anchor).repartition(max(1, -(-seen["anchors"] // size)))  # about a block a partition
+    anchors = written(spark, _blocks(dealt, size), "anchors")
     for block in [r["block"] for r in anchors.select("block").distinct().orderBy("block").toLocalIterator()]:
         found = anchors.filter(F.col("block") == block).orderBy("anchor_no").toArrow()
         ids, labels = found["vec_id"].to_numpy(), found["label"].to_numpy()

@@ -50,6 +50,19 @@ def hashed(term: bytes) -> int:
     return xxhash.xxh64_intdigest(term)
 
 
+def packed(sketch: np.ndarray) -> bytes:
+    """A sketch as bytes: the exponent of its width, a bit a coordinate, then
+    the counts of the coordinates that have one."""
+    return bytes([len(sketch).bit_length() - 1]) + np.packbits(sketch > 0).tobytes() + sketch[sketch > 0].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros(1 << data[0], np.uint8)
+    raw = np.frombuffer(data, np.uint8, offset=1)
+    out[np.unpackbits(raw[:len(out) // 8]).view(bool)] = raw[len(out) // 8:]
+    return out
+
+
 def term_counts(text: bytes | None) -> Counter:
     """Occurrences of every term of a text, read piece by piece."""
     counts: Counter = Counter()
@@ -96,12 +109,12 @@ def build_index(docs: DataFrame) -> DataFrame:
             rows: tuple[list, ...] = ([], [], [], [])
             for text in texts:
                 counts = term_counts(text.as_py())
-                if len(memory) > 500_000:
+                if len(memory) > 100_000:
                     memory.clear()
                 memory.update((t, hashed(t)) for t in counts if t not in memory)
                 hashes = np.fromiter(map(memory.__getitem__, counts), np.uint64, len(counts))
                 tf = np.fromiter(counts.values(), "<i4", len(counts))
-                for column, value in zip(rows, (int(tf.sum()), b"\n".join(counts), tf.tobytes(), sketch_of(hashes, tf).tobytes())):
+                for column, value in zip(rows, (int(tf.sum()), b"\n".join(counts), tf.tobytes(), packed(sketch_of(hashes, tf)))):
                     column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, kinds)],
@@ -188,7 +201,7 @@ class Queries:
         """Upper bound of every document's score for every query, raised by
         more than float products can lose."""
         out = np.zeros((len(sketches), self.weights.shape[1]))
-        tables = [np.frombuffer(s, np.uint8) for s in sketches]
+        tables = [unpacked(s) for s in sketches]
         for at in range(0, len(self.terms), GATHER):
             for width in {len(t) for t in tables} - {w for w, a in self.cells if a == at}:
                 self.cells[width, at] = coordinates(self.hashes[at:at + GATHER], width)
@@ -254,7 +267,8 @@ def search(spark: SparkSession, index: DataFrame, items: DataFrame, top: int = T
     """
     totals = index.agg(F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("terms")).first()
     n_docs, n_terms = totals["docs"], totals["terms"] or 0
-    queries = written(spark, query_terms(items), "queries")
+    dealt = items.repartition(max(1, -(-items.count() // BLOCK_QUERIES)))  # about a block a partition
+    queries = written(spark, query_terms(dealt), "queries")
     item = queries.schema["item_id"].dataType
     schema = T.StructType([T.StructField("item_no", T.LongType()), T.StructField("item_id", item),
                            T.StructField("doc_id", T.LongType()), T.StructField("score", T.LongType())])

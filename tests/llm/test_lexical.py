@@ -75,7 +75,7 @@ def test_bounds_hold():
     for c in counts:
         tf = np.array(list(c.values()), "<i4")
         norms.append(lexical.norm(int(tf.sum()), q.n_docs, q.n_terms))
-        sketches.append(lexical.sketch_of(np.array([lexical.hashed(t) for t in c], np.uint64), tf).tobytes())
+        sketches.append(lexical.packed(lexical.sketch_of(np.array([lexical.hashed(t) for t in c], np.uint64), tf)))
         exact.append(q.exact(b"\n".join(c), tf.tobytes(), norms[-1]))
     bounds = q.bounds(sketches, np.array(norms))
     assert (bounds >= np.array(exact)).all()
@@ -104,7 +104,7 @@ def test_few_documents_are_scored(spark):
         def as_py(self):
             return self.v
     tf = [np.array(list(c.values()), "<i4") for c in counts]
-    sketches = [lexical.sketch_of(np.array([lexical.hashed(t) for t in c], np.uint64), x).tobytes() for c, x in zip(counts, tf)]
+    sketches = [lexical.packed(lexical.sketch_of(np.array([lexical.hashed(t) for t in c], np.uint64), x)) for c, x in zip(counts, tf)]
     q.search(list(range(400)), [50] * 400, Column([Value(b"\n".join(c)) for c in counts]), [Value(x.tobytes()) for x in tf], sketches)
     assert q.hits[0][0][2] == 7 and Column.opened < 10
 
