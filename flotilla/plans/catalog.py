@@ -516,6 +516,24 @@ def q_a1(spark, d):
     return A.read_state(spark, path)
 
 
+@register("a1_state_files")
+def q_a1_files(spark, d):
+    """What the configuration runs record, a file a deployment as the tool
+    writes it, read back."""
+    acc = _acc(spark, d).where(F.col("config_phase"))
+    path = A.write_state_files(D.planned_state(acc), acc, scratch_path(spark, "state-files"))
+    return A.read_state(spark, path, layout="files")
+
+
+@register("a3_config_files")
+def q_a3_files(spark, d):
+    """Both documents of every deployment in files as the tool writes them,
+    read back."""
+    req = fx.deployment_requests(spark, d)
+    path = A.write_config_files(C.config_files(req, fx.config_overrides_nested(spark, d)), req, scratch_path(spark, "config-files"))
+    return A.read_config_files(spark, path)
+
+
 @register("a1_state_records")
 def q_a1_records(spark, d):
     r = A.state_records(fx.state_entries(spark, d))

@@ -807,6 +807,8 @@ select deployment_id,
        count(*) filter (where status = 'critical') as critical
 from log_records group by deployment_id""")
 
+_add("a1_state_files", "select 'd' || deployment_id as id, state_key, state_value from memory")
+
 _add("a1_state_records", """
 select deployment_id,
        max(state_value) filter (where state_key = 'vpc_id') as vpc_id,
@@ -963,6 +965,10 @@ select deployment_id, doc, key,
             when starts_with(value, '"') then json_extract_string(value, '$') else value end as value
 from both_docs where deployment_id in (select deployment_id from ok)""")
 
+_add("a3_config_files", ORACLES["a3_write_config"].replace("select deployment_id, doc, key,", "select 'd' || deployment_id as id, doc, key,")
+     .replace("'cms.conf' as doc", "'config' as doc").replace("'cms.ranking.conf'", "'ranking'"))
+VARIANTS["a3_config_files"] = ("a3_config_files", _NESTED)
+
 _add("a4_read_requests", """
 select deployment_id, id, title, nb_workers_instances, nb_workers_per_instance, nb_cws_instances,
        nb_cws_per_instance, config_phase, main_instance_type, workers_instances_type, cws_instances_type,
