@@ -446,13 +446,28 @@ def endpoints_json(section: str) -> Column:
 
 # -- B15 ------------------------------------------------------------------------------------
 
-def attach_addresses(instances: DataFrame, observed: DataFrame) -> DataFrame:
+def newest_observations(observed: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """One row a machine ``(deployment_id, launch_pos, public_ip, private_ip)``
+    of observations that may repeat: with a column ``observed_at`` the newest,
+    not later than ``as_of`` if given; between observations of one time, and
+    without the column, the one with the greatest addresses. An aggregate with
+    partial results; machines with no observation in time have no row."""
+    told = [F.col(c) for c in ("observed_at", "public_ip", "private_ip") if c in observed.columns]
+    if as_of is not None:
+        observed = observed.where(F.col("observed_at") <= as_of)
+    last = observed.groupBy("deployment_id", "launch_pos").agg(F.max(F.struct(*told)).alias("o"))
+    return last.select("deployment_id", "launch_pos", "o.public_ip", "o.private_ip")
+
+
+def attach_addresses(instances: DataFrame, observed: DataFrame, as_of: Column | None = None) -> DataFrame:
     """The public and private address the cloud reports for each
     machine, matched on launch position; unobserved machines keep nulls.
-    An equi-join on (deployment_id, launch_pos): Catalyst picks sort-merge
-    or, when AQE sees a small side at run time, broadcast."""
-    obs = observed.select("deployment_id", "launch_pos", "public_ip",
-                          F.col("private_ip").alias("observed_private_ip"))
+    Of a machine observed several times the newest observation counts, as of
+    a given time (:func:`newest_observations`), so there is a row a machine
+    whatever is observed. An equi-join on (deployment_id, launch_pos), on which
+    the observations are already partitioned: Catalyst picks sort-merge or,
+    when AQE sees a small side at run time, broadcast."""
+    obs = newest_observations(observed, as_of).withColumnRenamed("private_ip", "observed_private_ip")
     return instances.join(obs, ["deployment_id", "launch_pos"], "left")
 
 

@@ -78,6 +78,20 @@ def instances_to_terminate(state_entries: DataFrame) -> DataFrame:
             .select("deployment_id", step.alias("step"), F.posexplode(ids).alias("pos", "instance_id")))
 
 
+def instances_or_errors(state_entries: DataFrame) -> DataFrame:
+    """D2 with a column ``error``: a list whose text is no JSON list is a row
+    of its deployment (``pos`` and ``instance_id`` null) instead of the end of
+    the job for all."""
+    step = case_lookup("state_key", {k: s for s, k, _ in TERMINATE_KEYS}, cast="int")
+    ids = F.when(F.col("state_key").isin(SINGLE_KEYS), F.array(F.col("state_value"))).otherwise(F.from_json("state_value", "array<string>"))
+    bad = ids.isNull() & F.col("state_value").isNotNull()
+    row = "struct<pos:int,instance_id:string,error:string>"
+    good = F.transform(ids, lambda x, i: F.struct(i.alias("pos"), x.alias("instance_id"), F.lit(None).cast("string").alias("error")).cast(row))
+    error = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("instance_id"), F.lit("malformed list").alias("error")).cast(row))
+    return (state_entries.where(F.col("state_key").isin([k for _, k, _ in TERMINATE_KEYS]))
+            .select("deployment_id", step.alias("step"), F.inline(F.when(bad, error).otherwise(good))))
+
+
 # -- per-deployment masks -----------------------------------------------------------
 
 def _queued(key: Column, value: Column) -> Column:
@@ -90,7 +104,11 @@ def _queued(key: Column, value: Column) -> Column:
 def teardown_masks(state_entries: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """``(deployment_id, present, queued, ok)`` per deployment with state:
     bit i of ``present`` for the i-th known key, ``queued`` when some
-    machine id is waited on, bit s of ``ok`` when step s succeeded."""
+    machine id is waited on, bit s of ``ok`` when step s succeeded.
+
+    ``outcomes`` may tell in a column ``listing_ok`` of the balancer group's
+    step whether its interfaces could be listed. Where they could not, bit
+    :data:`LISTING_BIT` of ``ok`` is set."""
     st = (state_entries.select(
         "deployment_id", _key_bit("state_key").alias("present"),
         _queued(F.col("state_key"), F.col("state_value")).alias("queued"),
@@ -98,9 +116,13 @@ def teardown_masks(state_entries: DataFrame, outcomes: DataFrame | None = None)
         .where(F.col("present").isNotNull()))
     rows = st
     if outcomes is not None:
-        oc = outcomes.where(F.coalesce(F.col("ok"), F.lit(False))).select(
+        bits = F.when(F.coalesce(F.col("ok"), F.lit(False)), F.expr("shiftleft(CAST(1 AS BIGINT), step)")).otherwise(0)
+        if "listing_ok" in outcomes.columns:
+            stopped = (F.col("step") == LISTING_STEP) & ~F.coalesce(F.col("listing_ok"), F.lit(True))
+            bits = bits.bitwiseOR(F.when(stopped, F.lit(1 << LISTING_BIT).cast("bigint")).otherwise(0))
+        oc = outcomes.select(
             "deployment_id", F.lit(0).cast("bigint").alias("present"), F.lit(False).alias("queued"),
-            F.expr("shiftleft(CAST(1 AS BIGINT), step)").alias("ok"), F.lit(0).alias("has_state"))
+            bits.cast("bigint").alias("ok"), F.lit(0).alias("has_state")).where(F.col("ok") != 0)
         rows = st.unionByName(oc)
     return (rows.groupBy("deployment_id")
             .agg(F.bit_or("present").alias("present"), F.bool_or("queued").alias("queued"),
@@ -117,9 +139,27 @@ def _runs(guard) -> str:
     return "`queued`" if guard is None else _has_all(_mask_of(guard))
 
 
-def _removed_sql() -> str:
+#: The listing of interfaces in this step is outside the step's own error
+#: handling: where it fails, the teardown ends there and saves nothing.
+LISTING_STEP = 9
+LISTING_BIT = 20
+_LISTING_GUARD = next(guard for step, guard, _, _ in TEARDOWN_STEPS if step == LISTING_STEP)
+#: SQL condition under which a teardown ends at the listing.
+_ABORTED = f"((`ok` & {1 << LISTING_BIT}L) <> 0 AND {_runs(_LISTING_GUARD)})"
+
+
+def aborted() -> Column:
+    """Whether the teardown ended at the listing of interfaces, over the
+    columns of :func:`teardown_masks`."""
+    return F.expr(_ABORTED)
+
+
+def _removed_sql(before: int | None = None) -> str:
+    """Bits of the keys that successful steps delete, or those ``before`` a step."""
     terms = []
     for step, guard, removes, _ in TEARDOWN_STEPS:
+        if before is not None and step >= before:
+            continue
         runs = f"({_runs(guard)} AND (`ok` & {1 << step}L) <> 0)"
         for j in range(len(removes)):
             bit = 1 << KEY_BIT[removes[j]]
@@ -138,9 +178,16 @@ def removed_mask() -> Column:
     return F.expr(_REMOVED)
 
 
-_PLAN_STEPS = "array_compact(array(" + ", ".join(
-    f"CASE WHEN {_runs(g)} THEN {struct_sql({'step': str(st), 'action': sql_literal(a)})} END"
-    for st, g, _, a in TEARDOWN_STEPS) + "))"
+def _plan_sql(ran: bool = False) -> str:
+    """Steps whose guard holds; ``ran``: without those after an abort."""
+    rows = []
+    for st, g, _, a in TEARDOWN_STEPS:
+        after = f" AND NOT {_ABORTED}" if ran and st > LISTING_STEP else ""
+        rows.append(f"CASE WHEN {_runs(g)}{after} THEN {struct_sql({'step': str(st), 'action': sql_literal(a)})} END")
+    return "array_compact(array(" + ", ".join(rows) + "))"
+
+
+_PLAN_STEPS = _plan_sql()
 
 
 # -- D3, D4, D5 -------------------------------------------------------------------------
@@ -153,11 +200,32 @@ def teardown_plan(state_entries: DataFrame) -> DataFrame:
     return m.select("deployment_id", F.inline(F.expr(_PLAN_STEPS)))
 
 
+def steps_run(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """D3 with outcomes: the steps that the teardown came to. Where the listing
+    of interfaces failed, its step is the last."""
+    m = teardown_masks(state_entries, outcomes)
+    return m.select("deployment_id", F.inline(F.expr(_plan_sql(ran=True))))
+
+
+def stale_keys(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``(deployment_id, state_key)``: keys that a teardown which ended at the
+    listing still records, since it saved nothing, though steps before the
+    listing had deleted what they name."""
+    m = teardown_masks(state_entries, outcomes).where(aborted())
+    gone = m.select("deployment_id", F.expr(_removed_sql(before=LISTING_STEP)).alias("gone"))
+    names = "array_compact(array(" + ", ".join(
+        f"CASE WHEN (`gone` & {1 << i}L) <> 0 THEN {sql_literal(k)} END" for k, i in KEY_BIT.items()) + "))"
+    return gone.select("deployment_id", F.explode(F.expr(names)).alias("state_key"))
+
+
 def teardown_result(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Per deployment: masks plus ``removed`` and ``left`` (present and not
-    removed)."""
+    removed). A teardown that ended at the listing of interfaces saved
+    nothing: the record is still the input record, so nothing is removed."""
     m = teardown_masks(state_entries, outcomes)
     removed = removed_mask()
+    if "listing_ok" in outcomes.columns:
+        removed = F.when(aborted(), F.lit(0).cast("bigint")).otherwise(removed)
     return (m.withColumn("removed", removed)
             .withColumn("left", F.col("present").bitwiseAND(F.bitwise_not(F.col("removed")))))
 

@@ -152,6 +152,18 @@ def q_b15(spark, d):
     return B.attach_addresses(inst, fx.observed_addresses(spark, d))
 
 
+@register("b15_attach_addresses_as_of")
+def q_b15_as_of(spark, d):
+    """Machines observed several times, as of the first day of 1998."""
+    as_of = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    return B.attach_addresses(B.expand_instances(_acc(spark, d)), fx.observed_history(spark, d), as_of)
+
+
+@register("b15_attach_addresses_newest")
+def q_b15_newest(spark, d):
+    return B.attach_addresses(B.expand_instances(_acc(spark, d)), fx.observed_history(spark, d))
+
+
 @register("b16_deployment_stamp")
 def q_b16(spark, d):
     return B.deployment_stamp(_acc(spark, d))
@@ -354,12 +366,20 @@ def q_d2(spark, d):
     return D.instances_to_terminate(fx.state_entries(spark, d))
 
 
+def _cut_lists(spark, d):
+    """State with every 97th deployment's values cut off at the end."""
+    cut = F.expr("CASE WHEN deployment_id % 97 = 0 THEN left(state_value, length(state_value) - 1) ELSE state_value END")
+    return fx.state_entries(spark, d).withColumn("state_value", cut)
+
+
 @register("d2_malformed_lists")
 def q_d2_malformed(spark, d):
-    """With every 97th deployment's lists cut off at the end."""
-    st = fx.state_entries(spark, d)
-    cut = F.expr("CASE WHEN deployment_id % 97 = 0 THEN left(state_value, length(state_value) - 1) ELSE state_value END")
-    return D.malformed_lists(st.withColumn("state_value", cut))
+    return D.malformed_lists(_cut_lists(spark, d))
+
+
+@register("d2_instances_or_errors")
+def q_d2_errors(spark, d):
+    return D.instances_or_errors(_cut_lists(spark, d))
 
 
 @register("d3_teardown_plan")
@@ -387,6 +407,28 @@ def q_d5_res(spark, d):
     return D.leak_counts(D.residual_state(fx.state_entries(spark, d), fx.teardown_outcomes(spark, d)))
 
 
+# The same where the listing of interfaces fails for some deployments.
+
+@register("d3_steps_run")
+def q_d3_run(spark, d):
+    return D.steps_run(fx.state_entries(spark, d), fx.teardown_outcomes_listing(spark, d))
+
+
+@register("d4_residual_state_aborted")
+def q_d4_aborted(spark, d):
+    return D.residual_state(fx.state_entries(spark, d), fx.teardown_outcomes_listing(spark, d))
+
+
+@register("d5_leaks_aborted")
+def q_d5_aborted(spark, d):
+    return D.leaks(fx.state_entries(spark, d), fx.teardown_outcomes_listing(spark, d)).drop("leaked_keys")
+
+
+@register("d5_stale_keys")
+def q_d5_stale(spark, d):
+    return D.stale_keys(fx.state_entries(spark, d), fx.teardown_outcomes_listing(spark, d))
+
+
 @register("d6_effective_state")
 def q_d6(spark, d):
     memory = D.planned_state(_acc(spark, d).where(F.col("config_phase")))
@@ -560,6 +602,13 @@ def q_a2_emptied(spark, d):
     return _after_teardown(spark, d, fx.teardown_outcomes(spark, d).withColumn("ok", F.lit(True)))
 
 
+@register("a2_state_after_abort")
+def q_a2_abort(spark, d):
+    """The same where some teardowns end at the listing of interfaces and
+    save nothing."""
+    return _after_teardown(spark, d, fx.teardown_outcomes_listing(spark, d))
+
+
 @register("a1_latest_snapshot")
 def q_a1_latest(spark, d):
     """A full snapshot, then one of every other deployment after teardown."""

@@ -505,6 +505,20 @@ select i.deployment_id, i.launch_pos, tier, cast(idx as int) as idx, i.private_i
 from inst6 i left join observed_addresses o
   on o.deployment_id = i.deployment_id and o.launch_pos = i.launch_pos""")
 
+_OBSERVED = """
+with seen as (
+  select o.deployment_id, launch_pos, public_ip || k as public_ip, private_ip, k,
+         requested_at + to_days(30 * least(k, 2)) as observed_at
+  from observed_addresses o join deployment_requests using (deployment_id), range(4) t(k)),
+newest as (
+  select * from seen {where}
+  qualify row_number() over (partition by deployment_id, launch_pos order by observed_at desc, public_ip desc) = 1)
+select i.deployment_id, i.launch_pos, tier, cast(idx as int) as idx, i.private_ip, o.public_ip,
+       o.private_ip as observed_private_ip
+from inst6 i left join newest o on o.deployment_id = i.deployment_id and o.launch_pos = i.launch_pos"""
+_add("b15_attach_addresses_as_of", _OBSERVED.format(where="where observed_at <= timestamp '1998-01-01'"))
+_add("b15_attach_addresses_newest", _OBSERVED.format(where=""))
+
 _add("b16_deployment_stamp", """
 select deployment_id, strftime(requested_at, '%d-%m-%y-%Hh%M') as stamp from acc""")
 
@@ -706,6 +720,21 @@ _add("d5_leaks_top", "select deployment_id, leaked from leaked order by leaked d
 
 _add("d5_leak_counts_from_residual", "select deployment_id, leaked from leaked")
 
+# Teardowns that end at the listing of interfaces (step 9): the record stays
+# as it was, and steps after it do not run.
+_NO_LISTING = "select deployment_id from state_entries where state_key = 'lb_security_group_id' and deployment_id % 11 = 0"
+_ABORTED = {"removed": HELPER_CTES["removed"].replace(
+    "where g.first_gap is null or m.rpos < g.first_gap",
+    f"where (g.first_gap is null or m.rpos < g.first_gap) and r.deployment_id not in ({_NO_LISTING})")}
+VARIANTS["d4_residual_state_aborted"] = ("d4_residual_state", _ABORTED)
+VARIANTS["d5_leaks_aborted"] = ("d5_leaks", _ABORTED)
+
+_add("d3_steps_run", f"select * from plan where step <= 9 or deployment_id not in ({_NO_LISTING})")
+
+_add("d5_stale_keys", f"""
+select r.deployment_id, r.key as state_key from removed r join removes s on s.key = r.key
+where s.step < 9 and r.deployment_id in ({_NO_LISTING})""")
+
 _add("d6_effective_state", """
 select deployment_id, state_key, state_value from memory
 union all
@@ -817,6 +846,14 @@ select deployment_id,
        max(json_extract_string(case when state_key = 'cws1_instances_ids' then state_value end, '$[0]')) as first_cws1
 from state_entries group by deployment_id""")
 
+_add("d2_instances_or_errors", """
+select deployment_id, step, pos, case when step = 4 and deployment_id % 97 = 0 then left(instance_id, length(instance_id) - 1) else instance_id end
+         as instance_id, null::varchar as error
+from term_ids where step = 4 or deployment_id % 97 <> 0
+union all
+select deployment_id, case state_key when 'worker_instances_ids' then 1 when 'cws1_instances_ids' then 2 else 3 end, null, null, 'malformed list'
+from state_entries where state_key in ('worker_instances_ids', 'cws1_instances_ids', 'cws2_instances_ids') and deployment_id % 97 = 0""")
+
 _add("d2_malformed_lists", """
 select deployment_id, state_key from (
   select deployment_id, state_key,
@@ -910,6 +947,7 @@ select ids.deployment_id,
 from ids left join residual e on e.deployment_id = ids.deployment_id left join k on k.key = e.state_key
 group by ids.deployment_id""")
 
+VARIANTS["a2_state_after_abort"] = ("a2_state_after_teardown_all", _ABORTED)
 VARIANTS["a2_state_emptied"] = ("a2_state_after_teardown_all", {
     "teardown_outcomes": FIXTURE_CTES["teardown_outcomes"].replace("(o_custkey + step) % 4 <> 0 as ok", "true as ok")})
 

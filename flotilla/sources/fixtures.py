@@ -155,6 +155,23 @@ def observed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def teardown_outcomes_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes with ``listing_ok``: every eleventh deployment could not
+    list its network interfaces."""
+    step = F.col("step")
+    return teardown_outcomes(spark, sf_dir).withColumn("listing_ok", F.when(step == 9, F.col("deployment_id") % 11 != 0))
+
+
+def observed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machines observed three times, thirty days apart, and once more at the
+    last of these times; the addresses change."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").withColumnsRenamed({"o_orderkey": "deployment_id"})
+    seen = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(min(k, 2)).alias("time")) for k in range(4)])
+    obs = observed_addresses(spark, sf_dir).join(o, "deployment_id").withColumn("s", F.explode(seen))
+    at = F.col("o_orderdate") + F.expr("make_dt_interval(30 * s.time)")
+    return obs.select("deployment_id", "launch_pos", F.concat("public_ip", _s(F.col("s.k"))).alias("public_ip"), "private_ip", at.alias("observed_at"))
+
+
 def interface_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two group ids per part; the SQL's UNION removes the copy when both are
     equal. ``p_partkey`` is the key of ``part``, so duplicates can only come

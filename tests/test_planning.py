@@ -112,3 +112,23 @@ def test_attach_addresses_keeps_unobserved(spark):
     a = B.attach_addresses(B.expand_instances(r), obs)
     assert a.count() == 6
     assert rows(a.where("public_ip is not null"), "launch_pos") == [(0,)]
+
+
+def test_machines_observed_several_times_stay_one_row(spark):
+    from pyspark.sql import functions as F
+    inst = B.expand_instances(requests_df(spark, request(spark, nb_cws=2, workers=0)))
+    machines = inst.count()
+    seen = spark.createDataFrame([(1, 0, "1.1.1.1", "a"), (1, 0, "1.1.1.2", "b"), (1, 0, "1.1.1.2", "b"), (1, 9, "x", "y")],
+                                 "deployment_id bigint, launch_pos int, public_ip string, private_ip string")
+    got = {p: (pub, prv) for p, pub, prv in rows(B.attach_addresses(inst, seen), "launch_pos", "public_ip", "observed_private_ip")}
+    assert len(got) == machines and got[0] == ("1.1.1.2", "b") and got[1] == (None, None)
+    at = "2024-01-0{} 00:00:00".format
+    told = spark.createDataFrame([(1, 0, "old", "a", at(1)), (1, 0, "new", "b", at(3)), (1, 0, "later", "c", at(5)), (1, 1, "late", "d", at(5)),
+                                  (1, 2, None, None, at(2)), (1, 2, "early", "e", at(1))],
+                                 "deployment_id bigint, launch_pos int, public_ip string, private_ip string, observed_at string")
+    told = told.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    as_of = F.lit(at(3)).cast("timestamp_ntz")
+    df = B.attach_addresses(inst, told, as_of)
+    got = {p: pub for p, pub in rows(df, "launch_pos", "public_ip")}
+    assert df.count() == machines and got == {0: "new", 1: None, 2: None}
+    assert {p: pub for p, pub in rows(B.attach_addresses(inst, told), "launch_pos", "public_ip")} == {0: "later", 1: "late", 2: None}

@@ -2,11 +2,12 @@
 teardown written from the step table (brute force), plus the traps."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from helpers import SF_SMALL, rows
-from flotilla.constants import TEARDOWN_STEPS
+from flotilla.constants import STATE_KEY_NAMES, TEARDOWN_STEPS, TERMINATE_KEYS
 from flotilla.operators import state as D
 from flotilla.schemas import STATE_ENTRIES, TEARDOWN_OUTCOMES
 from flotilla.sources import fixtures as fx
@@ -158,3 +159,61 @@ def test_records_after_teardown_cover_every_deployment(spark):
     gone = {r.deployment_id: r.json for r in QUERIES["a2_state_emptied"](spark, SF_SMALL).collect()}
     assert left.keys() == gone.keys() == ids
     assert any('"vpc_id"' in j for j in left.values()) and any(j.endswith('"state":{}}') for j in gone.values())
+
+
+# -- a teardown that ends at the listing of interfaces --------------------------------
+
+LISTED = "deployment_id bigint, step int, ok boolean, listing_ok boolean"
+
+
+def brute_aborting(state: dict, ok: dict, listing_ok: bool):
+    """Step after step as the tool does it: (steps run, record saved, keys whose resource went without the record showing it)."""
+    record, ran = dict(state), []
+    queued = any(k in record and (not lst or json.loads(record[k])) for _, k, lst in TERMINATE_KEYS)
+    for step, guard, removes, _ in TEARDOWN_STEPS:
+        if not (queued if guard is None else all(k in state for k in guard)):
+            continue
+        ran.append(step)
+        if step == 9 and not listing_ok:
+            return ran, dict(state), sorted(set(state) - set(record))
+        if ok.get(step):
+            for k in removes:
+                if k not in record:
+                    break
+                del record[k]
+    return ran, record, []
+
+
+def test_aborted_teardowns_match_brute_force(spark):
+    r = random.Random(4)
+    records = {d: {k: '["i"]' if k in D.LIST_KEYS else f"{k}-{d}" for k in STATE_KEY_NAMES if r.random() < 0.8} for d in range(40)}
+    oks = {d: {s: r.random() < 0.7 for s in range(1, 20)} for d in records}
+    listed = {d: r.random() < 0.5 for d in records}
+    st = spark.createDataFrame([(d, k, v) for d, rec in records.items() for k, v in rec.items()], "deployment_id bigint, state_key string, state_value string")
+    oc = spark.createDataFrame([(d, s, ok, listed[d] if s == 9 else None) for d, o in oks.items() for s, ok in o.items()], LISTED)
+    want = {d: brute_aborting(records[d], oks[d], listed[d]) for d in records}
+    assert sorted(rows(D.steps_run(st, oc), "deployment_id", "step")) == sorted((d, s) for d, w in want.items() for s in w[0])
+    assert sorted(rows(D.residual_state(st, oc))) == sorted((d, k, v) for d, w in want.items() for k, v in w[1].items())
+    assert sorted(rows(D.stale_keys(st, oc))) == sorted((d, k) for d, w in want.items() for k in w[2])
+    assert any(w[2] for w in want.values()) and any(9 in w[0] and len(w[0]) > w[0].index(9) + 1 for w in want.values())
+
+
+def test_listing_that_is_not_told_is_fine(spark):
+    st = spark.createDataFrame([(1, "lb_security_group_id", "g"), (1, "vpc_id", "v")], "deployment_id bigint, state_key string, state_value string")
+    oc = spark.createDataFrame([(1, 9, True, None), (1, 18, True, None)], LISTED)
+    assert rows(D.residual_state(st, oc)) == [] and rows(D.stale_keys(st, oc)) == []
+    assert rows(D.residual_state(st, oc.drop("listing_ok"))) == []
+
+
+def test_listing_fails_only_where_there_is_a_group(spark):
+    st = spark.createDataFrame([(1, "vpc_id", "v")], "deployment_id bigint, state_key string, state_value string")
+    oc = spark.createDataFrame([(1, 9, False, False), (1, 18, True, None)], LISTED)
+    assert rows(D.residual_state(st, oc)) == []
+    assert rows(D.steps_run(st, oc), "step") == [(18,)]
+
+
+def test_malformed_lists_are_rows_of_their_deployment(spark):
+    st = spark.createDataFrame([(1, "worker_instances_ids", '["a","b"'), (1, "main_instance_id", "m"), (2, "cws1_instances_ids", '["c","d"]'),
+                                (3, "cws2_instances_ids", None), (4, "worker_instances_ids", "[]")], "deployment_id bigint, state_key string, state_value string")
+    got = sorted(rows(D.instances_or_errors(st)), key=repr)
+    assert got == sorted([(1, 1, None, None, "malformed list"), (1, 4, 0, "m", None), (2, 2, 0, "c", None), (2, 2, 1, "d", None)], key=repr)
