@@ -20,7 +20,7 @@ from ..operators import logs as E
 from ..operators import state as D
 from ..streaming import logs as S
 from ..streaming import records as SR
-from ..schemas import LOG_LINES
+from ..schemas import LOG_LINES, LOG_RECORDS
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import log_files as LF
@@ -544,6 +544,37 @@ def q_e5_stream(spark, d):
     return S.latest_counts(spark, S.run_updates_to_parquet(S.status_count_stream(spark, d), spark, "e5-stream"))
 
 
+WINDOW, DELAY = "1 day", "2 days"
+
+
+def _record_batches(spark, d, start, out: str) -> str:
+    """Log records arrive in slices of eight days, every fiftieth a slice
+    late; each slice goes through a stream started anew from its checkpoint."""
+    recs = fx.log_records(spark, d)
+    first = recs.agg(F.min("ts")).first()[0]
+    day = F.datediff(F.col("ts"), F.lit(first).cast("date"))
+    slice_no = (day / 8).cast("int")
+    batch = F.when(F.col("seq") % 50 == 7, F.least(F.lit(3), slice_no + 1)).otherwise(slice_no)
+    base = scratch_path(spark, out)
+    for k in range(4):
+        recs.where(batch == k).write.mode("append").parquet(f"{base}/records")
+        stream = spark.readStream.schema(LOG_RECORDS).parquet(f"{base}/records")
+        start(stream, f"{base}/out", f"{base}/checkpoint", WINDOW, DELAY).awaitTermination()
+    return f"{base}/out"
+
+
+@register("e5_window_counts_stream")
+def q_e5_windows(spark, d):
+    out = spark.read.parquet(_record_batches(spark, d, S.start_window_counts, "e5-windows"))
+    return out.withColumn("window_start", E.ts_text(F.col("window_start")))
+
+
+@register("e5_late_window_counts")
+def q_e5_late(spark, d):
+    out = S.late_window_counts(spark, _record_batches(spark, d, S.start_late_counts, "e5-late"))
+    return out.withColumn("window_start", E.ts_text(F.col("window_start")))
+
+
 @register("e4_parse_log_stream")
 def q_e4_stream(spark, d):
     out = S.run_to_parquet(S.parsed_log_stream(spark, d), spark, "e4-stream")

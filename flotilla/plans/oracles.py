@@ -838,6 +838,23 @@ from log_records group by deployment_id""")
 
 _add("a1_state_files", "select 'd' || deployment_id as id, state_key, state_value from memory")
 
+_ARRIVED = """
+with first as (select cast(min(ts) as date) as d0 from log_records),
+sliced as (select l.*, (cast(ts as date) - d0) // 8 as slice, time_bucket(interval 1 day, ts) as w from log_records l, first),
+arrived as (select *, case when seq % 50 = 7 then least(3, slice + 1) else slice end as batch from sliced),
+marks as (
+  select batch, max(max(ts)) over (order by batch rows between unbounded preceding and 1 preceding) - interval 2 day as mark
+  from arrived group by batch),
+told as (select a.*, coalesce(w + interval 1 day <= mark, false) as late from arrived a join marks using (batch))"""
+_add("e5_window_counts_stream", _ARRIVED + """
+select deployment_id, strftime(w, '%Y-%m-%d %H:%M:%S.%f') as window_start,
+       count(*) filter (where status = 'info') as info, count(*) filter (where status = 'success') as success,
+       count(*) filter (where status = 'warning') as warning, count(*) filter (where status = 'danger') as danger,
+       count(*) filter (where status = 'critical') as critical
+from told where not late and w + interval 1 day <= (select max(ts) - interval 2 day from log_records) group by deployment_id, w""")
+_add("e5_late_window_counts", _ARRIVED + """
+select deployment_id, strftime(w, '%Y-%m-%d %H:%M:%S.%f') as window_start, count(*) as late from told where late group by deployment_id, w""")
+
 _add("a1_state_records", """
 select deployment_id,
        max(state_value) filter (where state_key = 'vpc_id') as vpc_id,
