@@ -103,13 +103,90 @@ def is_json_string(value_json: Column) -> Column:
     return value_json.startswith('"')
 
 
+def py_int_text(digits: Column) -> Column:
+    """A decimal integer as Python prints it: no plus, no leading zeros."""
+    bare = F.regexp_replace(F.regexp_replace(digits, "[\\s_+-]", ""), "^0+(?=[0-9])", "")
+    return F.when(F.trim(digits).startswith("-") & (bare != "0"), F.concat(F.lit("-"), bare)).otherwise(bare)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used
+    (the one element of an array that is transformed)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def py_float_text(value: Column) -> Column:
+    """A double as Python prints it: the fewest digits that give the same
+    double, positional for exponents from -4 to 15, else scientific. Of several
+    such forms Python takes the nearest; here, seldom, a last digit may differ."""
+    def shortest(v: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(0), F.lit(16)),
+                            lambda p: F.call_function("format_string", F.concat(F.lit("%."), p.cast("string"), F.lit("e")), v))
+        return F.get(F.filter(tries, lambda t: t.try_cast("double") == v), 0)
+
+    def printed(scientific: Column) -> Column:  # Python's own form but for plain exponents
+        exponent = F.substring_index(scientific, "e", -1).try_cast("int")
+        digits = F.regexp_replace(F.substring_index(scientific, "e", 1), "[-.]", "")
+        places = F.length(digits)
+        plain = (F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
+                 .when(exponent >= places - 1, F.concat(digits, F.repeat(F.lit("0"), exponent - places + 1), F.lit(".0")))
+                 .otherwise(F.concat(F.left(digits, exponent + 1), F.lit("."), F.substr(digits, exponent + 2))))
+        sign = F.when(scientific.startswith("-"), "-").otherwise("")
+        return F.when(exponent.between(-4, 15), F.concat(sign, plain)).otherwise(scientific)
+
+    return bound(value.cast("double"), lambda v: F.when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+                 .otherwise(bound(shortest(v), printed)))
+
+
+def py_string_repr(value: Column) -> Column:
+    """``repr`` of a string: the quote it does not hold (single if it holds
+    both or none), escapes for backslashes, that quote and control characters.
+    Characters beyond Latin-1 are printed as they are."""
+    def printed(v: Column) -> Column:
+        single = ~(v.contains("'") & ~v.contains('"'))
+        out = F.replace(v, F.lit("\\"), F.lit("\\\\"))
+        out = F.replace(out, F.lit("'"), F.when(single, "\\'").otherwise("'"))
+        for char, letter in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+            out = F.replace(out, F.lit(char), F.lit("\\" + letter))
+        quote = F.when(single, "'").otherwise('"')
+        return F.concat(quote, bound(out, plain), quote)
+
+    def plain(o: Column) -> Column:
+        odd = F.transform(F.split(o, ""), lambda c: F.when(c.rlike(ODD_CHAR), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c))
+        return F.when(o.rlike(ODD_CHAR), F.array_join(odd, "")).otherwise(o)
+
+    return bound(value, printed)
+
+
+ODD_CHAR = "[\\x00-\\x1f\\x7f-\\xa0\\xad]"
+#: Tokens of JSON text without space between them.
+JSON_TOKEN = r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null|[\[\]{},:])'
+
+
+def _py_number(text: Column) -> Column:
+    return F.when(text.rlike(INT_JSON), py_int_text(text)).otherwise(py_float_text(text.try_cast("double")))
+
+
+def py_repr(value_json: Column) -> Column:
+    """``str`` of a list or object given as JSON on one line (its members are
+    printed by ``repr``): token by token, however deep it goes."""
+    def token(t: Column) -> Column:
+        return (F.when(t.startswith('"'), py_string_repr(json_decode_text(t)))
+                .when(t == ",", ", ").when(t == ":", ": ")
+                .when(t == "null", "None").when(t == "true", "True").when(t == "false", "False")
+                .when(t.rlike("^[-0-9]"), _py_number(t)).otherwise(t))
+    return F.array_join(F.transform(F.regexp_extract_all(value_json, F.lit(JSON_TOKEN), F.lit(1)), token), "")
+
+
 def py_str(value_json: Column) -> Column:
-    """``str(value)`` of a decoded JSON scalar as Python prints it, used when
+    """``str(value)`` of a decoded JSON value as Python prints it, used when
     a value is formatted into text (the database URL)."""
+    odd = bound(value_json, lambda v: F.when(v.rlike("^[\\[{]"), py_repr(v)).otherwise(_py_number(v)))
     return (F.when(value_json == "null", F.lit("None"))
             .when(value_json == "true", F.lit("True"))
             .when(value_json == "false", F.lit("False"))
-            .otherwise(json_decode_text(value_json)))
+            .when(is_json_string(value_json), json_decode_text(value_json))
+            .otherwise(odd))
 
 
 def strict_bool(value_json: Column) -> Column:
@@ -143,6 +220,28 @@ def config_int_error(value_json: Column) -> Column:
     return config_int(value_json).isNull()
 
 
+#: Doubles from here on are not turned into integers (their digits would pass a decimal's 38).
+LARGEST_FLOAT_INT = 2.0 ** 125
+
+
+def config_int_text(value_json: Column) -> Column:
+    """``int(value)`` of any length as decimal text (C4): like
+    :func:`config_int`, but integers may be as long as they like, and a
+    fraction is cut from doubles of up to 2**125 exactly. Null where ``int``
+    fails."""
+    decoded = json_decode_text(value_json)
+    whole = value_json.try_cast("double")
+    whole = F.when(F.abs(whole) < LARGEST_FLOAT_INT, whole)
+    # Exact: a double's multiple of 2**62, and the rest below that.
+    high = (whole / float(1 << 62)).cast("bigint")
+    low = (whole - high.cast("double") * float(1 << 62)).cast("bigint")
+    cut = (high.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("string")
+    return (F.when(value_json == "true", "1").when(value_json == "false", "0")
+            .when(is_json_string(value_json), F.when(decoded.rlike(INT_TEXT), py_int_text(decoded)))
+            .when(value_json.rlike(INT_JSON), py_int_text(value_json))
+            .when(value_json.rlike(FLOAT_JSON), cut))
+
+
 # -- constant tables as one SQL expression -------------------------------------------
 #
 # Lookups over the fixed tables (40 configuration keys, 27 state keys, ...)

@@ -32,7 +32,7 @@ from ..constants import (
     CONFIG_KEYS, DATABASE_URL_PARTS, FORCED_ADMIN_LISTEN_PORT, FORCED_CONFIG_KEYS, FORCED_NUM_PROXIES, MASK,
     MASKED_KEYS, RANKING_BIND_ADDRESS, RANKING_FIELDS, REQUIRED_CONFIG_KEYS, SECRET_KEYS,
 )
-from ..functions.columns import case_lookup, config_int, json_string, json_value, py_str, sql_literal, strict_bool, struct_sql
+from ..functions.columns import bound, case_lookup, config_int_text, json_string, json_value, py_str, sql_literal, strict_bool, struct_sql
 from . import planning as B
 
 KNOWN_KEYS = [k for k, _, _ in CONFIG_KEYS]
@@ -227,9 +227,9 @@ def fill_defaults(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 def typed_value(kind: Column, value: Column) -> Column:
     """C3/C4 applied by kind, as JSON text: booleans are strict, integers go
-    through ``int()`` semantics (null when malformed)."""
+    through ``int()`` semantics, whatever their length (null when malformed)."""
     return (F.when(kind == "bool", F.when(strict_bool(value), "true").otherwise("false"))
-            .when(kind == "int", config_int(value).cast("string"))
+            .when(kind == "int", config_int_text(value))
             .otherwise(value))
 
 
@@ -347,10 +347,9 @@ def config_entries(requests: DataFrame, overrides: DataFrame, mask: bool = True)
 def _entries(scoped: DataFrame, facts: DataFrame, mask: bool) -> DataFrame:
     rows = scoped.select("deployment_id", "key", _lookup("key", KIND_OF).alias("kind"), "value",
                          F.lit(True).alias("present"))
-    url = _database_url_expr(mask)
-    db = F.when(url.isNotNull(), F.array(F.struct(
-        F.lit("database").alias("key"), F.lit("raw").alias("kind"), json_string(url).alias("value")))
-    ).otherwise(F.array().cast("array<struct<key:string,kind:string,value:string>>"))
+    db = bound(_database_url_expr(mask), lambda u: F.struct(
+        F.lit("database").alias("key"), F.lit("raw").alias("kind"), F.when(u.isNotNull(), json_string(u)).alias("value")))
+    db = F.filter(F.array(db), lambda x: x["value"].isNotNull())
     gen = (config_parts(facts, keep=("present",))
            .select("deployment_id", F.inline(F.concat(_absent_defaults("present"), db)))
            .select("deployment_id", "key", "kind", "value", F.lit(False).alias("present")))
@@ -428,13 +427,11 @@ def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = Tru
     parts = config_parts(agg, keep=("present", "items", "row_error", *COUNTS))
     forced = F.array(*[F.struct(F.lit(k).alias("key"), F.concat(F.lit(f'"{k}":'), v).alias("frag"))
                        for k, v in _forced_values().items()])
-    url = _database_url_expr(mask)
-    db = F.when(url.isNotNull(), F.array(F.struct(F.lit("database").alias("key"),
-                                                  F.concat(F.lit('"database":'), json_string(url)).alias("frag"))))
-    items = F.sort_array(F.concat(F.col("items"), forced, F.expr(_DEFAULT_FRAGMENTS),
-                                  F.coalesce(db, F.array().cast("array<struct<key:string,frag:string>>"))))
+    db = bound(_database_url_expr(mask), lambda u: F.struct(
+        F.lit("database").alias("key"), F.concat(F.lit('"database":'), F.when(u.isNotNull(), json_string(u))).alias("frag")))
+    items = F.sort_array(F.concat(F.col("items"), forced, F.expr(_DEFAULT_FRAGMENTS), F.filter(F.array(db), lambda x: x["frag"].isNotNull())))
     # A key is written once: of repeated rows the last in order of their text.
-    items = F.filter(items, lambda x, i: (i == F.size(items) - 1) | (F.get(items, i + 1)["key"] != x["key"]))
+    items = bound(items, lambda a: F.filter(a, lambda x, i: (i == F.size(a) - 1) | (F.get(a, i + 1)["key"] != x["key"])))
     missing = F.col("present").bitwiseAND(F.lit(_REQUIRED_MASK)) != F.lit(_REQUIRED_MASK)
     err = F.when(missing, F.lit(MISSING_REQUIRED)).otherwise(F.col("row_error"))
     doc = F.concat(F.lit("{"), F.array_join(items["frag"], ","), F.lit("}"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import config_int, strict_bool
+from ..functions.columns import config_int, config_int_text, strict_bool
 from ..operators import changes as G
 from ..operators import config as C
 from ..operators import planning as B
@@ -343,6 +343,20 @@ def q_c9_document_repeated(spark, d):
     return docs.select("deployment_id", "document", "error")
 
 
+@register("c4_config_int_text")
+def q_c4_text(spark, d):
+    """Integers of any length."""
+    f = _filled(spark, d, fx.config_overrides_parts).where(F.col("kind") == "int")
+    v = config_int_text(F.col("value"))
+    return f.select("deployment_id", "key", v.alias("value"), v.isNull().alias("error"))
+
+
+@register("c7_database_url_parts")
+def q_c7_parts(spark, d):
+    """URL parts that are numbers, lists and objects, printed as Python does."""
+    return C.database_url(_parts(spark, d, fx.config_overrides_parts))
+
+
 @register("c7_database_url_unmasked")
 def q_c7_unmasked(spark, d):
     return C.database_url(_parts(spark, d), mask=False)

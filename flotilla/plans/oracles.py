@@ -686,6 +686,23 @@ select deployment_id, json_valid(document) as parses, cast(len(json_keys(documen
        try_cast(json_extract_string(document, '$.paper_size.h.mm') as double) as mm
 from docs""")
 
+_add("c4_config_int_text", """
+select deployment_id, key, v as value, v is null as error from (
+  select f.deployment_id, f.key,
+         case when f.key = 'max_file_size' then case f.deployment_id % 5 when 0 then '123456789012345678901234567890'
+                when 1 then '-98765432109876543210' when 2 then '150000000000000000000' when 4 then '10240' end
+              else cast(i.n as varchar) end as v
+  from filled f left join ints i on i.deployment_id = f.deployment_id and i.key = f.key where f.kind = 'int')""")
+
+_add("c7_database_url_parts", """
+select deployment_id, 'postgresql+psycopg2://'
+       || case deployment_id % 4 when 0 then '[1, ''a'', None, [2.5, True]]' when 1 then '{''b'': {''x'': []}, ''u'': "it''s"}'
+          when 2 then 'cmsuser' else '1e+16' end
+       || ':' || case when db_passwd is not null then '********' end || '@'
+       || case deployment_id % 2 when 0 then 'h\\x' else '[''h\\n'', ''q"u\\''s'']' end || ':'
+       || case deployment_id % 3 when 0 then '5432.5' when 1 then '123456789012345678901234567890' else '5432' end || '/cmsdb' as database
+from parts""")
+
 _add("c10_generated_secrets", """
 select a.deployment_id, k.key
 from acc a cross join (values ('secret_key'), ('rankings_passwd')) k(key)

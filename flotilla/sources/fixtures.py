@@ -107,6 +107,25 @@ def config_overrides_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_overrides(spark, sf_dir).withColumn("value_json", F.expr(_NESTED_VALUE))
 
 
+#: Parts of the database URL that are no strings, by deployment; long integers.
+_PART_VALUES = r"""array(
+  named_struct('key', 'db_user', 'v', CASE deployment_id % 4 WHEN 0 THEN '[1, "a", null, [2.50, true]]'
+    WHEN 1 THEN '{"u": "it\'s", "b": {"x": []}}' WHEN 3 THEN '1e16' END),
+  named_struct('key', 'db_port', 'v', CASE deployment_id % 3 WHEN 0 THEN '5432.50' WHEN 1 THEN '123456789012345678901234567890' END),
+  named_struct('key', 'db_host', 'v', CASE deployment_id % 2 WHEN 0 THEN '"h\\\\x"' ELSE '["h\\n", "q\\"u\'s"]' END),
+  named_struct('key', 'max_file_size', 'v', CASE deployment_id % 5 WHEN 0 THEN '" +00123_456_789_012_345_678_901_234_567_890 "'
+    WHEN 1 THEN '-98765432109876543210' WHEN 2 THEN '1.5e20' WHEN 3 THEN '"1__0"' END))"""
+
+
+def config_overrides_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overrides with URL parts that are numbers, lists and objects, and
+    integers beyond 64 bits."""
+    o = table(spark, sf_dir, "orders", "o_orderkey").withColumnsRenamed({"o_orderkey": "deployment_id"})
+    parts = o.select("deployment_id", F.inline(F.expr(f"filter({_PART_VALUES}, p -> p.v IS NOT NULL)")))
+    rest = config_overrides(spark, sf_dir).where("key <> 'max_file_size'").withColumn("value_json", F.lit(None).cast("string"))
+    return rest.unionByName(parts.select("deployment_id", "key", F.lit(None).cast("string").alias("value"), F.col("v").alias("value_json")))
+
+
 def config_overrides_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every override set twice, first to something else."""
     ov = config_overrides(spark, sf_dir)

@@ -2,6 +2,7 @@
 conversion, required keys, forced keys, masking (SURVEY §2.4 traps)."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,43 @@ def test_last_setting_of_a_key_counts(spark):
     data = [(1, "a", None, 5), (1, "a", "x", 5), (1, "a", "z", 4), (1, "b", "y", 1), (1, "b", None, 2), (2, "a", "q", 1)]
     ov = spark.createDataFrame(data, "deployment_id bigint, key string, value string, set_no bigint").repartition(4)
     assert sorted(rows(C.latest_overrides(ov), "deployment_id", "key", "value")) == [(1, "a", "x"), (1, "b", None), (2, "a", "q")]
+
+
+# -- Python's int() and str() --------------------------------------------------------
+
+PRINTED = ['1e3', '5e-7', '0.1', '1.0', '1e16', '123456789012345680.0', '1e22', '1.7976931348623157e308', '5e-324', '2e23', '9007199254740993.0',
+           '1e-5', '0.0001', '123456.789', '1E400', '-1e400', '-0.0', '-0', '0', '[1,"a",null]', '{"a":true,"b":"it\'s","c":[1.50,{"d":"q\\"u\'o\\n\\\\"}]}',
+           '"plain \'x\'"', '[]', '{}', '["\\u0001\\u007f\\u00a0 é漢\\t\\r"]', '[-12345678901234567890123,1e5,-2.5e-9,false]', 'true', 'false', 'null',
+           '123456789012345678901234567890', '[",:[]{}\\"true"]', '""', '[[["x"]]]', '1e125', '4.2e37', '-18446744073709551617.0']
+
+
+def test_values_print_as_python_prints_them(spark):
+    from pyspark.sql import functions as F
+    from flotilla.functions.columns import config_int_text, py_str
+    r = random.Random(3)
+    given = PRINTED + [f"{r.uniform(-1, 1) * 10 ** r.randrange(-20, 20):.12g}" for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in given], "v string")
+    for v, text, whole in df.select("v", py_str(F.col("v")), config_int_text(F.col("v"))).collect():
+        value = json.loads(v)
+        assert text == str(value), v
+        if isinstance(value, (int, float)) and abs(value) < 2 ** 125:
+            assert whole == str(int(value)), v
+
+
+def test_integers_of_any_length(spark):
+    from pyspark.sql import functions as F
+    from flotilla.functions.columns import config_int_text
+    good = ["12", " 12 ", "+0_1", "-007", "1_000", "9" * 400, "-" + "1" * 60, "0", "-0", "000"]
+    bad = ["", " ", "10.5", "1__0", "_1", "1_", "+-1", "x", "1 2", "0x10", "1e3"]
+    df = spark.createDataFrame([(json.dumps(v),) for v in good + bad], "v string")
+    got = {json.loads(v): w for v, w in df.select("v", config_int_text(F.col("v"))).collect()}
+    assert got == {**{v: str(int(v)) for v in good}, **dict.fromkeys(bad)}
+
+
+def test_long_integers_reach_the_document(spark):
+    r = requests_df(spark, request(spark))
+    ov = spark.createDataFrame([(1, "db_passwd", "p", None), (1, "max_file_size", None, "123456789012345678901234567890"), (1, "db_name", None, '["a", 1.0]')],
+                               "deployment_id bigint, key string, value string, value_json string")
+    (doc,), = rows(C.config_documents(r, ov, mask=False), "document")
+    assert json.loads(doc)["max_file_size"] == 123456789012345678901234567890
+    assert json.loads(doc)["database"].endswith("/['a', 1]")
