@@ -101,11 +101,15 @@ def _queued(key: Column, value: Column) -> Column:
             .otherwise(F.lit(False)))
 
 
-def teardown_masks(state_entries: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+def teardown_masks(state_entries: DataFrame, outcomes: DataFrame | None = None, copartitioned: bool = False) -> DataFrame:
     """``(deployment_id, present, queued, ok)`` per deployment with state:
     bit i of ``present`` for the i-th known key, ``queued`` when some
     machine id is waited on, bit s of ``ok`` when step s succeeded.
 
+    State and outcomes go through one aggregate, one exchange of partial
+    results. ``copartitioned`` inputs (``sources.buckets``) are aggregated each
+    where they lie and joined, without an exchange.
+
     ``outcomes`` may tell in a column ``listing_ok`` of the balancer group's
     step whether its interfaces could be listed. Where they could not, bit
     :data:`LISTING_BIT` of ``ok`` is set."""
@@ -123,6 +127,11 @@ def teardown_masks(state_entries: DataFrame, outcomes: DataFrame | None = None)
         oc = outcomes.select(
             "deployment_id", F.lit(0).cast("bigint").alias("present"), F.lit(False).alias("queued"),
             bits.cast("bigint").alias("ok"), F.lit(0).alias("has_state")).where(F.col("ok") != 0)
+        if copartitioned:
+            marks = st.groupBy("deployment_id").agg(F.bit_or("present").alias("present"), F.bool_or("queued").alias("queued"))
+            told = oc.groupBy("deployment_id").agg(F.bit_or("ok").alias("ok"))
+            return marks.join(told, "deployment_id", "left").select(
+                "deployment_id", "present", "queued", F.coalesce("ok", F.lit(0).cast("bigint")).alias("ok"))
         rows = st.unionByName(oc)
     return (rows.groupBy("deployment_id")
             .agg(F.bit_or("present").alias("present"), F.bool_or("queued").alias("queued"),
@@ -218,11 +227,11 @@ def stale_keys(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
     return gone.select("deployment_id", F.explode(F.expr(names)).alias("state_key"))
 
 
-def teardown_result(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+def teardown_result(state_entries: DataFrame, outcomes: DataFrame, copartitioned: bool = False) -> DataFrame:
     """Per deployment: masks plus ``removed`` and ``left`` (present and not
     removed). A teardown that ended at the listing of interfaces saved
     nothing: the record is still the input record, so nothing is removed."""
-    m = teardown_masks(state_entries, outcomes)
+    m = teardown_masks(state_entries, outcomes, copartitioned)
     removed = removed_mask()
     if "listing_ok" in outcomes.columns:
         removed = F.when(aborted(), F.lit(0).cast("bigint")).otherwise(removed)
@@ -230,11 +239,11 @@ def teardown_result(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
             .withColumn("left", F.col("present").bitwiseAND(F.bitwise_not(F.col("removed")))))
 
 
-def residual_state(state_entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+def residual_state(state_entries: DataFrame, outcomes: DataFrame, copartitioned: bool = False) -> DataFrame:
     """The state rows still saved after teardown. Unknown keys carry no
     bit and are never touched. The state is read twice: for the masks and
-    for its rows."""
-    res = teardown_result(state_entries, outcomes).select("deployment_id", "removed")
+    for its rows. Over ``copartitioned`` tables there is no exchange."""
+    res = teardown_result(state_entries, outcomes, copartitioned).select("deployment_id", "removed")
     zero = F.lit(0).cast("bigint")
     rows = state_entries.select("deployment_id", "state_key", "state_value",
                                 F.coalesce(_key_bit("state_key"), zero).alias("bit"))

@@ -26,6 +26,7 @@ from ..sources import fixtures as fx
 from ..sources import log_files as LF
 from ..sources import state_io as A
 from ..sources import state_store as SS
+from ..sources.buckets import write_bucketed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -421,6 +422,25 @@ def q_d5_res(spark, d):
     return D.leak_counts(D.residual_state(fx.state_entries(spark, d), fx.teardown_outcomes(spark, d)))
 
 
+BUCKETS_USED = 16
+
+
+def _bucketed(spark, d):
+    """State and outcomes written into the same buckets."""
+    return [write_bucketed(df, scratch_path(spark, "buckets"), BUCKETS_USED) for df in (fx.state_entries(spark, d), fx.teardown_outcomes(spark, d))]
+
+
+@register("d4_residual_state_bucketed")
+def q_d4_bucketed(spark, d):
+    return D.residual_state(*_bucketed(spark, d), copartitioned=True)
+
+
+@register("a2_state_after_teardown_bucketed")
+def q_a2_bucketed(spark, d):
+    st, oc = _bucketed(spark, d)
+    return A.state_to_json(D.residual_state(st, oc, copartitioned=True), st, copartitioned=True)
+
+
 # The same where the listing of interfaces fails for some deployments.
 
 @register("d3_steps_run")

@@ -744,6 +744,7 @@ _ABORTED = {"removed": HELPER_CTES["removed"].replace(
     "where g.first_gap is null or m.rpos < g.first_gap",
     f"where (g.first_gap is null or m.rpos < g.first_gap) and r.deployment_id not in ({_NO_LISTING})")}
 VARIANTS["d4_residual_state_aborted"] = ("d4_residual_state", _ABORTED)
+VARIANTS["d4_residual_state_bucketed"] = ("d4_residual_state", {})
 VARIANTS["d5_leaks_aborted"] = ("d5_leaks", _ABORTED)
 
 _add("d3_steps_run", f"select * from plan where step <= 9 or deployment_id not in ({_NO_LISTING})")
@@ -981,6 +982,7 @@ select ids.deployment_id,
 from ids left join residual e on e.deployment_id = ids.deployment_id left join k on k.key = e.state_key
 group by ids.deployment_id""")
 
+VARIANTS["a2_state_after_teardown_bucketed"] = ("a2_state_after_teardown_all", {})
 VARIANTS["a2_state_after_abort"] = ("a2_state_after_teardown_all", _ABORTED)
 VARIANTS["a2_state_emptied"] = ("a2_state_after_teardown_all", {
     "teardown_outcomes": FIXTURE_CTES["teardown_outcomes"].replace("(o_custkey + step) % 4 <> 0 as ok", "true as ok")})

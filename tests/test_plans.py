@@ -43,3 +43,22 @@ def test_inputs_are_read_once_a_use(spark, name, scans, windows):
     plan = _initial_plan(QUERIES[name](spark, SF_SMALL))
     assert plan.count("FileScan parquet") == scans
     assert sum(line.lstrip(" :+-*(0123456789)").startswith("Window ") for line in plan.splitlines()) == windows
+
+
+def test_bucketed_tables_need_no_exchange(spark):
+    """D4 and A2 over state and outcomes that were written into the same buckets."""
+    from flotilla.operators import state as D
+    from flotilla.session import scratch_path
+    from flotilla.sources import fixtures as fx
+    from flotilla.sources import state_io as A
+    from flotilla.sources.buckets import write_bucketed
+    st, oc = fx.state_entries(spark, SF_SMALL), fx.teardown_outcomes(spark, SF_SMALL)
+    bst, boc = (write_bucketed(df, scratch_path(spark, "t-buckets"), 4) for df in (st, oc))
+    left = D.residual_state(bst, boc, copartitioned=True)
+    told = A.state_to_json(left, bst, copartitioned=True)
+    for df in (left, told, A.state_to_json(bst)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    want = D.residual_state(st, oc)
+    assert left.exceptAll(want).count() == 0 and want.exceptAll(left).count() == 0
+    want = A.state_to_json(want, st.select("deployment_id").distinct())
+    assert told.exceptAll(want).count() == 0 and want.exceptAll(told).count() == 0
