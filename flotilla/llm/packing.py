@@ -15,19 +15,25 @@ every segment.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, quoted, slices
-from .spm import _encoder
+from .spm import SPACE, Encoder, _encoder, _pieces
+from .token_counts import byte_batches
 
 SEQ_LEN = 2048
 DOCS_PER_GROUP = 2048
 #: Tokens a task holds before it packs what it has: bounds memory for a group of very long documents.
 HELD = 6_000_000
+#: Bytes of text that are encoded together, and words whose ids a worker remembers.
+BATCH_BYTES, WORDS = 8 << 20, 800_000
 PAD = 0
 
 PACKED = ("grp long, part int, seq int, n_tokens int, doc_ids array<bigint>, doc_offsets array<bigint>, "
@@ -99,6 +105,89 @@ def rows_of(group: int, part: int, doc_ids: list, ids: list[np.ndarray], seq_len
                "cu_seqlens": ends.tolist(), "ids": row.tobytes(), "position_ids": place.tobytes()}
 
 
+def id_width(model_file: str) -> str:
+    return "<u2" if len(_pieces(model_file)[0]) <= 65_536 else "<u4"
+
+
+class BatchEncoder:
+    """Ids of texts, a batch at a time. A batch is cut into words by Arrow;
+    its distinct words are looked up, or encoded by one call of the library,
+    once; the texts' ids are then gathered by number. Texts with other blanks
+    than single ones between words are left to the encoder."""
+
+    def __init__(self, encoder: Encoder, remembered: int = WORDS):
+        self.encoder, self.remembered, model = encoder, remembered, encoder.model
+        self.plain = encoder.splits and model.prefix
+        self.by_line, self.library = bool(model.alone), model.library
+        self.lead = len(self.library.encode("\n")) if self.plain else 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Words by number: where their ids begin, how many they are."""
+        self.number: dict[str, int] = {}
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<i4")
+
+    def is_plain(self, text: str) -> bool:
+        return (self.plain and bool(text) and "  " not in text and SPACE not in text and text[0] not in " \n" and text[-1] != " "
+                and " \n" not in text and (self.by_line or "\n" not in text))
+
+    def learn(self, words: list[str]) -> None:
+        """Words stand after a blank, those that begin with a line end after
+        that: they get its ids and those of a word without a blank before it."""
+        found = self.library.encode(words, num_threads=1)
+        line = np.frombuffer(self.encoder.line_break, "<i4").tolist()
+        found = [line + ids[self.lead:] if w[0] == "\n" else ids for w, ids in zip(words, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<i4", int(sizes.sum()))])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text."""
+        if len(self.number) > self.remembered:
+            self.forget()
+        out = [None if self.is_plain(t) else np.frombuffer(self.encoder.encode(t), "<i4") for t in texts]
+        plain = [t for t, ids in zip(texts, out) if ids is None]
+        if not plain:
+            return out
+        cut = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.large_string()), "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn([w for w in words if w not in self.number])
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        size = self.size[number]
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[number] - end + size, size) + np.arange(end[-1])]
+        at = np.concatenate([[0], end])[cut.offsets.to_numpy()]
+        found = (ids[a:z] for a, z in zip(at, at[1:]))
+        return [next(found) if x is None else x for x in out]
+
+
+@lru_cache(maxsize=4)
+def _batches(model_file: str) -> BatchEncoder:
+    """One a Python worker, which serves many tasks."""
+    return BatchEncoder(_encoder(model_file, True))
+
+
+def tokenised(rows: DataFrame, model_file: str) -> DataFrame:
+    """(grp, doc_id, h, ids) of (grp, doc_id, h, text): ids as a binary column
+    of 2 or 4 bytes an id, found where the documents are read, so that neither
+    texts nor the work on them are shuffled."""
+    width = id_width(model_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _batches(model_file)
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(3)).to_pylist()
+            for start, stop in byte_batches(enumerate(sizes), BATCH_BYTES):
+                part = batch.slice(start, stop - start)
+                ids = [i.astype(width).tobytes() for i in encoder.encode(part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary())], names=["grp", "doc_id", "h", "ids"])
+
+    return mapped(rows, run, "grp long, doc_id long, h long, ids binary")
+
+
 def pack_documents(docs: DataFrame, model_file: str, seq_len: int = SEQ_LEN, docs_per_group: int = DOCS_PER_GROUP,
                    held: int = HELD) -> DataFrame:
     """One row a packed sequence (columns of PACKED).
@@ -115,12 +204,11 @@ def pack_documents(docs: DataFrame, model_file: str, seq_len: int = SEQ_LEN, doc
     groups = max(1, -(-docs.count() // docs_per_group))
     thin = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
     thin = thin.filter("text <> ''").withColumn("h", F.xxhash64("doc_id", "text"))
-    thin = thin.withColumn("grp", F.pmod(F.col("h"), F.lit(groups)).cast("long"))
-    dealt = thin.repartition("grp").sortWithinPartitions("grp", "doc_id", "h").select("grp", "doc_id", "text")
+    thin = thin.select(F.pmod(F.col("h"), F.lit(groups)).cast("long").alias("grp"), "doc_id", "h", "text")
+    dealt = tokenised(thin, model_file).repartition("grp").sortWithinPartitions("grp", "doc_id", "h").select("grp", "doc_id", "ids")
+    width = id_width(model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model_file, True)
-        width = "<u2" if len(encoder.model.scores) <= 65_536 else "<u4"
         now, part, count, doc_ids, ids = None, 0, 0, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -134,14 +222,14 @@ def pack_documents(docs: DataFrame, model_file: str, seq_len: int = SEQ_LEN, doc
                 yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
         for batch in slices(batches):
-            for group, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for group, doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if ids and (group != now or count > held):
                     yield from flush()
                     part, count, doc_ids, ids = (part + 1 if group == now else 0), 0, [], []
                 elif group != now:
                     part = 0
                 now = group
-                got = np.frombuffer(encoder.encode(text), "<i4").astype(width)
+                got = np.frombuffer(found, width)
                 doc_ids.append(doc)
                 ids.append(got)
                 count += len(got)

@@ -74,3 +74,18 @@ def test_edge_cases(spark):
     assert pack_documents(df.limit(0), PIECE_MODEL, 16).collect() == []
     with pytest.raises(ValueError):
         pack_documents(df, PIECE_MODEL, 0)
+
+
+def test_batches_are_encoded_as_the_library_does(monkeypatch):
+    """Plain texts and odd ones, line ends, words met again, a memory that forgets."""
+    from flotilla.llm import packing
+    from flotilla.llm.spm import _encoder
+    r = rng(2)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "é", "漢", "▁", "The", "\x00", "1", " ", "\n", " the", " word", " word\n"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(3000)] + ["", "plain words\nand lines\n\nof words", "x" * 500]
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    for remembered, size in ((10 ** 6, 500), (40, 7)):
+        encoder = packing.BatchEncoder(_encoder(PIECE_MODEL, True), remembered)
+        got = [ids.tolist() for at in range(0, len(texts), size) for ids in encoder.encode(texts[at:at + size])]
+        assert got == [lib.encode(t) for t in texts]
+    assert 20 < sum(encoder.is_plain(t) for t in texts) < 2900
