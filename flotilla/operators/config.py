@@ -320,40 +320,78 @@ def passthrough_keys(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return in_scope(entries.where(~F.col("key").isin(KNOWN_KEYS)), ids)
 
 
-def resolve(requests: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Shared first half of the configuration plan: ``(ids, scoped, facts)``
-    where ``scoped`` are the merged (forced + user) entries of accepted
-    deployments and ``facts`` the per-deployment row of :func:`config_facts`."""
-    acc = B.accepted_requests(requests)
-    ids = acc.select("deployment_id")
+def resolved_facts(requests: DataFrame, overrides: DataFrame) -> DataFrame:
+    """:func:`config_facts` of the accepted deployments, whose forced keys are
+    there without being computed: what the URL and the ranking document need."""
+    ids = B.accepted_requests(requests).select("deployment_id")
     user = overrides_json(overrides).where(~F.col("key").isin(FORCED_CONFIG_KEYS))
-    scoped = in_scope(user, ids).unionByName(forced_config(acc))
+    return config_facts(user, ids, base_mask=sum(KEY_MASK[k] for k in FORCED_CONFIG_KEYS))
+
+
+#: A configuration row while it is put together; ``kind`` is only given where the key does not tell it.
+_ENTRY = "array<struct<key:string,kind:string,value:string,present:boolean>>"
+
+
+def deployment_configs(requests: DataFrame, overrides: DataFrame) -> DataFrame:
+    """One row per accepted deployment: ``present``, the URL and ranking parts
+    given, the request's counts, and ``items``, its override rows ``(key,
+    value)`` by key without the forced ones, each key once.
+
+    Requests (a marker row each) and overrides go through one aggregate, read
+    once each; the collected group is one deployment's configuration."""
+    acc = B.accepted_requests(requests)
+    key, value = F.col("key"), F.col("value")
+    rows = overrides_json(overrides).where(~key.isin(FORCED_CONFIG_KEYS))
+    marked = rows.select("deployment_id", _lookup("key", KEY_MASK, "bigint").alias("bit"), *[F.when(key == k, value).alias(k) for k in PIVOT_KEYS],
+                         F.struct("key", "value").alias("item"), F.lit(0).alias("is_id"), *[F.lit(None).cast("int").alias(c) for c in COUNTS])
     forced_mask = sum(KEY_MASK[k] for k in FORCED_CONFIG_KEYS)
-    return ids, scoped, config_facts(user, ids, base_mask=forced_mask)
+    base = acc.select("deployment_id", F.lit(forced_mask).cast("bigint").alias("bit"), *[F.lit(None).cast("string").alias(k) for k in PIVOT_KEYS],
+                      F.lit(None).cast("struct<key:string,value:string>").alias("item"), F.lit(1).alias("is_id"), *COUNTS)
+    agg = (base.unionByName(marked).groupBy("deployment_id")
+           .agg(F.bit_or("bit").alias("present"), *[F.max(k).alias(k) for k in [*PIVOT_KEYS, *COUNTS]],
+                F.sort_array(F.collect_list("item")).alias("items"), F.max("is_id").alias("is_id"))
+           .where(F.col("is_id") == 1).drop("is_id"))
+    once = F.filter("items", lambda x, i: (i == F.size("items") - 1) | (F.get("items", i + 1)["key"] != x["key"]))
+    return agg.withColumn("items", once)
+
+
+def _given_and_forced() -> Column:
+    """The override and forced rows of a deployment, over the columns of
+    :func:`deployment_configs`."""
+    none, yes = F.lit(None).cast("string"), F.lit(True)
+    given = F.transform("items", lambda x: F.struct(x["key"].alias("key"), none.alias("kind"), x["value"].alias("value"), yes.alias("present")))
+    forced = F.array(*[F.struct(F.lit(k).alias("key"), none.alias("kind"), v.alias("value"), yes.alias("present")) for k, v in _forced_values().items()])
+    return F.concat(given.cast(_ENTRY), forced.cast(_ENTRY))
+
+
+def _defaults() -> Column:
+    defaults = F.transform(_absent_defaults(), lambda x: F.struct(
+        x["key"].alias("key"), x["kind"].alias("kind"), x["value"].alias("value"), F.lit(False).alias("present")))
+    return defaults.cast(_ENTRY)
+
+
+def filled_config(requests: DataFrame, overrides: DataFrame) -> DataFrame:
+    """C2 for the merged (forced and user) entries of accepted deployments,
+    from :func:`deployment_configs`: as :func:`fill_defaults`."""
+    rows = deployment_configs(requests, overrides).select("deployment_id", F.inline(F.concat(_given_and_forced(), _defaults())))
+    return (rows.where(F.col("key").isin(KNOWN_KEYS))
+            .select("deployment_id", "key", F.coalesce("kind", _lookup("key", KIND_OF)).alias("kind"), "value", "present"))
 
 
 def config_entries(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
     """The main document of every accepted deployment in long form:
     ``(deployment_id, key, value, error)``.
 
-    Two branches only: every merged row of an accepted deployment (known
-    keys typed, unknown keys passed through), and one generator per
-    deployment fact row that emits the defaults of its absent keys and its
-    database URL."""
-    _, scoped, facts = resolve(requests, overrides)
-    return _entries(scoped, facts, mask)
-
-
-def _entries(scoped: DataFrame, facts: DataFrame, mask: bool) -> DataFrame:
-    rows = scoped.select("deployment_id", "key", _lookup("key", KIND_OF).alias("kind"), "value",
-                         F.lit(True).alias("present"))
+    One generator over the row of :func:`deployment_configs`: the given and
+    forced rows (known keys typed, unknown keys passed through), the defaults
+    of absent keys and the database URL. Both inputs are read once and
+    meet in one exchange; there is no join."""
+    parts = config_parts(deployment_configs(requests, overrides), keep=("present", "items", *COUNTS))
     db = bound(_database_url_expr(mask), lambda u: F.struct(
-        F.lit("database").alias("key"), F.lit("raw").alias("kind"), F.when(u.isNotNull(), json_string(u)).alias("value")))
-    db = F.filter(F.array(db), lambda x: x["value"].isNotNull())
-    gen = (config_parts(facts, keep=("present",))
-           .select("deployment_id", F.inline(F.concat(_absent_defaults("present"), db)))
-           .select("deployment_id", "key", "kind", "value", F.lit(False).alias("present")))
-    return known_entries(rows.unionByName(gen), mask)
+        F.lit("database").alias("key"), F.lit("raw").alias("kind"), F.when(u.isNotNull(), json_string(u)).alias("value"), F.lit(False).alias("present")))
+    db = F.filter(F.array(db), lambda x: x["value"].isNotNull()).cast(_ENTRY)
+    rows = parts.select("deployment_id", F.inline(F.concat(_given_and_forced(), _defaults(), db)))
+    return known_entries(rows.withColumn("kind", F.coalesce("kind", _lookup("key", KIND_OF))), mask)
 
 
 def config_document(entries: DataFrame) -> DataFrame:

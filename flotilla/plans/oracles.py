@@ -923,17 +923,14 @@ from acc a cross join (values ('workers_instance_ips', 'workers'), ('cws1_instan
 union all
 select a.deployment_id, 'instances_ips', '[' || coalesce(l.l, '') || ']' from acc a left join lists l using (deployment_id)""")
 
-_add("b12_endpoints_digest", """
-select deployment_id, count(*) as n, md5(string_agg(concat_ws('|', coalesce(section::varchar, '~'), coalesce(service::varchar, '~'), coalesce(pos::varchar, '~'), coalesce(ip::varchar, '~'), coalesce(port::varchar, '~')), ';' order by concat_ws('|', coalesce(section::varchar, '~'), coalesce(service::varchar, '~'), coalesce(pos::varchar, '~'), coalesce(ip::varchar, '~'), coalesce(port::varchar, '~')))) as digest
-from endpoints group by deployment_id""")
+_DIGEST = """
+select deployment_id, count(*) as n, cast(sum(cast('0x' || left(md5({line}), 15) as bigint)) as varchar) as digest
+from {rows} group by deployment_id"""
+_add("b12_endpoints_digest", _DIGEST.format(rows="endpoints", line="concat_ws('|', coalesce(section::varchar, '~'), coalesce(service::varchar, '~'), coalesce(pos::varchar, '~'), coalesce(ip::varchar, '~'), coalesce(port::varchar, '~'))"))
 
-_add("b13_document_digest", """
-select deployment_id, count(*) as n, md5(string_agg(concat_ws('|', coalesce(section::varchar, '~'), coalesce(service::varchar, '~'), coalesce(pos::varchar, '~'), coalesce(ip::varchar, '~'), coalesce(port::varchar, '~')), ';' order by concat_ws('|', coalesce(section::varchar, '~'), coalesce(service::varchar, '~'), coalesce(pos::varchar, '~'), coalesce(ip::varchar, '~'), coalesce(port::varchar, '~')))) as digest
-from endpoints group by deployment_id""")
+_add("b13_document_digest", _DIGEST.format(rows="endpoints", line="concat_ws('|', coalesce(section::varchar, '~'), coalesce(service::varchar, '~'), coalesce(pos::varchar, '~'), coalesce(ip::varchar, '~'), coalesce(port::varchar, '~'))"))
 
-_add("c9_entries_digest", """
-select deployment_id, count(*) as n, md5(string_agg(concat_ws('|', coalesce(key::varchar, '~'), coalesce(value::varchar, '~'), coalesce(error::varchar, '~')), ';' order by concat_ws('|', coalesce(key::varchar, '~'), coalesce(value::varchar, '~'), coalesce(error::varchar, '~')))) as digest
-from entries group by deployment_id""")
+_add("c9_entries_digest", _DIGEST.format(rows="entries", line="concat_ws('|', coalesce(key::varchar, '~'), coalesce(value::varchar, '~'), coalesce(error::varchar, '~'))"))
 
 _add("a1_read_state", "select deployment_id, state_key, state_value from state_entries")
 

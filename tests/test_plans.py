@@ -62,3 +62,24 @@ def test_bucketed_tables_need_no_exchange(spark):
     assert left.exceptAll(want).count() == 0 and want.exceptAll(left).count() == 0
     want = A.state_to_json(want, st.select("deployment_id").distinct())
     assert told.exceptAll(want).count() == 0 and want.exceptAll(told).count() == 0
+
+
+@pytest.mark.parametrize("name", ["c9_config_entries", "c9_config_entries_typed", "c2_fill_defaults", "c9_config_document"])
+def test_configuration_reads_each_input_once(spark, name):
+    """Requests and overrides are read once and meet in one exchange (the
+    fixture of the overrides has one of its own); nothing is joined."""
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_newest_snapshots_are_found_by_a_narrow_aggregate(spark):
+    """Only two numbers are aggregated, and only the newest records parsed."""
+    plan = _initial_plan(QUERIES["a1_latest_snapshot"](spark, SF_SMALL))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan and "max(snapshot" in plan
+    assert plan.index("from_json") < plan.index("Join")
+
+
+@pytest.mark.parametrize("name", ["b12_endpoints_digest", "b13_document_digest", "c9_entries_digest"])
+def test_digests_are_partial_sums(spark, name):
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and plan.count("collect_list") <= 2  # those of a document, not of the digest
