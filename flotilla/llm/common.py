@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 #: Bytes of a text that are cut into words at a time.
 PIECE = 1 << 20
@@ -46,8 +45,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it
     back: the lineage ends there and lost executors cost no recomputation of
     what came before."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"llm-{name}")  # refuses a machine-local folder on a cluster
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
