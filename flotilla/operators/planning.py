@@ -464,11 +464,13 @@ def attach_addresses(instances: DataFrame, observed: DataFrame, as_of: Column |
     machine, matched on launch position; unobserved machines keep nulls.
     Of a machine observed several times the newest observation counts, as of
     a given time (:func:`newest_observations`), so there is a row a machine
-    whatever is observed. An equi-join on (deployment_id, launch_pos), on which
-    the observations are already partitioned: Catalyst picks sort-merge or,
-    when AQE sees a small side at run time, broadcast."""
+    whatever is observed. A sort-merge join on (deployment_id, launch_pos), on
+    which the observations are already partitioned. It is asked for by name:
+    the static size of observations does not see how many machines a request
+    has, so under Spark's default threshold the driver would collect them all
+    for a broadcast."""
     obs = newest_observations(observed, as_of).withColumnRenamed("private_ip", "observed_private_ip")
-    return instances.join(obs, ["deployment_id", "launch_pos"], "left")
+    return instances.join(obs.hint("merge"), ["deployment_id", "launch_pos"], "left")
 
 
 # -- B17 ------------------------------------------------------------------------------------
