@@ -17,6 +17,18 @@ import uuid
 from pyspark.sql import DataFrame
 
 KEY = "deployment_id"
+#: Rows that a bucket holds at most on average, and the least buckets of a table.
+BUCKET_ROWS, LEAST_BUCKETS = 1_500_000, 16
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets for a table of so many rows: a power of two, so that tables of
+    other sizes can be read in the same buckets, and enough that the memory
+    of the task that writes or reads a bucket does not grow with the table."""
+    n = LEAST_BUCKETS
+    while n * BUCKET_ROWS < rows:
+        n *= 2
+    return n
 
 
 def write_bucketed(df: DataFrame, path: str, buckets: int, name: str | None = None) -> DataFrame:
