@@ -1,6 +1,8 @@
 """Raw log files: line numbers by splits, records over split and file edges."""
 
+import os
 import random
+import re
 
 import pytest
 
@@ -94,3 +96,25 @@ def test_lines_before_the_first_header_and_no_header(spark):
     logs = {1: ["lost", HEAD + "a"], 2: ["none", "at all"], 3: [""]}
     raw = read_log_files(spark, written(spark, logs))
     assert sorted(rows(E.assemble_files(raw), "deployment_id", "rec", "first_line", "text")) == brute(logs)
+
+
+def test_more_than_a_thousand_files_follow_each_other(spark):
+    """The names of a deployment's files keep their order, however many there are."""
+    logs = {5: [HEAD + str(i) if i % 3 == 0 else f"go on {i}" for i in range(1100)]}
+    raw = read_log_files(spark, written(spark, logs, 1))
+    assert sorted(rows(E.assemble_files(raw), "deployment_id", "rec", "first_line", "text")) == brute(logs)
+
+
+def test_tasks_write_the_files_and_leave_nothing_else(spark):
+    """Spark's sink starts processes for each local file and its checksum file."""
+    path = written(spark, logs_of(3, 5, 60), 4)
+    base = path.replace("file:", "")
+    found = sorted(os.path.relpath(os.path.join(f, n), base) for f, _, names in os.walk(base) for n in names)
+    assert found[0] == "_SUCCESS" and all(re.fullmatch(r"deployment_id=\d+/part-\d{6}-\d{9}\.txt", n) for n in found[1:])
+    with pytest.raises(FileExistsError):
+        write_log_files(spark.createDataFrame([], LOG_LINES), path)
+
+
+def test_lines_without_deployment_or_text(spark):
+    path = write_log_files(spark.createDataFrame([(None, 1, 0, "a"), (3, 1, 0, None), (3, 2, 0, "é\r")], "deployment_id bigint, seq bigint, sub_no int, line string"), scratch_path(spark, "t-logs"))
+    assert sorted(rows(read_log_files(spark, path), "deployment_id", "line"), key=repr) == [(3, ""), (3, "é\r"), (None, "a")]
