@@ -71,9 +71,14 @@ def latest_changes(changes: DataFrame, upto: int | None = None) -> DataFrame:
     leaves out changes with a greater number."""
     if upto is not None:
         changes = changes.where(F.col("change_no") <= upto)
-    order = F.struct("change_no", (F.col("op") == REMOVE).alias("removes"), "state_value", "op")
-    last = changes.groupBy("deployment_id", "state_key").agg(F.max(order).alias("c"))
-    return last.select("deployment_id", "c.change_no", "state_key", "c.op", "c.state_value")
+    # Known keys travel as their number, so tasks sort, compare and send less.
+    known = F.array(*[F.lit(k) for k, _ in STATE_KEYS])
+    place = _place()
+    rows = changes.select("deployment_id", place.cast("tinyint").alias("place"), F.when(place == len(STATE_KEYS), F.col("state_key")).alias("unknown"),
+                          "change_no", (F.col("op") == REMOVE).alias("removes"), "state_value", "op")
+    last = rows.groupBy("deployment_id", "place", "unknown").agg(F.max(F.struct("change_no", "removes", "state_value", "op")).alias("c"))
+    key = F.coalesce(F.get(known, F.col("place").cast("int")), F.col("unknown"))
+    return last.select("deployment_id", "c.change_no", key.alias("state_key"), "c.op", "c.state_value")
 
 
 def fold_changes(changes: DataFrame, upto: int | None = None) -> DataFrame:

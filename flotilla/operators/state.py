@@ -94,10 +94,16 @@ def instances_or_errors(state_entries: DataFrame) -> DataFrame:
 
 # -- per-deployment masks -----------------------------------------------------------
 
+#: A JSON list that begins with a plain text and holds nothing but such texts: it parses, and is not empty.
+PLAIN_LIST = r'^\["[ !#-\[\]-~]*"(?:,"[ !#-\[\]-~]*")*\]\z'
+
+
 def _queued(key: Column, value: Column) -> Column:
-    """True when the row adds at least one id to the wait list."""
+    """True when the row adds at least one id to the wait list. Only lists that
+    are not plain (:data:`PLAIN_LIST`) or empty are parsed for it."""
+    plain = F.when(value == "[]", F.lit(False)).when(value.rlike(PLAIN_LIST), F.lit(True))
     return (F.when(key.isin(SINGLE_KEYS), F.lit(True))
-            .when(key.isin(LIST_KEYS), F.coalesce(F.size(id_list(value)) > 0, F.lit(False)))
+            .when(key.isin(LIST_KEYS), plain.otherwise(F.coalesce(F.size(id_list(value)) > 0, F.lit(False))))
             .otherwise(F.lit(False)))
 
 

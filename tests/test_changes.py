@@ -109,3 +109,13 @@ def test_repeated_keys_of_a_record(spark):
     told = log(spark, [(1, 2, "vpc_id", "set", "a"), (1, 1, "vpc_id", "set", "b"), (1, 1, "x", "set", "n"), (1, 2, "x", "set", None)])
     (text,), = rows(A.state_to_json(told), "json")
     assert text.count('"vpc_id"') == 1 and json.loads(text)["state"] == {"vpc_id": "a", "x": None}
+
+
+def test_known_keys_are_folded_by_number(spark):
+    """Known keys are sorted and sent as numbers; unknown ones and nulls are keys like others."""
+    data = [(1, n, key, "set", f"{key}{n}") for n in (1, 2) for key in ("vpc_id", "note", None)] + [(None, 1, "vpc_id", "remove", None)]
+    got = G.latest_changes(log(spark, data))
+    assert sorted(rows(got), key=repr) == sorted([(1, 2, "vpc_id", "set", "vpc_id2"), (1, 2, "note", "set", "note2"), (1, 2, None, "set", "None2"),
+                                                 (None, 1, "vpc_id", "remove", None)], key=repr)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "state_key" not in plan.split("partial_max")[0].split("SortAggregate")[-1]

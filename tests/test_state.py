@@ -4,6 +4,7 @@ teardown written from the step table (brute force), plus the traps."""
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import SF_SMALL, rows
@@ -217,3 +218,17 @@ def test_malformed_lists_are_rows_of_their_deployment(spark):
                                 (3, "cws2_instances_ids", None), (4, "worker_instances_ids", "[]")], "deployment_id bigint, state_key string, state_value string")
     got = sorted(rows(D.instances_or_errors(st)), key=repr)
     assert got == sorted([(1, 1, None, None, "malformed list"), (1, 4, 0, "m", None), (2, 2, 0, "c", None), (2, 2, 1, "d", None)], key=repr)
+
+
+def test_plain_lists_are_not_parsed(spark):
+    """What counts as a plain list is what the parser finds not empty."""
+    texts = ['["a"]', '["i-1","i-2"]', '[""]', "[]", "[ ]", '["a", "b"]', '["é"]', '["a\\"b"]', "[1]", "[null]", None]
+    st = spark.createDataFrame([(i, "worker_instances_ids", v) for i, v in enumerate(texts)], "deployment_id bigint, state_key string, state_value string")
+    got = dict(rows(D.teardown_masks(st), "deployment_id", "queued"))
+    assert got == {i: v is not None and v not in ("[]", "[ ]") for i, v in enumerate(texts)}
+    value = spark.createDataFrame([(v,) for v in [*texts, '["a"]x', '["a",]', '["a"\n]', '["a\nb"]', '["a"]\n', '[a"]', "x"]], "v string")
+    plain = value.where(F.col("v").rlike(D.PLAIN_LIST)).select("v", F.size(F.from_json("v", "array<string>")).alias("n"))
+    assert {r.v: r.n for r in plain.collect()} == {'["a"]': 1, '["i-1","i-2"]': 2, '[""]': 1}
+    for broken in ('["a"', "x"):
+        with pytest.raises(Exception, match="malformed id list"):
+            D.teardown_masks(spark.createDataFrame([(1, "worker_instances_ids", broken)], st.schema)).collect()
