@@ -66,12 +66,16 @@ def overrides_json(overrides: DataFrame) -> DataFrame:
     (:func:`latest_overrides`); without it a key has one row."""
     if "set_no" in overrides.columns:
         overrides = latest_overrides(overrides)
-    value = json_string(F.col("value"))
-    if "value_json" in overrides.columns:
-        value = F.when(F.col("value_json").isNotNull(), json_value(F.col("value_json"))).otherwise(value)
+    value = _override_json(F.col("value"), F.col("value_json") if "value_json" in overrides.columns else None)
     return overrides.select("deployment_id", "key", value.alias("value"))
 
 
+def _override_json(value: Column, given: Column | None) -> Column:
+    """The JSON text of an override (:func:`overrides_json`)."""
+    text = json_string(value)
+    return text if given is None else F.when(given.isNotNull(), json_value(given)).otherwise(text)
+
+
 #: Request columns the forced values are computed from.
 COUNTS = ["nb_workers_instances", "nb_workers_per_instance", "nb_cws_instances", "nb_cws_per_instance"]
 
@@ -472,28 +476,22 @@ _DEFAULT_FRAGMENTS = "array_compact(array(" + ", ".join(
 _REQUIRED_MASK = sum(KEY_MASK[k] for k in REQUIRED_CONFIG_KEYS)
 
 
-def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
-    """C9 in one aggregate: ``(deployment_id, document, error, <URL and
-    ranking parts>)`` for every accepted deployment.
-
-    Accepted requests (a marker row with the four counts each) and the
-    user's rows go into ONE ``groupBy(deployment_id)``: it yields the
-    presence bits, the values the URL reads and the document fragments of
-    the given keys. The forced fragments, computed from the counts, the
-    defaults of absent keys and the URL are appended on the result row, so
-    no generated text is shuffled, and there is no semi join, no union of
-    long forms and no second regrouping. A document has each key once; of
-    repeated rows without ``set_no`` the greatest text is written. The collected group is one
-    deployment's document."""
-    acc = B.accepted_requests(requests)
-    rows = overrides_json(overrides).where(~F.col("key").isin(FORCED_CONFIG_KEYS))
-    key, value = F.col("key"), F.col("value")
-    kind = _lookup("key", KIND_OF)
+def _fragment(key: Column, kind: Column, value: Column, mask: bool) -> tuple[Column, Column]:
+    """What a given row adds to the document (null if it is not written), and its error."""
     out = _output_value(key, kind, value)
     emit = kind.isNull() | kind.isin("raw", "bool", "int", "required", "local", "secret") | (key == "rankings")
     frag = F.when(emit, F.struct(key.alias("key"), F.concat(json_string(key), F.lit(":"), _mask(key, out, mask))
                                  .alias("frag")))
     error = F.when(value.isNull(), F.lit(INVALID_VALUE)).when((kind == "int") & out.isNull(), F.lit(INVALID_INTEGER))
+    return frag, error
+
+
+def _document_facts(requests: DataFrame, overrides: DataFrame, mask: bool) -> DataFrame:
+    """The aggregate of :func:`config_documents`: a row per accepted deployment."""
+    acc = B.accepted_requests(requests)
+    rows = overrides_json(overrides).where(~F.col("key").isin(FORCED_CONFIG_KEYS))
+    key, value = F.col("key"), F.col("value")
+    frag, error = _fragment(key, _lookup("key", KIND_OF), value, mask)
     marked = rows.select("deployment_id", _lookup("key", KEY_MASK, "bigint").alias("bit"),
                          *[F.when(key == k, value).alias(k) for k in PIVOT_KEYS],
                          frag.alias("frag"), error.alias("error"), F.lit(0).alias("is_id"),
@@ -503,11 +501,71 @@ def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = Tru
                       *[F.lit(None).cast("string").alias(k) for k in PIVOT_KEYS],
                       F.lit(None).cast("struct<key:string,frag:string>").alias("frag"),
                       F.lit(None).cast("string").alias("error"), F.lit(1).alias("is_id"), *COUNTS)
-    agg = (base.unionByName(marked).groupBy("deployment_id")
+    return (base.unionByName(marked).groupBy("deployment_id")
            .agg(F.bit_or("bit").alias("present"), *[F.max(k).alias(k) for k in [*PIVOT_KEYS, *COUNTS]],
                 F.collect_list("frag").alias("items"), F.min("error").alias("row_error"),
                 F.max("is_id").alias("is_id"))
            .where(F.col("is_id") == 1))
+
+
+def _repeated_document_facts(requests: DataFrame, overrides: DataFrame, mask: bool) -> DataFrame:
+    """:func:`_document_facts` of overrides with ``set_no``. The rows of a
+    deployment are collected as they were set, known keys as their number, and
+    the last one of each key is found in its list (as in
+    :func:`latest_overrides`), so rows are not sorted by key beforehand."""
+    key = F.col("key")
+    rest = [c for c in overrides.columns if c not in ("deployment_id", "key", "set_no")]
+    place = _lookup("key", {k: i for i, k in enumerate(KNOWN_KEYS)}, "tinyint")
+    item = F.struct(place.alias("o"), F.when(place.isNull(), key).alias("k"), "set_no", *rest)
+    rows = overrides.where(~key.isin(FORCED_CONFIG_KEYS)).select("deployment_id", item.alias("item"), F.lit(0).alias("is_id"))
+    base = B.accepted_requests(requests).select("deployment_id", F.lit(1).alias("is_id"), *COUNTS)
+    agg = (base.unionByName(rows, allowMissingColumns=True).groupBy("deployment_id")
+           .agg(*[F.max(k).alias(k) for k in COUNTS], F.sort_array(F.collect_list("item")).alias("sets"), F.max("is_id").alias("is_id"))
+           .where(F.col("is_id") == 1))
+    sets = F.col("sets")
+    last = F.filter(sets, lambda x, i: (i == F.size(sets) - 1) | ~F.get(sets, i + 1)["o"].eqNullSafe(x["o"]) | ~F.get(sets, i + 1)["k"].eqNullSafe(x["k"]))
+    names, kinds = (F.array(*[F.lit(t[n]) for t in CONFIG_KEYS]) for n in (0, 2))
+
+    def given(x: Column) -> Column:
+        place = x["o"].cast("int")
+        text = _override_json(x["value"], x["value_json"] if "value_json" in rest else None)
+        return F.struct(place.alias("o"), F.coalesce(F.get(names, place), x["k"]).alias("key"), F.get(kinds, place).alias("kind"), text.alias("value"))
+
+    def written(x: Column) -> Column:
+        frag, error = _fragment(x["key"], x["kind"], x["value"], mask)
+        return F.struct(frag.alias("frag"), error.alias("error"))
+
+    def value_of(place: int) -> Column:
+        return F.get(F.filter("given", lambda x: x["o"] == place), 0)["value"]
+
+    forced = F.lit(sum(KEY_MASK[k] for k in FORCED_CONFIG_KEYS)).cast("bigint")
+    present = F.aggregate("given", forced, lambda acc, x: F.when(x["o"].isNull(), acc).otherwise(
+        acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["o"]))))
+    given_rows = agg.select("deployment_id", *COUNTS, "is_id", last.alias("sets")).select(
+        "deployment_id", *COUNTS, "is_id", F.transform("sets", given).alias("given"))
+    facts = given_rows.select(
+        "deployment_id", *COUNTS, "is_id", present.alias("present"), F.transform("given", written).alias("written"),
+        *[value_of(KNOWN_KEYS.index(k)).alias(k) for k in PIVOT_KEYS])
+    frags = F.filter(F.col("written")["frag"], lambda f: f.isNotNull())
+    return facts.select("deployment_id", "present", *PIVOT_KEYS, *COUNTS, frags.alias("items"),
+                        F.array_min(F.col("written")["error"]).alias("row_error"), "is_id")
+
+
+def config_documents(requests: DataFrame, overrides: DataFrame, mask: bool = True) -> DataFrame:
+    """C9 in one aggregate: ``(deployment_id, document, error, <URL and
+    ranking parts>)`` for every accepted deployment.
+
+    Accepted requests (a marker row with the four counts each) and the
+    user's rows go into ONE ``groupBy(deployment_id)``: it yields the
+    presence bits, the values the URL reads and the document fragments of
+    the given keys. The forced fragments, computed from the counts, the
+    defaults of absent keys and the URL are appended on the result row, so
+    no generated text is shuffled, and there is no semi join, no union of
+    long forms and no second regrouping. A document has each key once; of
+    repeated rows without ``set_no`` the greatest text is written. The collected group is one
+    deployment's document."""
+    facts = _repeated_document_facts if "set_no" in overrides.columns else _document_facts
+    agg = facts(requests, overrides, mask)
     parts = config_parts(agg, keep=("present", "items", "row_error", *COUNTS))
     forced = F.array(*[F.struct(F.lit(k).alias("key"), F.concat(F.lit(f'"{k}":'), v).alias("frag"))
                        for k, v in _forced_values().items()])

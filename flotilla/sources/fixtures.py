@@ -129,8 +129,9 @@ def config_overrides_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_overrides_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every override set twice, first to something else."""
     ov = config_overrides(spark, sf_dir)
-    first = ov.withColumn("value", F.concat(F.lit("zz"), "value")).withColumn("set_no", F.lit(1).cast("bigint"))
-    return first.unionByName(ov.withColumn("set_no", F.lit(2).cast("bigint")))
+    sets = F.array(F.struct(F.concat(F.lit("zz"), "value").alias("value"), F.lit(1).cast("bigint").alias("set_no")),
+                   F.struct(F.col("value"), F.lit(2).cast("bigint").alias("set_no")))
+    return ov.select("deployment_id", "key", F.inline(sets))
 
 
 def state_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
